@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, token_counts
+from . import decontaminate, graph_index, licenses, line_dedup, packing, pii, quality, secrets, simhash, token_counts
 from .common import table
 
 #: Fixed by the query contracts.
-LINE_MIN_DOCS, TOKEN_LIMIT = 10, 2048
+LINE_MIN_DOCS, TOKEN_LIMIT, NEIGHBOURS, QUERY_EVERY = 10, 2048, 10, 100
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pii, kinds (of the values, in order), text with pseudonyms."""
+    done = pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.size("pii").cast("long").alias("n_pii"), F.array_join(F.transform("pii", lambda p: p["kind"]), ",").alias("kinds"), "text")
+
+
+def op2_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_index.nearest(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0), NEIGHBOURS)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +39,31 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    scored = quality.scores(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(decontaminate.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_token_counts, op5_best_fit_packing)}
+    every = (op1_pii_pseudonyms, op2_graph_neighbours, op3_line_dedup, op4_token_counts, op5_best_fit_packing, op6_quality_machine, op7_decontaminate, op8_secrets, op9_simhash, op10_licenses)
+    return {f.__name__: f for f in every}
 
 
 OP3_SQL = r"""
@@ -44,6 +78,20 @@ SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped,
 FROM lines l LEFT JOIN gone g ON l.key = g.key GROUP BY r, doc_id
 """
 
+OP7_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win FROM items, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, s.n, i, array_to_string(w[i:i + s.n - 1], ' ') AS win FROM docs, sizes s, LATERAL (SELECT unnest(generate_series(1, len(w) - s.n + 1)) AS i) WHERE len(w) >= s.n),
+hits AS (SELECT p.r, p.n, p.i, v.item_id FROM places p JOIN windows v ON p.win = v.win AND p.n = v.n),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, n, i FROM hits) h, LATERAL (SELECT unnest(generate_series(i, i + n - 1)) AS k) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
