@@ -85,3 +85,11 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under fixed names; columns of other names can't clash with an operator's own."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` whose id isn't in the one column of ``ids``; a broadcast only where the ids are proven to be few. Null ids stay."""
+    gone = written(ids.select(ids[ids.columns[0]].alias("_gone")).na.drop().distinct(), "gone")
+    if gone.count() * 16 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, map_rows, only, written
+from .common import cut, map_rows, only, without, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -286,7 +286,4 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
 
 def first_of_groups(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without those that are not the smallest id of their group; rows without an id stay."""
-    gone = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    if gone.count() * 16 <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    return without(docs, groups.filter("doc_id <> component_id").select("doc_id"), doc_id)
