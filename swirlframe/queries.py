@@ -46,7 +46,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def gf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector fields: frame, gi, gj, x, y, u, v, masked, outlier on a full grid."""
     e = _table(spark, sf_dir, "events").select(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("frame"), (F.floor(F.hour("ts") / 3) + 1).cast("int").alias("gi"), (F.col("user_id") % 8 + 1).cast("int").alias("gj"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"), (F.col("event_type") == "error").alias("bad"))
-    g = e.groupBy("frame", "gi", "gj").agg((F.avg("value") / 50).alias("u"), (F.avg("k") / 10).alias("v"), (F.count_if("bad") >= 2).alias("outlier"))
+    g = e.groupBy("frame", "gi", "gj").agg((F.avg("value") / 47.3).alias("u"), (F.avg("k") / 9.7).alias("v"), (F.count_if("bad") >= 2).alias("outlier"))
     grid = e.select("frame").distinct().withColumn("gi", F.explode(F.sequence(F.lit(1), F.lit(8)))).withColumn("gj", F.explode(F.sequence(F.lit(1), F.lit(8))))
     nan = F.lit(float("nan"))
     return grid.join(g, ["frame", "gi", "gj"], "left").select("frame", "gi", "gj", (F.col("gj") * 16.0).alias("x"), (F.col("gi") * 16.0).alias("y"), F.coalesce("u", nan).alias("u"), F.coalesce("v", nan).alias("v"), F.col("u").isNull().alias("masked"), F.coalesce("outlier", F.lit(False)).alias("outlier"))
@@ -54,7 +54,7 @@ def gf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GF = """
 e AS (SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS frame, CAST(hour(ts) // 3 + 1 AS INT) AS gi, CAST(user_id % 8 + 1 AS INT) AS gj, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_type = 'error' AS bad FROM events),
-g AS (SELECT frame, gi, gj, avg(value) / 50 AS u, avg(k) / 10 AS v, count(*) FILTER (bad) >= 2 AS outlier FROM e GROUP BY ALL),
+g AS (SELECT frame, gi, gj, avg(value) / 47.3::DOUBLE AS u, avg(k) / 9.7::DOUBLE AS v, count(*) FILTER (bad) >= 2 AS outlier FROM e GROUP BY ALL),
 gf AS (SELECT CAST(f.frame AS INT) AS frame, CAST(a.i AS INT) AS gi, CAST(b.j AS INT) AS gj, b.j * 16.0::DOUBLE AS x, a.i * 16.0::DOUBLE AS y, u, v, u IS NULL AS masked, coalesce(outlier, false) AS outlier
   FROM (SELECT DISTINCT frame FROM e) f CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS i) a CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS j) b LEFT JOIN g ON g.frame = f.frame AND g.gi = a.i AND g.gj = b.j),
 ok AS (SELECT *, u IS NOT NULL AND NOT outlier AS good FROM gf)
@@ -323,9 +323,9 @@ def color_limits(spark, sf_dir):
 # --- scattered points ---
 
 
-@_query("WITH p AS (SELECT l_linenumber AS frame, l_quantity * 4 AS x, l_discount * 1000 AS y, l_extendedprice / 1e4 AS u, l_tax * 100 AS v FROM lineitem), b AS (SELECT frame, least(greatest(round_even((y - 8) / 16, 0) + 1, 1), 6)::INT AS gi, least(greatest(round_even((x - 8) / 16, 0) + 1, 1), 12)::INT AS gj, median(u) AS u, median(v) AS v, count(*) AS n FROM p GROUP BY ALL), g AS (SELECT f.frame, i.i AS gi, j.j AS gj FROM (SELECT DISTINCT frame FROM p) f CROSS JOIN (SELECT unnest(generate_series(1, 6)) AS i) i CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS j) j) SELECT g.frame, g.gi::INT AS gi, g.gj::INT AS gj, (8.0 + (g.gj - 1) * 16)::DOUBLE AS x, (8.0 + (g.gi - 1) * 16)::DOUBLE AS y, round(CASE WHEN n >= 3 THEN u END, 6) + 0.0 AS u, round(CASE WHEN n >= 3 THEN v END, 6) + 0.0 AS v, coalesce(n, 0) AS n, coalesce(n, 0) < 3 AS masked FROM g LEFT JOIN b ON g.frame = b.frame AND g.gi = b.gi AND g.gj = b.gj")
+@_query("WITH p AS (SELECT l_linenumber AS frame, l_quantity * 4 AS x, l_discount * 1000 AS y, l_extendedprice / 9973 AS u, l_tax * 100 AS v FROM lineitem), b AS (SELECT frame, least(greatest(round_even((y - 8) / 16, 0) + 1, 1), 6)::INT AS gi, least(greatest(round_even((x - 8) / 16, 0) + 1, 1), 12)::INT AS gj, median(u) AS u, median(v) AS v, count(*) AS n FROM p GROUP BY ALL), g AS (SELECT f.frame, i.i AS gi, j.j AS gj FROM (SELECT DISTINCT frame FROM p) f CROSS JOIN (SELECT unnest(generate_series(1, 6)) AS i) i CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS j) j) SELECT g.frame, g.gi::INT AS gi, g.gj::INT AS gj, (8.0 + (g.gj - 1) * 16)::DOUBLE AS x, (8.0 + (g.gi - 1) * 16)::DOUBLE AS y, round(CASE WHEN n >= 3 THEN u END, 6) + 0.0 AS u, round(CASE WHEN n >= 3 THEN v END, 6) + 0.0 AS v, coalesce(n, 0) AS n, coalesce(n, 0) < 3 AS masked FROM g LEFT JOIN b ON g.frame = b.frame AND g.gi = b.gi AND g.gj = b.gj")
 def bin_to_grid_median(spark, sf_dir):
-    p = _table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("frame"), (F.col("l_quantity") * 4).alias("x"), (F.col("l_discount") * 1000).alias("y"), (F.col("l_extendedprice") / 1e4).alias("u"), (F.col("l_tax") * 100).alias("v"))
+    p = _table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("frame"), (F.col("l_quantity") * 4).alias("x"), (F.col("l_discount") * 1000).alias("y"), (F.col("l_extendedprice") / 9973).alias("u"), (F.col("l_tax") * 100).alias("v"))
     return rounded(fields.bin_to_grid(p, 12, 6, 8.0, 8.0, 16.0))
 
 
