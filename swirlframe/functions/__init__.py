@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -191,3 +192,21 @@ def frame_index_strings(a: str, b: str) -> tuple[str, str]:
     while tail < min(len(px), len(py)) - lead and px[-1 - tail] == py[-1 - tail]:
         tail += 1
     return "".join(px[lead : len(px) - tail]), "".join(py[lead : len(py) - tail])
+
+
+def scale_from_points(p1, p2, distance: float, dt: float, length_unit: str = "mm", time_unit: str = "s"):
+    """A PhysicalScale from two points a known distance apart."""
+    import math
+
+    from ..params import PhysicalScale
+
+    return PhysicalScale(distance / math.dist(p1, p2), dt, length_unit, time_unit)
+
+
+def index_strings(a, b) -> Column:
+    """struct<a, b> of what differs in two path columns, a batch at a time."""
+    @F.pandas_udf("a string, b string")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([frame_index_strings(p, q) for p, q in zip(x, y, strict=True)], columns=["a", "b"])
+
+    return run(col(a), col(b))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Pixels resampled at once.
+BLOCK = 32_768
+
 
 def _prefilter(f: np.ndarray) -> np.ndarray:
     """Cubic B-spline coefficients along axis 0 (n + 2 of them), the second derivative vanishing at both ends."""
@@ -39,19 +42,24 @@ class Spline:
         self.c = _prefilter(_prefilter(np.asarray(image, float)).T).T
 
     def __call__(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        if rows.ndim == 2 and rows.size > BLOCK:  # a few rows at a time, so that what is in between stays in the cache
+            step = max(1, BLOCK // rows.shape[1])
+            return np.concatenate([self(rows[i : i + step], cols[i : i + step]) for i in range(0, len(rows), step)])
         nr, nc = self.shape
-        inside = (rows >= 0) & (rows <= nr - 1) & (cols >= 0) & (cols <= nc - 1)
-        r, c = np.clip(np.nan_to_num(rows), 0, nr - 1), np.clip(np.nan_to_num(cols), 0, nc - 1)
-        i, j = np.minimum(r.astype(int), max(nr - 2, 0)), np.minimum(c.astype(int), max(nc - 2, 0))
+        r, c = np.clip(rows, 0, nr - 1), np.clip(cols, 0, nc - 1)
+        inside = (r == rows) & (c == cols)
+        r, c = np.where(inside, r, 0.0), np.where(inside, c, 0.0)
+        i, j = np.minimum(r.astype(np.int64), max(nr - 2, 0)), np.minimum(c.astype(np.int64), max(nc - 2, 0))
         wr, wc = self._weights(r - i), self._weights(c - j)
-        flat, width = self.c.ravel(), self.c.shape[1]
+        flat, width = self.c.reshape(-1), self.c.shape[1]
         base = i * width + j
-        out = np.zeros(np.shape(rows))
+        out = np.zeros(rows.shape)
         for a in range(4):
-            line = np.zeros(np.shape(rows))
-            for b in range(4):
-                line += wc[b] * flat[base + a * width + b]
+            line = wc[0] * flat.take(base)
+            for b in range(1, 4):
+                line += wc[b] * flat.take(base + b)
             out += wr[a] * line
+            base += width
         return np.where(inside, out, 0.0)
 
     @staticmethod

@@ -280,3 +280,22 @@ def benchmark(a: np.ndarray, b: np.ndarray, configurations: dict[str, list[PIVPa
 
 
 __all__ = ["run_piv", "run_piv_sequence", "run_piv_ensemble", "run_piv_stereo_sequence", "run_piv_stereo_ensemble", "self_calibrate", "benchmark", "neighbourhood"]
+
+
+def smooth_fields(vectors: DataFrame, s: float | None = None, robust: bool = False, key: str = "pair_id") -> DataFrame:
+    """``vectors`` with u, v smoothed by penalised least squares, a frame at a time; outliers and masked nodes get no weight."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows["gi"] - 1, rows["gj"] - 1
+        shape = int(rows["gi"].max()), int(rows["gj"].max())
+        weight = np.zeros(shape)
+        weight[at] = ~(rows["outlier"] | rows["masked"])
+        out = rows.copy()
+        for c in ("u", "v"):
+            f = np.full(shape, np.nan)
+            f[at] = rows[c]
+            out[c] = neighbourhood.smoothn(f, s, weight, robust)[at]
+        return out
+
+    return vectors.groupBy(key).applyInPandas(run, vectors.schema)

@@ -212,3 +212,38 @@ def test_tracker_state_round_trips():
     t = particles.Tracker(PTVParameters(uod_enable=False), 0)
     t.add(1, {"x": np.array([5.0]), "y": np.array([5.0]), "intensity": np.ones(1), "diameter": np.array([3.0])})
     assert len(t.live) == 1 and t.tracks(1)[0][0][:3] == (1, 5.0, 5.0)
+
+
+def test_calibration_of_plates(spark):
+    from swirlframe.operators import calibration
+
+    cam = camera(0.1, f=2500, size=384)
+    shots = [(1, k, z, 384, 384, synthetic.calibration_target(cam, (384, 384), 6.0, z=z, nodes=5).ravel().tolist()) for k, z in enumerate((-3.0, 0.0, 3.0))]
+    plates = spark.createDataFrame(shots, "camera int, plane int, z double, n_rows int, n_cols int, pixels array<double>")
+    points = calibration.detect_plates(plates, 6.0).persist()
+    assert points.count() > 200
+    for model, most in (("pinhole", 0.3), ("soloff", 0.3)):
+        fitted = calibration.calibrate_cameras(points, model)
+        q = calibration.calibration_quality(calibration.reprojection_errors(points, fitted), "camera").first()
+        assert q.rms < most and q.n == points.count()
+    two = synthetic.calibration_target(cam, (384, 384), 6.0, nodes=5, level_separation=2.0)
+    g = geometry.detect_grid(two, 6.0, two_level=True, level_separation=2.0)
+    w, px = geometry.grid_points(g, 0.0, g["level"], g["separation"])
+    assert np.median(np.hypot(*(cam.world_to_pixel(w) - px).T)) < 0.3 and len(set(g["level"])) == 2
+
+
+def test_smoothing_by_frame(spark):
+    a, b, *_ = synthetic.image_pair((96, 96), synthetic.linear_flow(1.0, 0.5), 0.05)
+    v = piv.run_piv_sequence(pair_rows(spark, [(a, b), (b, a)]), passes=[PIVParameters((32, 32))])
+    got = piv.smooth_fields(v).groupBy("pair_id").agg(F.avg("u").alias("u")).orderBy("pair_id").collect()
+    assert abs(got[0].u - 1) < 0.1 and abs(got[1].u + 1) < 0.1
+
+
+def test_scale_and_names(spark):
+    from swirlframe import functions as C
+
+    assert C.scale_from_points((0, 0), (3, 4), 10.0, 0.1).pixel_size == 2.0
+    df = spark.createDataFrame([("x/img_0001.tif", "x/img_0002.tif"), ("run10_A.png", "run20_A.png"), ("f_099.png", "f_100.png"), ("cam1_5", "cam1_6")], "a string, b string")
+    assert [tuple(r.s) for r in df.select(C.index_strings("a", "b").alias("s")).collect()] == [("0001", "0002"), ("10", "20"), ("099", "100"), ("5", "6")]
+    with pytest.raises(ValueError):
+        C.frame_index_strings("a/x.png", "b/x.tif")
