@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, only, written
-from .tokens import Ids, default_path
+from .tokens import default_path, ids_of
 
 CAPACITY, END = 4096, 1
 
@@ -148,7 +148,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     """(doc_id, piece, start, length, ids_crc32, part, rank): each document's pieces; rank counts a length within a task."""
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
-        ids, part, ranks = Ids(path), TaskContext.get().partitionId(), Counter()
+        ids, part, ranks = ids_of(path), TaskContext.get().partitionId(), Counter()
         tail, step = np.array([end], "<u4").tobytes(), 4 * capacity
         for owner, body in rows:
             data = ids.of((body or b"").decode()) + tail

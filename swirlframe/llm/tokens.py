@@ -2,18 +2,23 @@
 
 The word vocabulary's tokenizer turns white space into one space and drops it before the merges, so no token
 spans white space: a text's ids are its words' ids one after the other. Each distinct word goes through the
-library once per task and is then looked up. Characters that Python and the library split differently
-(``\\x1c``-``\\x1f``) send the whole text through the library instead.
+library once per worker process and is then looked up. Before cutting, a text is lower-cased as the tokenizer would
+and a lone full stop or comma after a letter is cut off, which the tokenizer does as well: fewer distinct words. Where
+Python and the library could differ (``\\x1c``-``\\x1f``, special strings, final sigma, texts not in NFC) these steps are
+left out, or the whole text goes through the library.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids a task remembers; beyond it the memory starts afresh (results don't change).
-REMEMBERED = 400_000
+#: Words whose ids a worker process remembers, in each of two generations (results don't depend on it).
+REMEMBERED = 500_000
+_POINT = re.compile(r"(?<=[a-z])([.,])(?=\s|$)")
 
 
 @lru_cache(maxsize=4)
@@ -33,10 +38,11 @@ def spans_words(path: str) -> bool:
     import json
 
     spec = json.loads(tokenizer(path).to_str())
-    folds = any(n.get("type") == "Replace" and n.get("content") == " " and n.get("pattern") == {"Regex": "\\s+"} for n in (spec.get("normalizer") or {}).get("normalizers", []))
+    normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
     splits = [s for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if s.get("type") == "Split"]
-    plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
-    return folds and plain and bool(splits) and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and "\\s" in str(splits[0]["pattern"])
+    plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
+    pattern = splits[0]["pattern"].get("Regex", "") if splits else ""
+    return normal == ["NFC", "Replace", "Lowercase"] and plain and pattern.endswith(r"|[\p{N}]|[^\s\p{L}\p{N}]+") and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
 
 
 def cuts_alike(text: str) -> bool:
@@ -44,37 +50,78 @@ def cuts_alike(text: str) -> bool:
     return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
 
 
+def canonical(text: str) -> str:
+    """The text lower-cased where that is what the tokenizer's normaliser comes to, or else as it is."""
+    if "<|" in text or "Σ" in text:
+        return text
+    low = text.lower()
+    if text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+        return low
+    return text
+
+
 def words_of(text: str, path: str) -> list[str]:
     """The text's pre-tokens: its words, or the text itself where words can't be cut out beforehand."""
     if not text:
         return []
-    return text.split() if spans_words(path) and cuts_alike(text) else [text]
+    if not spans_words(path) or not cuts_alike(text):
+        return [text]
+    return _POINT.sub(r" \1", canonical(text)).split()
 
 
 class Ids:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.known, self.library = path, {}, tokenizer(path)
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.path, self.library = path, tokenizer(path)
+        special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")]
+        self.between = special[0] if special and spans_words(path) else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> bool:
+        full = len(self.young) + len(words) > REMEMBERED
+        if full:
+            self.old, self.young = self.young, {}
+        todo = []
+        for w in words:
+            if (known := self.old.get(w)) is not None:
+                self.young[w] = known
+            else:
+                todo.append(w)
+        joined = [w for w in todo if "<|" not in w] if self.between else []
+        for at in range(0, len(joined), 1024):  # one call for many words, a special token between them
+            some = joined[at : at + 1024]
+            ids = np.array(self.library.encode(self.between[0].join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.between[1]), len(ids)).tolist()
+            data, start = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                self.young[w] = data[4 * start : 4 * end]
+                start = end + 1
+        for w in todo if not joined else [w for w in todo if "<|" in w]:
+            self.young[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        return full
 
     def of(self, text: str) -> bytes:
         words = words_of(text, self.path)
         if len(words) == 1 and len(words[0]) > 1000:
             return np.array(self.library.encode(words[0], add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            self.learn(new)
-            if len(known) < len(new):  # cleared just now
-                known = self.known
-            if any(w not in known for w in set(words)):
-                self.learn([w for w in set(words) if w not in known])
-        return b"".join(map(known.__getitem__, words))
+        distinct = set(words)
+        new = distinct.difference(self.young)
+        if new:
+            if self._learn(list(new)):  # a new generation began just now
+                self._learn(list(distinct.difference(self.young)))
+        out = b"".join(map(self.young.__getitem__, words))
+        for w in new:
+            if len(w) > 256:  # memory is bounded in words, so only short ones stay
+                del self.young[w]
+        return out
+
+
+@lru_cache(maxsize=2)
+def ids_of(path: str) -> Ids:
+    """One memory of words for each worker process, whichever tasks it runs."""
+    return Ids(path)
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:

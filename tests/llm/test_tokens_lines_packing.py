@@ -13,6 +13,7 @@ from swirlframe.llm.tokens import Ids, default_path, tokenizer
 ODD = [
     None, "", " ", "\n", "plain text here", "It's we'll DON'T I'VE ’s", "<|endoftext|> and x<|startoftext|>y", "ΑΣ ΣΑΣ ΟΔΟΣ. Σ",
     "a\x1cb\x1d c\x85d e f​g", "é ́x é É ÇA straße İstanbul ﬁ Ⅷ ½ ٣ 12345", "日本語 の 文章 😀👍🏽 🇩🇪", "x" * 9000, "word " * 5000,
+    "a.\n", "ẗ T̈. İ. ÀÉ, ß. AΣ, T̈", "e.g., x.,y .z '.' a.b. .", "<|ENDOFTEXT|> A, B. <|endoftext|>.", "Ὀδυσσεύς, ǅ, ﬀ. K. Ω. É̀",
     "tab\tand\nline\r\nends\x0b\x0c.", "same line\nsame line\n  SAME LINE \nother", "same line", "same line", "the_end--of---it!!! #$%&* 3.14",
 ]
 
@@ -23,10 +24,12 @@ def frame(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, row long, tail string, n_lines string")
 
 
-def test_ids_equal_the_librarys():
+@pytest.mark.parametrize("remembered", [20, 1000])
+def test_ids_equal_the_librarys(monkeypatch, remembered):
+    monkeypatch.setattr("swirlframe.llm.tokens.REMEMBERED", remembered)
     path = default_path()
     ids, lib = Ids(path), tokenizer(path)
-    for t in ODD:
+    for t in ODD * 2:
         assert ids.of(t or "") == np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
