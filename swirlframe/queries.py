@@ -333,23 +333,23 @@ def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 5).alias("x"), ((F.col("p_partkey") * 37) % 211).cast("double").alias("y"), (F.col("p_size") / 10.0).alias("u"), ((F.col("p_partkey") % 17) / 4.0).alias("v"))
 
 
-PTS = "p AS (SELECT p_partkey AS id, p_retailprice / 5 AS x, ((p_partkey * 37) % 211)::DOUBLE AS y, p_size / 10.0::DOUBLE AS u, (p_partkey % 17) / 4.0::DOUBLE AS v FROM part), q AS (SELECT a.id AS id_a, b.id AS id_b, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2, a.u AS ua, b.u AS ub, a.v AS va, b.v AS vb FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 9 AND abs(a.y - b.y) <= 9 WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 81), k AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS rank FROM q)"
+PTS = "p AS (SELECT p_partkey AS id, p_retailprice / 5 AS x, ((p_partkey * 37) % 211)::DOUBLE AS y, p_size / 10.0::DOUBLE AS u, (p_partkey % 17) / 4.0::DOUBLE AS v FROM part), q AS (SELECT a.id AS id_a, b.id AS id_b, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2, a.u AS ua, b.u AS ub, a.v AS va, b.v AS vb FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 5 AND abs(a.y - b.y) <= 5 WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 25), k AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS rank FROM q)"
 
 
 @_query(f"WITH {PTS} SELECT id_a, id_b, round(d2, 4) + 0.0 AS d2 FROM q")
 def range_join(spark, sf_dir):
     p = scattered(spark, sf_dir)
-    return rounded(neighbors.range_join(p, p, 9.0).filter("id_a <> id_b").select("id_a", "id_b", "d2"), 4)
+    return rounded(neighbors.range_join(p, p, 5.0).filter("id_a <> id_b").select("id_a", "id_b", "d2"), 4)
 
 
 @_query(f"WITH {PTS} SELECT id_a, id_b, rank::INT AS rank FROM k WHERE rank <= 4")
 def knn_join(spark, sf_dir):
-    return neighbors.knn(scattered(spark, sf_dir), 4, 9.0).select("id_a", "id_b", "rank")
+    return neighbors.knn(scattered(spark, sf_dir), 4, 5.0).select("id_a", "id_b", "rank")
 
 
 @_query(f"WITH {PTS}, e AS (SELECT *, median(ub) OVER w AS mu, median(vb) OVER w AS mv, count(*) OVER w AS n FROM k WHERE rank <= 8 WINDOW w AS (PARTITION BY id_a)), d AS (SELECT id_a, any_value(n) AS n, abs(any_value(ua) - any_value(mu)) / (median(abs(ub - mu)) + 0.1) > 2 OR abs(any_value(va) - any_value(mv)) / (median(abs(vb - mv)) + 0.1) > 2 AS flag FROM e GROUP BY id_a) SELECT id, coalesce(n >= 3 AND flag, false) AS flag FROM p LEFT JOIN d ON id = id_a")
 def scattered_outliers(spark, sf_dir):
-    return neighbors.scattered_outliers(scattered(spark, sf_dir), 9.0).select("id", "flag")
+    return neighbors.scattered_outliers(scattered(spark, sf_dir), 5.0).select("id", "flag")
 
 
 # --- tracks ---
