@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from pyspark.sql import functions as F
 
-from .common import map_rows, only
+from .common import map_rows, only, written
 
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE, CONFIDENCE, SMOOTH, LEAST = 400, 0.05, 0.02, 16
@@ -174,6 +174,7 @@ def labelled_credentials(docs: DataFrame, sample: int = SAMPLE, text: str = "tex
             yield from ((kind, v, h) for v, h in heapq.nsmallest(sample, held[kind].items(), key=lambda x: (x[1], x[0])))
 
     found = map_rows(only(docs, text=text), harvest, "kind int, value binary, h long", pa.schema([("kind", pa.int32()), ("value", pa.binary()), ("h", pa.int64())])).distinct()
+    found = written(found, "credentials")  # one scan of the texts, at most `sample` rows a kind and task
     out: dict[int, list[bytes]] = {}
     for kind in range(3):
         rows = found.filter(F.col("kind") == kind).orderBy("h", "value").limit(sample).collect()
