@@ -52,7 +52,7 @@ class Features:
         text = text or b""
         words = text.lower().split()
         distinct, known = set(words), self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         ids = np.fromiter((known[w] if w in known else known.setdefault(w, zlib.crc32(w) % self.buckets) for w in distinct), np.int32, len(distinct))
         values = [*statistics(text, words, len(distinct)), *(1 - 1000 / (1000 + max(0.0, float(m or 0))) for m in metadata)]

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words whose ids a worker process remembers, in each of two generations (results don't depend on it).
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 _POINT = re.compile(r"(?<=[a-z])([.,])(?=\s|$)")
 
 
