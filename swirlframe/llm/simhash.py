@@ -11,8 +11,8 @@ whole fingerprints are compared. Equal fingerprints are one node beforehand.
 Anchors are streamed in sorted order and compared in blocks of bounded size; an anchor gives a spanning forest of
 its links, not all pairs. Components are found by star contraction on those links, cut by checkpoints.
 
-Wide fingerprints (several 64-bit words mixed from the same shingle hash) and many sampled segments with t = 0
-find pairs of a lower similarity with high probability instead of with certainty; see ``similar_groups``.
+Groups by a lower similarity, beyond any distance that a covering can afford, are exact as well, by a join of the
+shingle sets themselves; see ``similar_groups``.
 
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other; a text with fewer
 words than a shingle is one shingle; repeated rows each get a row; an empty table gives an empty result.
@@ -21,6 +21,7 @@ words than a shingle is one shingle; repeated rows each get a row; an empty tabl
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, only, without, written
+from .common import as_bytes, cut, map_rows, only, without, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -119,11 +120,6 @@ def exact_segments(distance: int, bits: int = 64) -> list[Segment]:
     return [Segment(part, t) for part in np.array_split(np.arange(bits), n)]
 
 
-def sampled_segments(n: int, size: int, bits: int, seed: int = 7) -> list[Segment]:
-    rng = np.random.default_rng(seed)
-    return [Segment(np.sort(rng.choice(bits, size, replace=False)), 0) for _ in range(n)]
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smallest node of its component) that connect what the links (a, b) connect."""
     nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -262,27 +258,187 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return prints.join(classes, "w0").select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For groups by similarity: fingerprint words, sampled segments and their bits.
-WIDE_WORDS, WIDE_SEGMENTS, WIDE_BITS = 4, 40, 16
+#: Counters that order shingles by frequency (a fixed size: 8 MB broadcast), and what one task merges of them.
+COUNTERS, COUNTERS_CHUNK = 1 << 22, 1 << 17
+
+
+def shingle_set(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's shingles; none of a text without words."""
+    parts, found = (text or b"").lower().split(), [np.zeros(0, np.uint64)]
+    for at in range(0, max(1, len(parts) - shingle + 1) if parts else 0, 1 << 16):
+        some = parts[at : at + (1 << 16) + shingle - 1]
+        whole = map(b" ".join, zip(*(some[i:] for i in range(shingle)))) if len(some) >= shingle else [b" ".join(some)]
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, whole, repeat(seed)), np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def _node(own: np.ndarray) -> int:
+    """A set's 64-bit name."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
+
+
+def _counted(texts: DataFrame, shingle: int, size: int = COUNTERS) -> np.ndarray:
+    """Counters of shingles by the low bits of their hashes, up to 65,535: no shingle is in more texts than its counter says, below that."""
+    chunk = min(COUNTERS_CHUNK, size)
+
+    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
+        total, held, n = np.zeros(size, np.int64), [], 0
+        for (body,) in rows:
+            held.append(shingle_set(body, shingle) & np.uint64(size - 1))
+            n += len(held[-1])
+            if n > size:
+                total += np.bincount(np.concatenate(held).view(np.int64), minlength=size)
+                held, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(held).view(np.int64), minlength=size)
+        for i in range(0, size, chunk):
+            if total[i : i + chunk].any():
+                yield i // chunk, zlib.compress(np.minimum(total[i : i + chunk], 65535).astype("<u2").tobytes(), 1)
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, number = np.zeros(chunk, np.int64), None
+        for part in parts:
+            for number, some in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                total += np.frombuffer(zlib.decompress(some), "<u2")
+        if number is not None:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)], pa.binary())})
+
+    merge.__annotations__ = {"parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    sent = map_rows(texts, count, "chunk int, counts binary", pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
+    out = np.zeros(size, "<u2")
+    for row in sent.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary").collect():  # at most 2 * size bytes
+        out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(zlib.decompress(bytes(row.counts)), "<u2")
+    return out
+
+
+def _candidates(node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group whose sizes and places allow the similarity, a bounded number of comparisons at a time."""
+    order = np.lexsort((n, group))
+    node, n, at, group = node[order], n[order], at[order], group[order]
+    # Sizes ascend in a group: a row's partners are the next ones, up to its own size / similarity.
+    reach = group.astype(np.float64) * 2.0**32
+    last = np.searchsorted(reach + n, reach + np.minimum(np.floor(n / similarity + 1e-9), 2.0**31), side="right")
+    start, size, i = np.arange(1, len(n) + 1), last - np.arange(1, len(n) + 1), 0
+    while i < len(n):
+        k = max(1, int(np.searchsorted(np.cumsum(size[i : i + PAIRS]), PAIRS, side="right")))
+        z, s = size[i : i + k], start[i : i + k]
+        for lo in range(0, max(1, int(z[0])) if k == 1 else 1, PAIRS):  # one row with very many partners
+            part = np.clip(z - lo, 0, PAIRS) if k == 1 else z
+            left = np.repeat(np.arange(i, i + k), part)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part) + np.repeat(s + lo, part)
+            most = np.minimum(n[left] - at[left], n[right] - at[right])  # from the shared shingle on
+            ok = (most * (1 + similarity) >= similarity * (n[left] + n[right]) - 1e-9) & (node[left] != node[right])
+            if ok.any():
+                yield np.minimum(node[left[ok]], node[right[ok]]), np.maximum(node[left[ok]], node[right[ok]])
+        i += k
+
+
+def similar_pairs(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): distinct pairs of nodes that may have the similarity; every pair that has it is among them.
+
+    Shingles have one common order, rarest first by counters. Sets of n and of similarity s or more share a shingle of the
+    first n - ceil(s * n) + 1 of each (prefix filter), and sizes and places of that shingle bound their overlap.
+    """
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(zlib.compress(_counted(texts, shingle).tobytes(), 1))
+
+    def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.frombuffer(zlib.decompress(shared.value), "<u2"), set()
+        for part in parts:
+            for lo in range(0, part.num_rows, 512):
+                cols: list[list[np.ndarray]] = [[], [], [], []]
+                for body in as_bytes(part.column(0).slice(lo, 512)):
+                    own = shingle_set(body, shingle)
+                    node, n = _node(own), len(own)
+                    if not n or node in seen:
+                        continue
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(node)
+                    often = counts[(own & np.uint64(len(counts) - 1)).astype(np.int64)]
+                    first = np.lexsort((own, often))[: n - math.ceil(similarity * n - 1e-9) + 1]
+                    at = np.flatnonzero(often[first] > 1)  # a counter of one: in no other text
+                    for c, x in zip(cols, (own[first[at]].view(np.int64), np.full(len(at), node, np.int64), np.full(len(at), n, np.int32), at.astype(np.int32)), strict=True):
+                        c.append(x)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["shingle", "node", "n", "at"])
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            keep = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))  # the last shingle may go on
+            held = [[c[keep:] for c in cols]] if keep < len(cols[0]) else []
+            size = len(cols[0]) - keep
+            token, node, n, at = (c[:keep] for c in cols)
+            if not keep:
+                return
+            order = np.lexsort((node, token))
+            token, node, n, at = token[order], node[order], n[order], at[order]
+            once = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])  # copies from several tasks
+            token, node, n, at = token[once], node[once], n[once], at[once]
+            group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+            some = np.bincount(group)[group] > 1
+            for a, b in _candidates(node[some], n[some].astype(np.int64), at[some].astype(np.int64), group[some], similarity):
+                for lo in range(0, len(a), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 65536]), pa.array(b[lo : lo + 65536])], names=["a", "b"])
+
+        for part in parts:
+            if not part.num_rows:
+                continue
+            held.append([part.column(i).to_numpy(zero_copy_only=False) for i in range(part.num_columns)])
+            size += part.num_rows
+            if size >= 1_000_000 and held[0][0][0] != held[-1][0][-1]:
+                yield from settle(False)
+        if held:
+            yield from settle(True)
+
+    rows = texts.mapInArrow(prefixes, "shingle long, node long, n int, at int")
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(meet, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) by estimated Jaccard similarity of shingles: texts of ``similarity`` or more are linked.
+    """(doc_id, component_id) by exact Jaccard similarity of shingle sets: texts of ``similarity`` or more are linked, no others.
 
-    The expected share of differing bits at Jaccard j is acos(2j / (1 + j)) / pi; the distance allows two standard
-    errors of half that size more, so that pairs at the threshold itself are mostly caught. With 256 bits and 40
-    segments a pair at 0.8 meets with probability 0.95, at 0.9 with over 0.999. Texts without words stay alone.
+    No sampled fingerprint finds every such pair, so candidates come from a prefix-filtered join of the sets (``similar_pairs``),
+    and each is decided on the whole sets. Equal sets are one node beforehand; so are texts without words.
     """
-    bits = 64 * WIDE_WORDS
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    distance = round(bits * share + math.sqrt(bits * share * (1 - share)))
-    names = [f"w{j}" for j in range(WIDE_WORDS)]
-    prints = written(fingerprints(docs, shingle, WIDE_WORDS, text, doc_id), "wide-fingerprints")
-    distinct = written(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "wide-distinct")
-    worded = distinct.filter(" OR ".join(f"{n} <> 0" for n in names)).filter("node IS NOT NULL")
-    roots = written(components(links(worded, sampled_segments(WIDE_SEGMENTS, WIDE_BITS, bits), distance, WIDE_WORDS)), "wide-roots")
-    classes = distinct.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, names).select("doc_id", "component_id")
+    given = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+    def named(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for owner, body in rows:
+            yield owner, _node(shingle_set(body, shingle))
+
+    def whole(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (body,) in rows:
+            own = shingle_set(body, shingle)
+            yield _node(own), own.tobytes()
+
+    def decided(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for a, b, x, y in rows:
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                yield a, b
+
+    long2 = lambda a, b: pa.schema([(a, pa.int64()), (b, pa.int64())])
+    nodes = written(map_rows(given, named, "doc_id long, node long", long2("doc_id", "node")), "set-names")
+    distinct = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first")).na.drop(), "set-distinct")
+    pairs = written(similar_pairs(given.filter("doc_id IS NOT NULL").select("text"), similarity, shingle), "set-pairs")
+    # The sets of the nodes in pairs only; a repeated id may bring others, which meet no pair.
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(distinct, "node").select(F.col("first").alias("_first")).distinct()
+    texts = given.join(asked, F.col("doc_id") == F.col("_first"), "left_semi").select("text")
+    sets = written(map_rows(texts, whole, "node long, own binary", pa.schema([("node", pa.int64()), ("own", pa.binary())])).dropDuplicates(["node"]), "sets")
+    x, y = (sets.select(F.col("node").alias(c), F.col("own").alias(f"_{c}")) for c in "ab")
+    edges = map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "_a", "_b"), decided, "a long, b long", long2("a", "b"))
+    roots = written(components(edges), "set-roots")
+    every = roots.unionAll(roots.select("root", "root").distinct())
+    lowest = every.join(distinct, "node").groupBy("root").agg(F.min("first").alias("low"))
+    classes = written(distinct.join(every.join(lowest, "root").select("node", "low"), "node", "left").select("node", F.coalesce("low", "first").alias("component_id")), "set-classes")
+    return nodes.join(classes, "node", "left").select("doc_id", "component_id")
 
 
 def first_of_groups(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -144,3 +144,19 @@ def test_similar_groups(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     assert all(got[i] == owner.index(g) for i, g in enumerate(owner) if g is not None)
     assert len(simhash.first_of_groups(docs, simhash.similar_groups(docs)).collect()) == 31  # texts without words have one fingerprint and are one group
+
+
+def cut_texts(words):
+    """60 texts of 100 shingles, each followed by its first ``words`` words."""
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(104)] for _ in range(60)]
+    return [" ".join(x) for b in bases for x in (b, b[:words])]
+
+
+def test_similar_groups_find_every_pair_at_the_threshold(spark):
+    texts = cut_texts(84)  # 80 of 100 shingles
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[2]), (None, "of no other")], "doc_id long, text string")
+    rows = simhash.similar_groups(docs).collect()
+    got = {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
+    assert got == {i: i - i % 2 for i in range(len(texts))} and len(rows) == len(texts) + 2
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
