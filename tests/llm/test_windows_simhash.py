@@ -160,3 +160,11 @@ def test_similar_groups_find_every_pair_at_the_threshold(spark):
     got = {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
     assert got == {i: i - i % 2 for i in range(len(texts))} and len(rows) == len(texts) + 2
     assert simhash.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_similar_groups_link_nothing_below_the_threshold(spark):
+    texts = cut_texts(83)  # 79 of 100 shingles
+    # Fingerprints of these are alike: one shingle outweighs all that differ.
+    texts += [" ".join(["a"] * 300 + [f"{k}x{i}" for i in range(20)]) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == {i: i for i in range(len(texts))}
