@@ -25,10 +25,24 @@ KEY = "swirlframe"
 KINDS = ("email", "iban", "card", "ssn", "date", "ip", "phone")
 _L, _R = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-IBAN = _L + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _R
+#: Lengths of IBANs by country (registry), tried first, so that words that follow stay outside.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: What has no country's length is taken at any.
+IBAN = _L + "(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)" + _R
 CARD = _L + r"(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _R
 SSN = _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R
-DATE = _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _R
+DATE = _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:" + _R + r"|(?=T[0-9]{2}:?[0-9]{2}))"
 IP = r"(?<![0-9A-Za-z_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z_+.])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,5}){2,4})" + _R
 ANY = "|".join((EMAIL, IBAN, CARD, SSN, DATE, IP, PHONE))
@@ -198,7 +212,7 @@ _MADE = {"email": (EMAIL, _email), "iban": (IBAN, _iban), "card": (CARD, _card),
 def pseudonyms(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with the text's values replaced, and ``pii``: array of (kind, pseudonym) in order of the text."""
     body = F.col(text)
-    likely = body.rlike("[0-9]{2}") | body.contains("@")
+    likely = body.rlike("[0-9]") | body.contains("@")  # every pattern has one of them
 
     def made(m: Column) -> Column:
         out = F.lit(None).cast("struct<kind:string,pseudonym:string>")

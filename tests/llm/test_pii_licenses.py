@@ -43,6 +43,19 @@ def test_values_keep_their_formats_and_stay_linked(spark):
     assert pii.pseudonyms(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_valid_values_are_found_whatever_stands_around_them(spark):
+    texts = [
+        "dns 8.8.8.8", "dns 8.8.8.8 in 2024", "to AT61 1904 3002 3457 3201 EUR", "AT611904300234573201 EUR", "GB82 WEST 1234 5698 7654 32 BIC X", "at 2024-01-15T10:00:00Z", "on 2024-01-15",
+        "2024-01-15Test stays", "NO93 8601 1117 947 NOK", "MT84 MALT 0110 0001 2345 MTLC AST0 01S 12",
+    ]
+    got = run(spark, texts)
+    assert [[k for k, _ in got[i][1]] for i in range(len(texts))] == [["ip"], ["ip"], ["iban"], ["iban"], ["iban"], ["date"], ["date"], [], ["iban"], ["iban"]]
+    value = [got[i][1][0][1] if got[i][1] else None for i in range(len(texts))]
+    assert value[0] == value[1] and value[2].replace(" ", "") == value[3] and value[5] == value[6]
+    assert got[0][0] == f"dns {value[0]}" and got[2][0] == f"to {value[2]} EUR" and got[4][0] == f"{value[4]} BIC X" and got[5][0] == f"at {value[5]}T10:00:00Z"
+    assert got[7][0] == texts[7] and got[8][0] == f"{value[8]} NOK" and got[9][0] == f"{value[9]} 12"
+
+
 def test_permutations_are_one_to_one(spark):
     def told(df):
         rows = [r[0] for r in df.collect()]
