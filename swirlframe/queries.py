@@ -352,6 +352,17 @@ def scattered_outliers(spark, sf_dir):
     return neighbors.scattered_outliers(scattered(spark, sf_dir), 5.0).select("id", "flag")
 
 
+@_query(None)
+def knn_join_exact(spark, sf_dir):
+    """The four nearest however far; ``knn_join`` and its SQL stop at their radius."""
+    return neighbors.nearest(scattered(spark, sf_dir), 4, 9.0).select("id_a", "id_b", "rank")
+
+
+@_query(None)
+def scattered_outliers_exact(spark, sf_dir):
+    return neighbors.scattered_outliers(scattered(spark, sf_dir), 9.0, exact=True).select("id", "flag")
+
+
 # --- tracks ---
 
 
