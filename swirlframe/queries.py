@@ -286,6 +286,13 @@ def power_spectrum(spark, sf_dir):
     return rounded(fields.power_spectrum(s, ("gi", "gj"), "frame", "u"))
 
 
+@_query(None)
+def power_spectrum_all(spark, sf_dir):
+    """Of every node; ``power_spectrum`` and its SQL take two columns of the grid."""
+    s = fields.filled_series(gf(spark, sf_dir), ("gi", "gj"), "frame", "u", "mean")
+    return rounded(fields.power_spectrum(s, ("gi", "gj"), "frame", "u"))
+
+
 @_query(f"WITH {GF}, s AS (SELECT gi, gj, frame, u, row_number() OVER (PARTITION BY gi, gj ORDER BY frame) AS k FROM gf), f AS (SELECT *, last_value(u IGNORE NULLS) OVER b AS lo, last_value(CASE WHEN u IS NOT NULL THEN k END IGNORE NULLS) OVER b AS la, first_value(u IGNORE NULLS) OVER a AS hi, first_value(CASE WHEN u IS NOT NULL THEN k END IGNORE NULLS) OVER a AS ha FROM s WINDOW b AS (PARTITION BY gi, gj ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY gi, gj ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT gi, gj, frame, round(coalesce(u, lo + (hi - lo) * (k - la) / (ha - la), lo, hi), 6) + 0.0 AS u FROM f")
 def gap_filling(spark, sf_dir):
     return rounded(fields.filled_series(gf(spark, sf_dir), ("gi", "gj"), "frame", "u", "linear").select("gi", "gj", "frame", "u"))
