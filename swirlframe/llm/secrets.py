@@ -3,7 +3,8 @@
 The fixed patterns give the base spans. Their matches are credentials labelled by kind; from a bounded sample of
 them (SAMPLE per kind, those of smallest hash) a prefix tree is built for each kind, and its states are merged where a
 Hoeffding bound finds their frequencies compatible, which gives a probabilistic automaton of the format. Every
-candidate of the corpus (a run of credential characters with a letter and a digit, outside base spans) is then scored by
+candidate of the corpus (a run of 16 or more credential characters, without dots, with a letter and a digit, outside base
+spans) is then scored by
 its mean log-likelihood against a uniform text, and spans of kind ``format`` are added above a cut-off that most
 labelled credentials left out of the fit pass.
 
