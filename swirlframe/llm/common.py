@@ -6,11 +6,14 @@ Folders: everything that has to outlive a stage goes to the folder that the sess
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only below this many bytes of payload; beyond it operators join or work in blocks.
@@ -18,27 +21,110 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session has none."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder that driver and executors share; one is made only where there is none and all runs on this machine."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        set_to = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint, so that a lost executor costs no recomputation of what is above."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def scratch(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return path
+
+
+_SCRATCH: set[str] = set()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: one evaluation for many readers."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that ``df`` has no column of, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def row_key(owner: Column, text: Column) -> Column:
+    """128 bits (binary) that tell rows of different ids or texts apart."""
+    return F.unhex(F.md5(F.concat(F.coalesce(owner.cast("string"), F.lit("-")), F.lit("|"), F.coalesce(text, F.lit("")))))
+
+
+def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places in a filter of so many bits (a power of two) of each 64-bit hash, two columns."""
+    mask = np.uint64(bits - 1)
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(hashes + np.uint64(i) * step) & mask for i in range(2)], axis=1)
+
+
+def note(field: np.ndarray, places: np.ndarray) -> None:
+    """Sets bits of a filter (uint8)."""
+    np.bitwise_or.at(field, places >> np.uint64(3), np.left_shift(np.uint8(1), (places & np.uint64(7)).astype(np.uint8)))
+
+
+def noted(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a filter may have each hash; never false for one that it has."""
+    at = probes(hashes, len(field) * 8)
+    return ((field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def filter_of(hashes: DataFrame, least: int = 1 << 20, most: int = 1 << 30, each: int = 16) -> bytes:
+    """A compressed Bloom filter of a long column, of ``each`` bits a row between two bounds."""
+    bits = min(most, max(least, 1 << (each * hashes.count()).bit_length()))
+    chunk = min(1 << 17, bits // 8)
+
+    def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(bits // 8, np.uint8)
+        for part in parts:
+            note(field, probes(part.column(0).to_numpy().view(np.uint64), bits).ravel())
+        for i in range(0, bits // 8, chunk):
+            if field[i : i + chunk].any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([i // chunk], pa.int32()), "field": pa.array([zlib.compress(field[i : i + chunk].tobytes(), 1)], pa.binary())})
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, number = np.zeros(chunk, np.uint8), None
+        for part in parts:
+            for number, some in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                field |= np.frombuffer(zlib.decompress(some), np.uint8)
+        if number is not None:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int32()), "field": pa.array([zlib.compress(field.tobytes(), 1)], pa.binary())})
+
+    merge.__annotations__ = {"parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    out = np.zeros(bits // 8, np.uint8)
+    kind = "chunk int, field binary"
+    for row in hashes.mapInArrow(fill, kind).groupBy("chunk").applyInArrow(merge, kind).collect():  # at most bits / 8 bytes
+        out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(zlib.decompress(bytes(row.field)), np.uint8)
+    return zlib.compress(out.tobytes(), 1)
+
+
+def making_room(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its columns of these names under others (underscores before them), so that an operator can add its own."""
+    for c in [c for c in df.columns if c.lower() in {n.lower() for n in names}]:
+        df = df.withColumnRenamed(c, unused(df, c)[0])
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,7 +175,8 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` whose id isn't in the one column of ``ids``; a broadcast only where the ids are proven to be few. Null ids stay."""
-    gone = written(ids.select(ids[ids.columns[0]].alias("_gone")).na.drop().distinct(), "gone")
+    name = unused(docs, "gone")[0]
+    gone = written(ids.select(ids[ids.columns[0]].alias(name)).na.drop().distinct(), "gone")
     if gone.count() * 16 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs[doc_id] == gone[name], "left_anti")

@@ -4,10 +4,12 @@ A line's key is the line without white space (``[\\x20\\x09-\\x0D]``) at its end
 puts each document's distinct keys in a filter of keys seen once and, on the second sight, in a filter of keys
 seen twice; the per-task filters merge by OR (twice also gets the AND of two onces). A second pass sends only the
 keys that the twice-filter holds to an exact count of documents. The filters have no false negatives, so nothing
-is lost; their size is a fixed parameter, and beyond it more lines are sent to the exact count, no more.
+is lost. Their size follows the number of lines (LINE_BITS each) between two fixed bounds; beyond the upper one
+more lines are sent to the exact count, no more.
 
 Defined results: a null or empty text is one empty line; an empty key never counts; repeated rows count as
-documents of their own; an empty table gives an empty result; other columns pass through unread.
+documents of their own; an empty table gives an empty result; other columns pass through unread (those that are named
+as the two added ones get an underscore before their names). Ids are integers; a text may be of any length.
 """
 
 from __future__ import annotations
@@ -22,12 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, map_rows, only, written
+from .common import BROADCAST_BYTES, making_room, map_rows, note, noted, only, probes, row_key, unused, written
 
-#: Bits of each filter (fixed, so what is broadcast is bounded at FILTER_BITS / 8 bytes).
-FILTER_BITS = 1 << 26
+#: Bits of each filter at least and at most (so what is broadcast is bounded at 128 MB), and bits for each line between them.
+FILTER_BITS, MOST_BITS, LINE_BITS = 1 << 26, 1 << 30, 16
 CHUNK = 1 << 17  # bytes of filter merged by one task
-PROBES = 2
 
 
 def line_keys(text: bytes | None) -> list[bytes]:
@@ -37,21 +38,19 @@ def line_keys(text: bytes | None) -> list[bytes]:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Filter positions of each 64-bit hash, PROBES columns."""
-    mask = np.uint64(bits - 1)
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & mask for i in range(PROBES)], axis=1)
-
-
 def _fold(once: np.ndarray, twice: np.ndarray, held: list[int], bits: int) -> None:
     """Adds the hashes of documents' distinct keys; a key is noted as seen twice when all its bits were set."""
     h = np.array(held, dtype=np.uint64)
     first, n = np.unique(h, return_counts=True)
-    at = _bits(first, bits)
-    seen = (n > 1) | ((once[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-    for field, which in ((twice, at[seen].ravel()), (once, at.ravel())):
-        np.bitwise_or.at(field, which >> np.uint64(3), np.left_shift(np.uint8(1), (which & np.uint64(7)).astype(np.uint8)))
+    at = probes(first, bits)
+    note(twice, at[(n > 1) | noted(once, first)].ravel())
+    note(once, at.ravel())
+
+
+def filter_bits(texts: DataFrame) -> int:
+    """A power of two of at least LINE_BITS for each line, within the bounds."""
+    n = texts.agg(F.sum(F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1)).first()[0] or 0
+    return min(MOST_BITS, max(FILTER_BITS, 1 << (LINE_BITS * n).bit_length()))
 
 
 def seen_twice(texts: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -85,9 +84,10 @@ def seen_twice(texts: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     return parts.groupBy("chunk").applyInArrow(merge, "chunk int, twice binary")
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = 2, text: str = "text", doc_id: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_docs: int = 2, text: str = "text", doc_id: str = "doc_id", bits: int | None = None) -> DataFrame:
     """(key binary, n_docs long, first_doc long): keys in ``min_docs`` documents or more, with the first of those documents."""
     texts = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    bits = bits or filter_bits(texts)
     field = np.zeros(bits // 8, np.uint8)
     chunk = min(CHUNK, bits // 8)
     for row in seen_twice(texts.select("text"), bits).collect():  # at most bits / 8 bytes
@@ -99,9 +99,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, text: str = "text", doc_i
         found: dict[bytes, list] = {}
 
         def settle(keys: list[bytes], owners: list) -> None:
-            at = _bits(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)
-            hit = ((twice[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-            for i in np.flatnonzero(hit):
+            for i in np.flatnonzero(noted(twice, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64))):
                 known = found.get(keys[i])
                 if known is None:
                     found[keys[i]] = [1, owners[i]]
@@ -129,8 +127,8 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, text: str = "text", doc_i
     return sent.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min("doc").alias("first_doc")).filter(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", text: str = "text", doc_id: str = "doc_id", bits: int = FILTER_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with ``text`` cleared of repeated lines, and n_lines, n_dropped (long) added.
+def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", text: str = "text", doc_id: str = "doc_id", bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with ``text`` cleared of repeated lines, and the two columns of ``counts`` (long) added: lines before, and dropped.
 
     ``keep="first"`` leaves a repeated line at its first occurrence in the document of the smallest id that has
     it; ``keep="none"`` takes it from every document. The repeated keys are broadcast if they are proven to be
@@ -139,8 +137,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", text: s
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     spark = docs.sparkSession
-    if {"n_lines", "n_dropped", "_drop"} & set(docs.columns):
-        docs = docs.drop("n_lines", "n_dropped", "_drop")
+    docs = making_room(docs, *counts)
     keys = written(repeated_lines(docs, min_docs, text, doc_id, bits), "repeated-lines")
     size = keys.agg(F.sum(F.length("key") + 60)).first()[0] or 0
     names = docs.columns
@@ -163,54 +160,56 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", text: s
             for part in parts:
                 for at in range(0, part.num_rows, 1024):
                     some = part.slice(at, 1024)
-                    yield _rewritten(some, names, text, [verdict(d, line_keys(t), first) for d, t in _pairs(some, names, text, doc_id)])
+                    yield _rewritten(some, names, text, counts, [verdict(d, line_keys(t), first) for d, t in _pairs(some, names, text, doc_id)])
 
-        return docs.mapInArrow(rewrite, _schema(docs, text))
+        return docs.mapInArrow(rewrite, _schema(docs, text, counts))
 
-    rows = docs.withColumn("_row", F.xxhash64(F.col(doc_id), F.col(text)))  # equal rows get equal verdicts
+    row, drops = unused(docs, "row", "drops")
+    owner = F.col(f"`{doc_id}`").cast("long")
+    rows = docs.withColumn(row, row_key(owner, F.col(f"`{text}`")))
 
     def suspects(given: Iterator[tuple]) -> Iterator[tuple]:
-        for row, owner, body in given:
+        for number, owner, body in given:
             for i, k in enumerate(line_keys(body)):
                 if k:
-                    yield row, owner, i, k
+                    yield number, owner, i, k
 
-    lines = map_rows(rows.select("_row", F.col(doc_id).cast("long"), F.col(text)).distinct(), suspects, "_row long, owner long, line int, key binary", pa.schema([("_row", pa.int64()), ("owner", pa.int64()), ("line", pa.int32()), ("key", pa.binary())]))
-    hit = lines.join(keys, "key").groupBy("_row", "key").agg(F.sort_array(F.collect_list("line")).alias("at"), F.first(F.col("owner") == F.col("first_doc")).alias("own"))
+    lines = map_rows(rows.select(F.col(row).alias("row"), owner, F.col(f"`{text}`")).distinct(), suspects, "row binary, owner long, line int, key binary", pa.schema([("row", pa.binary()), ("owner", pa.int64()), ("line", pa.int32()), ("key", pa.binary())]))
+    hit = lines.join(keys, "key").groupBy("row", "key").agg(F.sort_array(F.collect_list("line")).alias("at"), F.first(F.col("owner") == F.col("first_doc")).alias("own"))
     drop = F.when(F.lit(keep == "first") & F.col("own"), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at"))
-    verdicts = hit.select("_row", drop.alias("at")).groupBy("_row").agg(F.flatten(F.collect_list("at")).alias("_drop"))
-    joined = rows.join(verdicts, "_row", "left").select(*names, "_drop")
+    verdicts = hit.select("row", drop.alias("at")).groupBy("row").agg(F.flatten(F.collect_list("at")).alias(drops)).withColumnRenamed("row", row)
+    joined = rows.join(verdicts, row, "left").select(*[F.col(f"`{n}`") for n in names], drops)
 
     def rewrite_joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at in range(0, part.num_rows, 1024):
                 some = part.slice(at, 1024)
-                yield _rewritten(some, names, text, [x or [] for x in some.column(len(names)).to_pylist()])
+                yield _rewritten(some, names, text, counts, [x or [] for x in some.column(len(names)).to_pylist()])
 
-    return joined.mapInArrow(rewrite_joined, _schema(docs, text))
+    return joined.mapInArrow(rewrite_joined, _schema(docs, text, counts))
 
 
-def _schema(docs: DataFrame, text: str):
+def _schema(docs: DataFrame, text: str, counts: tuple[str, str]):
     from pyspark.sql import types as T
 
     fields = [T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields]
-    return T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in counts]])
 
 
 def _pairs(part: pa.RecordBatch, names: list[str], text: str, doc_id: str) -> Iterator[tuple]:
     return zip(part.column(names.index(doc_id)).to_pylist(), part.column(names.index(text)).cast(pa.binary()).to_pylist(), strict=True)
 
 
-def _rewritten(part: pa.RecordBatch, names: list[str], text: str, drops: list[list[int]]) -> pa.RecordBatch:
-    bodies, counts = part.column(names.index(text)).cast(pa.binary()).to_pylist(), []
+def _rewritten(part: pa.RecordBatch, names: list[str], text: str, counts: tuple[str, str], drops: list[list[int]]) -> pa.RecordBatch:
+    bodies, sizes = part.column(names.index(text)).cast(pa.binary()).to_pylist(), []
     out = []
     for body, drop in zip(bodies, drops, strict=True):
         lines = (body or b"").split(b"\n")
-        counts.append((len(lines), len(drop)))
+        sizes.append((len(lines), len(drop)))
         gone = set(drop)
         out.append(body if not gone else b"\n".join(x for i, x in enumerate(lines) if i not in gone))
     cols = [pa.array(out, pa.binary()).cast(pa.string()) if n == text else part.column(i) for i, n in enumerate(names)]
-    return pa.RecordBatch.from_arrays([*cols, pa.array([n for n, _ in counts], pa.int64()), pa.array([n for _, n in counts], pa.int64())], names=[*names, "n_lines", "n_dropped"])
+    return pa.RecordBatch.from_arrays([*cols, pa.array([n for n, _ in sizes], pa.int64()), pa.array([n for _, n in sizes], pa.int64())], names=[*names, *counts])
 
 
 def kept_digest(cleaned: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

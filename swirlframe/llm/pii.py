@@ -9,10 +9,12 @@ equal pseudonym in every document, different values get different ones, and the
 - dates from 1900 to 2099: the day's number, as 17 x 4297 days.
 - e-mail addresses (without case) and IBAN accounts: the letters and digits of each half are shifted within their class.
 
-The key is a parameter. Candidates that aren't valid stay as they are.
+The key is a parameter; without one it is read from the session (KEY_CONF), and only a session that has none gets the
+public demonstration key, under which whoever has this code can undo the pseudonyms. Candidates that aren't valid stay as they are.
 
 Defined results: a null text stays null, an empty one empty; repeated rows get equal results; the text keeps
-everything outside the values; an empty table stays empty; other columns pass through.
+everything outside the values; an empty table stays empty; other columns pass through (one named ``pii`` as ``_pii``), and
+ids are not looked at.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import making_room, unused
+
 ROUNDS = 8
-KEY = "swirlframe"
+KEY_CONF, DEMO_KEY = "spark.swirlframe.pii.key", "demonstration"
 KINDS = ("email", "iban", "card", "ssn", "date", "ip", "phone")
 _L, _R = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
@@ -209,9 +213,12 @@ def _phone(m: Column, key: str) -> Column:
 _MADE = {"email": (EMAIL, _email), "iban": (IBAN, _iban), "card": (CARD, _card), "ssn": (SSN, _ssn), "date": (DATE, _date), "ip": (IP, _ip), "phone": (PHONE, _phone)}
 
 
-def pseudonyms(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with the text's values replaced, and ``pii``: array of (kind, pseudonym) in order of the text."""
-    body = F.col(text)
+    key = key or docs.sparkSession.conf.get(KEY_CONF, DEMO_KEY)
+    docs = making_room(docs, "pii")
+    body, names = F.col(f"`{text}`"), docs.columns
+    found, told = unused(docs, "found", "told")
     likely = body.rlike("[0-9]") | body.contains("@")  # every pattern has one of them
 
     def made(m: Column) -> Column:
@@ -222,12 +229,12 @@ def pseudonyms(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
             out = F.when(m.rlike(f"^(?:{pattern})$"), F.struct(F.lit(kind).alias("kind"), value.alias("pseudonym"))).otherwise(out)
         return out
 
-    names = [c for c in docs.columns if c != "pii"]
-    found = docs.select(*names, F.when(likely, F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).alias("_m"))
-    some = F.size("_m") > 0
-    found = found.select(*names, F.when(some, F.col("_m")).alias("_m"), F.when(some, F.transform("_m", made)).alias("_p"))
+    every = [F.col(f"`{c}`") for c in names]
+    rows = docs.select(*every, F.when(likely, F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).alias(found))
+    some = F.size(found) > 0
+    rows = rows.select(*every, F.when(some, F.col(found)).alias(found), F.when(some, F.transform(found, made)).alias(told))
     gaps = F.split(body, ANY, -1)
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_p"), i)["pseudonym"], F.get(F.col("_m"), i), F.lit("")))), "")
-    fresh = F.when(F.col("_m").isNotNull(), joined).otherwise(body)
-    pii = F.coalesce(F.filter("_p", lambda p: p["pseudonym"].isNotNull()), F.array().cast("array<struct<kind:string,pseudonym:string>>"))
-    return found.select(*[fresh.alias(c) if c == text else F.col(f"`{c}`") for c in names], pii.alias("pii"))
+    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(told), i)["pseudonym"], F.get(F.col(found), i), F.lit("")))), "")
+    fresh = F.when(F.col(found).isNotNull(), joined).otherwise(body)
+    pii = F.coalesce(F.filter(told, lambda p: p["pseudonym"].isNotNull()), F.array().cast("array<struct<kind:string,pseudonym:string>>"))
+    return rows.select(*[fresh.alias(c) if c == text else F.col(f"`{c}`") for c in names], pii.alias("pii"))

@@ -3,10 +3,13 @@
 A document has one feature for each distinct word (hashed), one for each structure statistic's interval, and one
 for each given metadata column's interval. Its score is linear in the number of features: pairwise interactions of rank k
 are ``0.5 * sum_f((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``. The machine is fitted with AdaGrad on a bounded sample
-of labelled rows (TRAIN_ROWS, those of smallest hash); scoring covers every whole text.
+of labelled rows (TRAIN_ROWS ids, those of smallest hash, one row of each, and of a row at most TRAIN_WORDS distinct
+words, those of smallest hash); scoring covers every word of every whole text.
 
 Defined results: null and empty texts get the score of a text without words; without usable labels the score is
-0.5 throughout; conflicting labels of an id are left out; repeated rows are scored each; an empty table gives no rows.
+0.5 throughout; conflicting labels of an id are left out; of repeated rows of an id one (the smallest text) is fitted, and
+all are scored each; an empty table gives no rows; other columns pass through (one that is named as the score gets an
+underscore before its name). Ids may be of any type that casts to a string.
 """
 
 from __future__ import annotations
@@ -19,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, only
+from .common import making_room, map_rows, only
 
-TRAIN_ROWS, BUCKETS, RANK, STEPS, SEED = 6000, 1 << 16, 4, 500, 5
+TRAIN_ROWS, TRAIN_WORDS, BUCKETS, RANK, STEPS, SEED = 6000, 8192, 1 << 16, 4, 500, 5
 CELLS = 16
 _CLASSES = np.zeros((256, 7), np.int64)
 for _i, _set in enumerate((range(65, 91), range(97, 123), range(48, 58), b".,;:'\"()?-", b"!", b"#$%&*|@^~<>{}[]\\/_=+", b" \t\n\r")):
@@ -121,12 +124,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...]
     known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
     known = known.orderBy(F.xxhash64("id"), "id").limit(train_rows).select("id", F.col("label").cast("int").alias("label"))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metadata)])
-    rows = rows.join(F.broadcast(known), "id").select("label", "text", *[f"m{i}" for i in range(len(metadata))])
+    rows = rows.join(F.broadcast(known), "id")  # then one row of each id, so TRAIN_ROWS is a bound
+    rows = rows.groupBy("id").agg(F.min(F.struct("label", "text", *[f"m{i}" for i in range(len(metadata))])).alias("r")).select("r.*")
 
     def run(given: Iterator[tuple]) -> Iterator[tuple]:
         features = Features(buckets, len(metadata))
         for label, body, *meta in given:
             words, cells = features.of(body, tuple(meta))
+            if len(words) > TRAIN_WORDS:
+                words = words[np.argsort(words * np.uint32(2654435761), kind="stable")[:TRAIN_WORDS]]
             yield label, words.tobytes(), cells.tobytes()
 
     found = map_rows(rows, run, "label int, words binary, cells binary", pa.schema([("label", pa.int32()), ("words", pa.binary()), ("cells", pa.binary())]))
@@ -134,11 +140,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...]
     return [(np.frombuffer(w, np.int32), np.frombuffer(c, np.int32), y) for w, c, y in got]
 
 
-def scores(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """All columns of ``docs`` and score (double, 0 to 1): likelier label 1 the higher."""
+def scores(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), train_rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", label: str = "quality", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``score`` (double, 0 to 1): likelier label 1 the higher."""
+    docs = making_room(docs, score)
     machine = Machine(Features(BUCKETS, len(metadata)).size).fit(training_rows(docs, labels, metadata, train_rows, BUCKETS, text, doc_id, label))
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32)))
-    docs = docs.drop("score")
     names = docs.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +156,8 @@ def scores(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), t
                 bodies = some.column(names.index(text)).cast(pa.binary()).to_pylist()
                 meta = [some.column(names.index(m)).to_pylist() for m in metadata]
                 got = [model.score(*features.of(b, tuple(m[i] for m in meta))) for i, b in enumerate(bodies)]
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(got, pa.float64())], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(got, pa.float64())], names=[*names, score])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))

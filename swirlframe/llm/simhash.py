@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_rows, only, without, written
+from .common import as_bytes, map_rows, only, unused, without, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -140,6 +140,26 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the links (a, b) themselves, that connect what all of them connect."""
+    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = where[: len(a)], where[len(a) :]
+    root, taken = np.arange(len(nodes)), []
+    while True:
+        open_ = np.flatnonzero(root[x] != root[y])
+        if not len(open_):
+            break
+        high, low = np.maximum(root[x[open_]], root[y[open_]]), np.minimum(root[x[open_]], root[y[open_]])
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        taken.append(open_[first])
+        root[high[first]] = low[first]  # each root joins one smaller root, so no circles
+        while (root != root[root]).any():
+            root = root[root]
+    chosen = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+    return a[chosen], b[chosen]
+
+
 def _compared(start: np.ndarray, size: np.ndarray, home: np.ndarray, node: np.ndarray, words: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs (home, other) of whole anchors, a bounded number of comparisons at a time."""
     at = 0
@@ -162,12 +182,14 @@ def _compared(start: np.ndarray, size: np.ndarray, home: np.ndarray, node: np.nd
                 break
 
 
-def links(nodes: DataFrame, segments: list[Segment], distance: int, words: int = 1) -> DataFrame:
+def links(nodes: DataFrame, segments: list[Segment], distance: int, words: int = 1, real: bool = False) -> DataFrame:
     """(a long, b long): links that connect what all pairs of at most ``distance`` differing bits connect.
 
     ``nodes``: node (long, unique), w0.. (long). Every anchor's rows are streamed; memory holds one anchor's rows.
+    With ``real`` each link is a pair within the distance; else it may lead to another node of the same component.
     """
     names = [f"w{j}" for j in range(words)]
+    connect = _spanning if real else _forest
 
     def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -206,10 +228,10 @@ def links(nodes: DataFrame, segments: list[Segment], distance: int, words: int =
                 some_b.append(b)
                 n += len(a)
                 if n > 4_000_000:
-                    a, b = _forest(np.concatenate(some_a), np.concatenate(some_b))
+                    a, b = connect(np.concatenate(some_a), np.concatenate(some_b))
                     some_a, some_b, n = [a], [b], len(a)
             if n:
-                a, b = _forest(np.concatenate(some_a), np.concatenate(some_b))
+                a, b = connect(np.concatenate(some_a), np.concatenate(some_b))
                 for at in range(0, len(a), 65536):
                     yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 65536]), pa.array(b[at : at + 65536])], names=["a", "b"])
 
@@ -228,8 +250,11 @@ def links(nodes: DataFrame, segments: list[Segment], distance: int, words: int =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of an edge with the smallest node of its component; large and small stars by turns."""
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """(node, root): every node of an edge with the smallest node of its component; large and small stars by turns.
+
+    Each step is written, so that both sides of a join are plain exchanges: a star's centre with very many links is split.
+    """
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -237,11 +262,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lows")
+        large = written(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "lows")
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = cut(small.filter("a <> b").distinct())
+        now = written(small.filter("a <> b").distinct(), "small")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -311,10 +336,27 @@ def _counted(texts: DataFrame, shingle: int, size: int = COUNTERS) -> np.ndarray
     return out
 
 
-def _candidates(node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group whose sizes and places allow the similarity, a bounded number of comparisons at a time."""
-    order = np.lexsort((n, group))
+def _allowed(n: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes, and what is left from the shared shingle on, allow rows the similarity."""
+    most = np.minimum(n[left] - at[left], n[right] - at[right])
+    return most * (1 + similarity) >= similarity * (n[left] + n[right]) - 1e-9
+
+
+def _stars(node: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each group's pairs with one of its rows, the one with the fewest rarer shingles of its own."""
+    order = np.lexsort((node, n, at, group))
     node, n, at, group = node[order], n[order], at[order], group[order]
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    centre = np.flatnonzero(first)[np.cumsum(first) - 1]
+    rest = np.flatnonzero(~first)
+    rest = rest[_allowed(n, at, centre[rest], rest, similarity)]
+    yield np.minimum(node[centre[rest]], node[rest]), np.maximum(node[centre[rest]], node[rest])
+
+
+def _across(node: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group and different roots that the filters allow, a bounded number of comparisons at a time."""
+    order = np.lexsort((n, group))
+    node, n, at, root, group = node[order], n[order], at[order], root[order], group[order]
     # Sizes ascend in a group: a row's partners are the next ones, up to its own size / similarity.
     reach = group.astype(np.float64) * 2.0**32
     last = np.searchsorted(reach + n, reach + np.minimum(np.floor(n / similarity + 1e-9), 2.0**31), side="right")
@@ -326,21 +368,21 @@ def _candidates(node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarr
             part = np.clip(z - lo, 0, PAIRS) if k == 1 else z
             left = np.repeat(np.arange(i, i + k), part)
             right = np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part) + np.repeat(s + lo, part)
-            most = np.minimum(n[left] - at[left], n[right] - at[right])  # from the shared shingle on
-            ok = (most * (1 + similarity) >= similarity * (n[left] + n[right]) - 1e-9) & (node[left] != node[right])
+            ok = root[left] != root[right]
+            left, right = left[ok], right[ok]
+            ok = _allowed(n, at, left, right, similarity)
             if ok.any():
                 yield np.minimum(node[left[ok]], node[right[ok]]), np.maximum(node[left[ok]], node[right[ok]])
         i += k
 
 
-def similar_pairs(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): distinct pairs of nodes that may have the similarity; every pair that has it is among them.
+def prefix_rows(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(shingle, node, n, at): the shingles of each set of which sets of the similarity must share one, n the set's size.
 
     Shingles have one common order, rarest first by counters. Sets of n and of similarity s or more share a shingle of the
-    first n - ceil(s * n) + 1 of each (prefix filter), and sizes and places of that shingle bound their overlap.
+    first n - ceil(s * n) + 1 of each (prefix filter). A shingle that no other text can have is left out.
     """
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(zlib.compress(_counted(texts, shingle).tobytes(), 1))
+    shared = texts.sparkSession.sparkContext.broadcast(zlib.compress(_counted(texts, shingle).tobytes(), 1))
 
     def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.frombuffer(zlib.decompress(shared.value), "<u2"), set()
@@ -363,6 +405,16 @@ def similar_pairs(texts: DataFrame, similarity: float, shingle: int) -> DataFram
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["shingle", "node", "n", "at"])
 
+    return texts.mapInArrow(prefixes, "shingle long, node long, n int, at int")
+
+
+def shared_pairs(rows: DataFrame, similarity: float, stars: bool) -> DataFrame:
+    """(a, b): distinct pairs of nodes that share a shingle of ``rows`` (shingle, node, n, at, root) and may have the similarity.
+
+    With ``stars`` one row of each shingle is paired with its others, as many pairs as rows; else all pairs of different roots.
+    """
+    pairs = _stars if stars else _across
+
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
@@ -373,16 +425,16 @@ def similar_pairs(texts: DataFrame, similarity: float, shingle: int) -> DataFram
             keep = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))  # the last shingle may go on
             held = [[c[keep:] for c in cols]] if keep < len(cols[0]) else []
             size = len(cols[0]) - keep
-            token, node, n, at = (c[:keep] for c in cols)
             if not keep:
                 return
+            token, node = cols[0][:keep], cols[1][:keep]
             order = np.lexsort((node, token))
-            token, node, n, at = token[order], node[order], n[order], at[order]
+            token, node, n, at, root = (c[:keep][order] for c in cols)
             once = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])  # copies from several tasks
-            token, node, n, at = token[once], node[once], n[once], at[once]
+            token, node, n, at, root = token[once], node[once], n[once], at[once], root[once]
             group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
             some = np.bincount(group)[group] > 1
-            for a, b in _candidates(node[some], n[some].astype(np.int64), at[some].astype(np.int64), group[some], similarity):
+            for a, b in pairs(node[some], n[some].astype(np.int64), at[some].astype(np.int64), root[some], group[some], similarity):
                 for lo in range(0, len(a), 65536):
                     yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 65536]), pa.array(b[lo : lo + 65536])], names=["a", "b"])
 
@@ -396,21 +448,26 @@ def similar_pairs(texts: DataFrame, similarity: float, shingle: int) -> DataFram
         if held:
             yield from settle(True)
 
-    rows = texts.mapInArrow(prefixes, "shingle long, node long, n int, at int")
-    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(meet, "a long, b long").distinct()
+    dealt = rows.select("shingle", "node", "n", "at", "root").repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) by exact Jaccard similarity of shingle sets: texts of ``similarity`` or more are linked, no others.
 
-    No sampled fingerprint finds every such pair, so candidates come from a prefix-filtered join of the sets (``similar_pairs``),
-    and each is decided on the whole sets. Equal sets are one node beforehand; so are texts without words.
+    1. Anchors propose links: equal fingerprints, and those of at most DISTANCE bits. Sets of 0.8 differ in about a seventh of
+       the bits, beyond what any covering can afford, so one row of each rare shingle's group proposes its others as well.
+    2. Every proposal is decided on the whole sets; what holds makes components, a large group of near copies mostly one.
+    3. A prefix-filtered join of the sets gives every other pair that may be similar, but only across components (those
+       within one change nothing); each is decided, and components are found again. So no link is lost and none is false.
+
+    Equal sets are one node beforehand; so are texts without words.
     """
     given = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def named(rows: Iterator[tuple]) -> Iterator[tuple]:
         for owner, body in rows:
-            yield owner, _node(shingle_set(body, shingle))
+            yield owner, _node(shingle_set(body, shingle)), fingerprint(body, shingle)[0]
 
     def whole(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (body,) in rows:
@@ -424,17 +481,32 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
             if both >= similarity * (len(x) + len(y) - both) - 1e-9:
                 yield a, b
 
-    long2 = lambda a, b: pa.schema([(a, pa.int64()), (b, pa.int64())])
-    nodes = written(map_rows(given, named, "doc_id long, node long", long2("doc_id", "node")), "set-names")
-    distinct = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first")).na.drop(), "set-distinct")
-    pairs = written(similar_pairs(given.filter("doc_id IS NOT NULL").select("text"), similarity, shingle), "set-pairs")
-    # The sets of the nodes in pairs only; a repeated id may bring others, which meet no pair.
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(distinct, "node").select(F.col("first").alias("_first")).distinct()
-    texts = given.join(asked, F.col("doc_id") == F.col("_first"), "left_semi").select("text")
-    sets = written(map_rows(texts, whole, "node long, own binary", pa.schema([("node", pa.int64()), ("own", pa.binary())])).dropDuplicates(["node"]), "sets")
-    x, y = (sets.select(F.col("node").alias(c), F.col("own").alias(f"_{c}")) for c in "ab")
-    edges = map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "_a", "_b"), decided, "a long, b long", long2("a", "b"))
-    roots = written(components(edges), "set-roots")
+    longs = lambda *names: pa.schema([(n, pa.int64()) for n in names])
+    nodes = written(map_rows(given, named, "doc_id long, node long, w0 long", longs("doc_id", "node", "w0")), "set-names")
+    distinct = written(nodes.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("w0").alias("w0")), "set-distinct")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # The sets of the nodes in pairs only; a repeated id may bring others, which meet no pair.
+        asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(distinct, "node").select(F.col("first").alias("_first")).distinct()
+        texts = given.join(asked, F.col("doc_id") == F.col("_first"), "left_semi").select("text")
+        sets = written(map_rows(texts, whole, "node long, own binary", pa.schema([("node", pa.int64()), ("own", pa.binary())])).dropDuplicates(["node"]), "sets")
+        x, y = (sets.select(F.col("node").alias(c), F.col("own").alias(f"_{c}")) for c in "ab")
+        return map_rows(pairs.join(x, "a").join(y, "b").select("a", "b", "_a", "_b"), decided, "a long, b long", longs("a", "b"))
+
+    prints = written(distinct.groupBy("w0").agg(F.min("node").alias("node")), "set-prints")
+    near = links(prints.select(F.col("w0").alias("node"), "w0"), exact_segments(DISTANCE), DISTANCE, real=True)
+    x, y = (prints.select(F.col("w0").alias(c), F.col("node").alias(f"_{c}")) for c in "ab")
+    near = near.join(x, "a").join(y, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    alike = distinct.join(prints.select("w0", F.col("node").alias("b")), "w0").select(F.col("node").alias("a"), "b").filter("a <> b")
+    rows = written(prefix_rows(given.filter("doc_id IS NOT NULL").select("text"), similarity, shingle), "set-prefixes")
+    proposed = near.unionAll(alike).unionAll(shared_pairs(rows.withColumn("root", F.col("node")), similarity, stars=True))
+    proposed = written(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "set-proposed")
+    held = written(verified(proposed), "set-links")
+    roots = written(components(held), "set-roots")
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    others = written(shared_pairs(rooted, similarity, stars=False).join(proposed, ["a", "b"], "left_anti"), "set-pairs")
+    if not others.isEmpty():
+        roots = written(components(verified(others).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "set-roots")
     every = roots.unionAll(roots.select("root", "root").distinct())
     lowest = every.join(distinct, "node").groupBy("root").agg(F.min("first").alias("low"))
     classes = written(distinct.join(every.join(lowest, "root").select("node", "low"), "node", "left").select("node", F.coalesce("low", "first").alias("component_id")), "set-classes")
@@ -442,5 +514,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
 
 
 def first_of_groups(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without those that are not the smallest id of their group; rows without an id stay."""
-    return without(docs, groups.filter("doc_id <> component_id").select("doc_id"), doc_id)
+    """``docs`` with one row of each group, of its smallest id; rows without an id stay.
+
+    An id of several rows goes if one of them is in a smaller id's group; else one of its rows stays (which, isn't defined).
+    """
+    left = without(docs, groups.filter("doc_id <> component_id").select("doc_id"), doc_id)
+    again = written(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    name = unused(docs, "again")[0]
+    twice = left.join(again.withColumnRenamed("doc_id", name), F.col(f"`{doc_id}`") == F.col(name), "left_semi")
+    return without(left, again, doc_id).unionAll(twice.dropDuplicates([doc_id]))

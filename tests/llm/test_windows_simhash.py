@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from swirlframe.llm import decontaminate, simhash
 
@@ -55,11 +56,15 @@ def test_windows(spark, block):
     assert all(not r.hits and not r.items for r in decontaminate.find_windows(docs, bench.limit(0)).collect())
 
 
-def test_partial_containment(spark):
-    docs = spark.createDataFrame([(1, "p q a b c d X f g h i j r"), (2, "p q a b c d e f g h i j r"), (3, "a b c z z z z h i j")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
-    got = {r.doc_id: [tuple(h) for h in r.hits] for r in decontaminate.find_windows(docs, bench, threshold=0.6).collect()}
-    assert got == {1: [(2, 12)], 2: [(2, 12)], 3: []}
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_documents_of_one_id_stay_apart(spark, block):
+    item = "a b c d e f g h i j k l"
+    texts = [(1, item), (1, "m n " + item[:19] + " o p"), (None, item), (None, "l k j i h g f e d c b a"), (1, item), (2, "x " * 60_000 + item)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item[4:]), (2, "q r s")], "item_id long, text string")
+    got = decontaminate.find_windows(docs, bench, block_bytes=block).collect()
+    want = [(1, 12, [(0, 12)], [1, 2]), (1, 14, [(2, 12)], [1]), (None, 12, [(0, 12)], [1, 2]), (None, 12, [], []), (1, 12, [(0, 12)], [1, 2]), (2, 60_012, [(60_000, 60_012)], [1, 2])]
+    assert sorted(map(str, [(r.doc_id, r.n_words, [tuple(h) for h in r.hits], r["items"]) for r in got])) == sorted(map(str, want))
 
 
 def brute_print(text):
@@ -168,3 +173,92 @@ def test_similar_groups_link_nothing_below_the_threshold(spark):
     texts += [" ".join(["a"] * 300 + [f"{k}x{i}" for i in range(20)]) for k in range(3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == {i: i for i in range(len(texts))}
+
+
+def brute_similar(texts, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x in range(len(texts)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= similarity * (len(sets[x]) + len(sets[y]) - both) - 1e-9:
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def family(n, edits, length=150):
+    """Copies of one text with 0 to ``edits`` changed words each, and a chain in which each differs a little from the last."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(9000)}" for _ in range(length)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for k in range(i % (edits + 1)):
+            copy[rng.randrange(length)] = f"v{i}x{k}"
+        out.append(" ".join(copy))
+    chain = [f"c{rng.randrange(9000)}" for _ in range(length)]
+    for i in range(12):
+        chain = chain[4:] + [f"d{i}x{k}" for k in range(4)]
+        out.append(" ".join(chain))
+    return out
+
+
+def test_similar_groups_of_a_large_family(spark):
+    texts = family(90, 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == brute_similar(texts) and len(set(got.values())) > 20
+
+
+def test_stars_are_as_many_as_rows_and_what_is_left_lies_across_components(spark):
+    texts = family(200, 2)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = simhash.prefix_rows(docs, 0.8, 5).cache()
+    named = rows.withColumn("root", rows["node"])
+    stars = simhash.shared_pairs(named, 0.8, stars=True)
+    every = simhash.shared_pairs(named, 0.8, stars=False)
+    assert stars.count() < rows.count() and every.count() > 20 * stars.count()
+    assert stars.exceptAll(every).isEmpty()
+    roots = simhash.components(stars)  # all of a family with two edits are similar to its centre
+    rooted = rows.join(roots, "node", "left").selectExpr("shingle", "node", "n", "at", "coalesce(root, node) AS root")
+    assert simhash.shared_pairs(rooted, 0.8, stars=False).count() < 200
+
+
+def test_spanning_links_are_some_of_the_links():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 400, 700), rng.integers(0, 400, 700)
+    x, y = simhash._spanning(a, b)
+    assert set(zip(x, y)) <= set(zip(a, b))
+    want = brute_groups({int(i): 0 for i in np.union1d(a, b)}, -1)  # no links yet
+
+    def roots(pairs):
+        root = dict(want)
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for p, q in pairs:
+            p, q = find(int(p)), find(int(q))
+            root[max(p, q)] = min(p, q)
+        return {i: find(i) for i in root}
+
+    assert roots(zip(a, b)) == roots(zip(x, y)) and len(x) == len(want) - len(set(roots(zip(a, b)).values()))
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "of no other"), (None, "x"), (None, "x")], "doc_id long, text string").withColumn("again", F.lit(1)).withColumn("gone", F.lit(2))
+    got = simhash.first_of_groups(docs, simhash.similar_groups(docs))
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 0, 1, 3]
