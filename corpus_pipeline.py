@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swirlframe.llm import decontaminate, line_dedup, packing, quality, simhash
-from swirlframe.llm.common import table, without, written
+from swirlframe.llm.common import table, unused, without, written
 
 #: Lines in so many documents are kept in the first of them only.
 LINE_MIN_DOCS = 10
@@ -23,14 +23,15 @@ SHINGLE, SIMILARITY = 5, 0.8
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
     metadata = ("n_chars",) if "n_chars" in docs.columns else ()
-    scored = quality.scores(docs.withColumnRenamed("score", "_score"), table(spark, sf_dir, "labels"), metadata)
-    return scored.filter("score >= 0.5").drop("score").withColumnRenamed("_score", "score")
+    scored = quality.scores(docs, table(spark, sf_dir, "labels"), metadata, score=(name := unused(docs, "score")[0]))
+    return scored.filter(F.col(name) >= 0.5).drop(name)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document has; a document that is left without any text by that goes."""
-    cleaned = line_dedup.dedup_lines(docs, LINE_MIN_DOCS, keep="first")
-    return cleaned.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    names = unused(docs, "n_lines", "n_dropped")
+    cleaned = line_dedup.dedup_lines(docs, LINE_MIN_DOCS, keep="first", counts=tuple(names))
+    return cleaned.filter((F.col(names[1]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(*names)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
