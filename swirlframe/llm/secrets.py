@@ -3,10 +3,10 @@
 The fixed patterns give the base spans. Their matches are credentials labelled by kind; from a bounded sample of
 them (SAMPLE per kind, those of smallest hash) a prefix tree is built for each kind, and its states are merged where a
 Hoeffding bound finds their frequencies compatible, which gives a probabilistic automaton of the format. Every
-candidate of the corpus (a run of 16 or more credential characters, without dots, with a letter and a digit, outside base
-spans) is then scored by
-its mean log-likelihood against a uniform text, and spans of kind ``format`` are added above a cut-off that most
-labelled credentials left out of the fit pass.
+candidate of the corpus (a run of LEAST or more credential characters, the least that a labelled one can have, outside base
+spans, dots at its ends left off) is then scored by its mean log-likelihood against a uniform text, and spans of kind
+``format`` are added above a cut-off that nine in ten labelled credentials left out of the fit pass. A kind of which nine in
+ten labelled credentials have a digit (or a letter) asks for one: a merged automaton forgets that.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; without labelled
 credentials there are only base spans; repeated rows get a row each; an empty table gives no rows.
@@ -30,16 +30,16 @@ from pyspark.sql import functions as F
 from .common import map_rows, only, written
 
 KINDS = ("assign", "access", "hex", "format")
-SAMPLE, CONFIDENCE, SMOOTH, LEAST = 400, 0.05, 0.02, 16
+SAMPLE, CONFIDENCE, SMOOTH, LEAST, MARGIN = 400, 0.05, 0.02, 8, 0.1
 #: The base patterns, on UTF-8 bytes.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.-]{%d,}" % LEAST)
+DIGIT, LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEXED = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-_RUN = bytes(104 if c in ALPHABET[:-1] else 32 for c in range(256))
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -144,20 +144,20 @@ class Automaton:
 
 
 class Formats:
-    """Automata by kind with the cut-offs of their likelihoods."""
+    """Automata by kind with the cut-offs of their likelihoods and the classes of characters that they ask for."""
 
     def __init__(self, labelled: dict[int, list[bytes]]) -> None:
-        self.of: list[tuple[Automaton, float]] = []
+        self.of: list[tuple[Automaton, float, list[re.Pattern]]] = []
         for _, strings in sorted(labelled.items()):
             fit, rest = [s for i, s in enumerate(strings) if i % 4], strings[::4]
             if len(fit) < 10:
                 continue
             model = Automaton(fit)
             got = sorted(model.likelihood(s) for s in rest)
-            self.of.append((model, max(0.3, got[len(got) // 10] - 0.2)))
+            self.of.append((model, max(0.0, got[len(got) // 10] - MARGIN), [c for c in (DIGIT, LETTER) if sum(bool(c.search(s)) for s in strings) >= 0.9 * len(strings)]))
 
     def fits(self, s: bytes) -> bool:
-        return any(m.likelihood(s) >= least for m, least in self.of)
+        return any(all(c.search(s) for c in classes) and m.likelihood(s) >= least for m, least, classes in self.of)
 
 
 def labelled_credentials(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> dict[int, list[bytes]]:
@@ -194,15 +194,15 @@ def _points(text: bytes, spans: list[tuple]) -> list[tuple]:
 
 def format_spans(text: bytes, base: list[tuple], formats: Formats) -> list[tuple[int, int, int]]:
     """Candidates outside base spans that an automaton takes for its own."""
-    if not formats.of or b"h" * LEAST not in text.translate(_RUN):
+    if not formats.of:
         return []
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(a < m.end() and m.start() < b for a, b, *_ in base):
-            continue
-        if any(48 <= c <= 57 for c in s) and any(65 <= c <= 90 or 97 <= c <= 122 for c in s) and formats.fits(s):
-            out.append((m.start(), m.end(), 3))
+        s = m[0].strip(b".")
+        if len(s) >= LEAST and formats.fits(s):
+            start = m.start() + len(m[0]) - len(m[0].lstrip(b"."))
+            if not any(a < start + len(s) and start < b for a, b, *_ in base):
+                out.append((start, start + len(s), 3))
     return out
 
 
