@@ -3,7 +3,8 @@
 Only lengths matter for packing, and there are at most ``capacity`` of them. The driver gets the histogram of
 lengths (bounded by capacity, whatever the corpus), plans patterns of lengths with multiplicities on it, and
 broadcasts the plan. Pieces are then dealt to the plan's places by their rank within their length; ranks come from
-per-task counters plus offsets, so no length's pieces ever meet in one task.
+per-task counters plus offsets, so no length's pieces ever meet in one task. The offsets (a row for each length and
+task) are broadcast only if they are counted to be few, else joined.
 
 Defined results: a null or empty text has just the end id; every piece is placed exactly once; an empty table
 gives no pieces; repeated rows are packed as often as they occur.
@@ -25,6 +26,7 @@ from .common import map_rows, only, written
 from .tokens import default_path, ids_of
 
 CAPACITY, END = 4096, 1
+BROADCAST_ROWS = 1 << 16  # of offsets, of three numbers each
 
 
 def plan_patterns(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
@@ -162,7 +164,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     return map_rows(only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", pa.schema(fields))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds sequence_id and offset (long) to rows with length, part and rank (unique within length and part)."""
     spark = pieces.sparkSession
     by_part = written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
@@ -173,6 +175,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[r.length] = r.n
     shared = spark.sparkContext.broadcast(places(plan_patterns(counts)))
     names = [c for c in pieces.columns if c not in ("part", "rank")]
+    offsets = F.broadcast(offsets) if by_part.count() <= broadcast_rows else written(offsets, "offsets").hint("merge")
     ranked = pieces.join(offsets, ["length", "part"]).select(*names, (F.col("rank") + F.col("before")).alias("rank"))
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
