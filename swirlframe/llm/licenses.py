@@ -1,11 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A template is a set of words. A text's blocks for a template are the windows of twice its length, one every length, so
-that every passage of its length lies in one block whole. Words are ordered by their document frequency over the
-corpus, rarest first; a block that contains a share ``threshold`` of a template holds one of the template's
-``n - ceil(threshold * n) + 1`` rarest words (its prefix). Only blocks around such words are looked at; a block too
-short (length filter), or without enough words from the matched one on in the common order (positional filter), is
-dropped, and containment is then counted exactly.
+A template is a set of words. A text's blocks for a template are the windows of twice its length that begin with one of
+its words; any other window has no more of its words than the block that begins with the window's first. Words are ordered by
+their document frequency over the corpus, rarest first; a block that contains a share ``threshold`` of a template holds
+one of the template's ``n - ceil(threshold * n) + 1`` rarest words (its prefix). Only blocks that reach such a word are
+looked at; a block too short (length filter), or without enough words from the matched one on in the common order
+(positional filter), is dropped, and containment is then counted exactly.
 
 The base is kept apart: places where a fixed phrase's words stand one after the other.
 
@@ -106,12 +106,13 @@ def _blocks(t: Column) -> Column:
     """The blocks of column w that reach the need of template t, with their containment."""
     w = F.col("w")
     places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(t["prefix"], F.get(w, i)))
-    blocks = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(F.floor(i / t["length"]).cast("int"), F.greatest(F.floor(i / t["length"]).cast("int") - 1, F.lit(0))))))
-    blocks = F.filter(blocks, lambda b: F.size(w) - b * t["length"] >= t["need"])  # length filter
+    around = F.transform(places, lambda p: F.sequence(F.greatest(p - t["length"] * 2 + 1, F.lit(0)), p))
+    blocks = F.filter(F.array_distinct(F.flatten(around)), lambda b: F.array_contains(t["words"], F.get(w, b)))
+    blocks = F.filter(blocks, lambda b: F.size(w) - b >= t["need"])  # length filter
 
     def judged(b: Column) -> Column:
-        own = F.array_intersect(t["words"], F.slice(w, b * t["length"] + 1, t["length"] * 2))  # in the template's (common) order
-        return F.struct(t["label"].alias("label"), (b * t["length"]).cast("long").alias("start"), F.least((b + 2) * t["length"], F.size(w)).cast("long").alias("end"), own.alias("own"))
+        own = F.array_intersect(t["words"], F.slice(w, b + 1, t["length"] * 2))  # in the template's (common) order
+        return F.struct(t["label"].alias("label"), b.cast("long").alias("start"), F.least(b + t["length"] * 2, F.size(w)).cast("long").alias("end"), own.alias("own"))
 
     held = F.transform(blocks, judged)
     # Positional filter: from the first prefix word of the block on, the template must still have as many words as it needs.

@@ -93,7 +93,9 @@ def brute_blocks(t, threshold=0.8):
     w, out = licenses.template_words(t or ""), set()
     for label, text in licenses.NOTICES:
         x = licenses.template_words(text)
-        for b in range(0, max(1, len(w)), len(x)):
+        for b in range(len(w)):
+            if w[b] not in x:
+                continue
             share = len(set(x) & set(w[b : b + 2 * len(x)])) / len(set(x))
             if share >= threshold - 1e-9:
                 out.add((label, b, min(b + 2 * len(x), len(w)), round(share, 9)))
@@ -105,7 +107,7 @@ def test_licenses(spark):
     texts = [
         None, "", "license", "mit license", "MIT License and the mit-license, Apache  LICENSE", "general public license general PUBLIC license", "admit license", "mit licence public license",
         "x " * 300 + notices["mit"] + " y" * 333, notices["bsd"].replace("source", "sauce").upper(), " ".join(notices["gpl"].split()[:20]), "filler " * 77 + notices["apache-2.0"] + notices["isc"],
-        "Licensed under CC BY-NC 4.0.", "İ mit license É", "a" * 100_000 + " mit license", "one two " * 20_000 + notices["mpl-2.0"],
+        "Licensed under CC BY-NC 4.0.", "İ mit license É", *["filler " * k + "licensed x under x cc x by x nc x 4 x 0" for k in range(7)], "a" * 100_000 + " mit license", "one two " * 20_000 + notices["mpl-2.0"],
     ]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, None, "x")], "doc_id long, text string, base string")
     scanned = licenses.scan_licenses(docs)
@@ -119,6 +121,6 @@ def test_licenses(spark):
         assert blocks[r.doc_id] == want, t
         assert r.labels == ",".join(sorted({x for x, *_ in want} | set(filter(None, r.base_labels.split(",")))))
         assert abs(r.score - (1.0 if r.n_base else max((s for *_, s in want), default=0.0))) < 1e-8
-    assert blocks[8] and blocks[9] and blocks[11] and blocks[12] and blocks[15]
+    assert blocks[8] and blocks[9] and blocks[11] and blocks[12] and all(blocks[14 + k] for k in range(7)) and blocks[22]
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
     assert all(not r.matches for r in licenses.scan_licenses(docs, templates=()).collect())
