@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a robust-pruned directed graph for each shard, searched with a beam.
 
 Equal vectors become one entry with its smallest ids (as many as a result can need), so large groups of copies
-neither crowd the graph nor lose ids. Entries are dealt to shards of about ``SHARD_ROWS`` by hash. In a shard the
+neither crowd the graph nor lose ids. Entries are dealt by hash to shards of SHARD_BYTES of vectors at most, and to no
+fewer shards than there are cores if that leaves each LEAST_ROWS. In a shard the
 graph starts at random; greedy searches for every node propose neighbours, and pruning keeps the nearest candidate
 and drops those that are ``alpha`` times nearer to it than to the node, first with alpha 1, then relaxed. Every
 query runs through every shard with a beam, block by block as its rows stream in, and the shards' nearest are merged.
@@ -10,7 +11,9 @@ Memory: one shard and one block of queries in a task. All rows are indexed; reca
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, as
 queries or candidates; vectors of different lengths are never compared; ties go to the smaller id; repeated rows of an id
-count once; an empty table gives no rows.
+count once; of an id with different vectors each is a candidate, the id comes once, at its nearest, and asks by the
+smallest; an empty table gives no rows; other columns are not read. Ids are integers. Vectors may be of any finite
+magnitude: the graph works on them scaled by a power of two, distances are taken on the originals.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import only, written
 
-SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 8192, 32, 64, 128, 1.2
+SHARD_BYTES, LEAST_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 64 << 20, 8192, 32, 64, 128, 1.2
 _BLOCK = 1024
 
 
@@ -33,7 +36,8 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 11) -> None:
         self.exact = vectors
-        self.x = vectors.astype(np.float32)
+        self.scale = 2.0 ** np.frexp(np.abs(vectors).max(initial=0))[1].clip(-1000, 1000)
+        self.x = (vectors / self.scale).astype(np.float32)
         self.norm = (self.x**2).sum(axis=1)
         n, rng = len(vectors), np.random.default_rng(seed)
         self.degree = min(degree, max(1, n - 1))
@@ -53,7 +57,6 @@ class Graph:
 
     def nearest(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances) of the beam after greedy search, nearest first; -1 where there are fewer."""
-        q = q.astype(np.float32)
         b = len(q)
         ids, done = np.full((b, beam), -1, np.int64), np.ones((b, beam), bool)
         far = np.full((b, beam), np.inf, np.float32)
@@ -124,8 +127,10 @@ class Graph:
 
     def search(self, q: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest found, by distances in double precision on the original vectors."""
-        ids, _ = self.nearest(q, max(beam, k))
-        d = np.sqrt(((self.exact[ids] - q[:, None, :]) ** 2).sum(axis=2))
+        ids, _ = self.nearest(np.clip(q / self.scale, -1e15, 1e15).astype(np.float32), max(beam, k))
+        far = max(self.scale, 2.0 ** int(np.frexp(np.abs(q).max(initial=0))[1].clip(-1000, 1000)))
+        far = 1.0 if 1e-100 < far < 1e150 else far  # else squares would be zero or infinite
+        d = far * np.sqrt(((self.exact[ids] / far - q[:, None, :] / far) ** 2).sum(axis=2))
         d[ids < 0] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(d, order, axis=1)
@@ -148,12 +153,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int | None = None, beam: int = SEARCH_BEAM, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found among all other rows, nearest first."""
     index = written(entries(vectors, k + 1, vec_id, embedding), "entries")
-    shards = max(1, -(-index.count() // shard_rows))
+    n, width = index.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = shard_rows or max(1, SHARD_BYTES // (8 * (width or 1)))
+    shards = max(1, -(-n // most), 0 if shard_rows else min(vectors.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
     asked = only(queries, id=vec_id, v=embedding).withColumn("v", F.col("v").cast("array<double>"))
-    asked = asked.filter(F.col("id").isNotNull() & _usable(F.col("v"))).dropDuplicates(["id"])
+    asked = asked.filter(F.col("id").isNotNull() & _usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), F.array().cast("array<bigint>").alias("ids"), "v")
     stored = index.select(F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("entry").alias("id"), F.col("ids").cast("array<bigint>").alias("ids"), "v")
     rows = stored.unionAll(asked).withColumn("dim", F.size("v"))
@@ -188,5 +195,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
 
     found = dealt.mapInArrow(run, schema)
     each = found.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    each = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
