@@ -1,11 +1,11 @@
-"""Exact tokenising by the public tokenizers' own libraries, one word at a time.
-
-The word vocabulary's tokenizer turns white space into one space and drops it before the merges, so no token
-spans white space: a text's ids are its words' ids one after the other. Each distinct word goes through the
-library once per worker process and is then looked up. Before cutting, a text is lower-cased as the tokenizer would
-and a lone full stop or comma after a letter is cut off, which the tokenizer does as well: fewer distinct words. Where
-Python and the library could differ (``\\x1c``-``\\x1f``, special strings, final sigma, texts not in NFC) these steps are
-left out, or the whole text goes through the library.
+"""Exact tokenising by the public tokenizers' own libraries, one pre-token at a time.
+
+The word vocabulary's tokenizer folds white space and case, and cuts a text into pre-tokens (runs of letters, digits one by
+one, runs of other characters, contractions) that no merge crosses: a text's ids are its pre-tokens' ids one after
+the other. Each distinct pre-token goes through the library once per worker process and is then looked up. They are cut
+here only where Python is sure to cut like the library: words of printable ASCII and Latin letters. Other words are kept
+whole, and where even white space or case could differ (``\\x1c``-``\\x1f``, special strings, final sigma, texts not in
+NFC) the steps are left out, or the whole text goes through the library.
 """
 
 from __future__ import annotations
@@ -18,7 +18,12 @@ import numpy as np
 
 #: Words whose ids a worker process remembers, in each of two generations (results don't depend on it).
 REMEMBERED = 350_000
-_POINT = re.compile(r"(?<=[a-z])([.,])(?=\s|$)")
+#: Letters of which every Unicode version says so and that lower-casing leaves single.
+_LETTER = "a-z\u00e0-\u00f6\u00f8-\u012f\u0131-\u024f"
+_OTHER = "!-/:-@\\[-`{-~"
+#: The contractions that are pre-tokens of their own.
+_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[{_OTHER}]+")
+_PLAIN = re.compile(f"[{_LETTER}0-9{_OTHER}\t-\r ]*")
 
 
 @lru_cache(maxsize=4)
@@ -34,7 +39,7 @@ def tokenizer(path: str):
 
 @lru_cache(maxsize=4)
 def spans_words(path: str) -> bool:
-    """Whether white space can be cut out before tokenising: only for a normaliser that folds it and a Split that drops it."""
+    """Whether pre-tokens can be cut beforehand: only for a normaliser that folds white space and case and the Split that is known."""
     import json
 
     spec = json.loads(tokenizer(path).to_str())
@@ -42,7 +47,8 @@ def spans_words(path: str) -> bool:
     splits = [s for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if s.get("type") == "Split"]
     plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
     pattern = splits[0]["pattern"].get("Regex", "") if splits else ""
-    return normal == ["NFC", "Replace", "Lowercase"] and plain and pattern.endswith(r"|[\p{N}]|[^\s\p{L}\p{N}]+") and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+    known = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return normal == ["NFC", "Replace", "Lowercase"] and plain and known and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
 
 
 def cuts_alike(text: str) -> bool:
@@ -61,12 +67,23 @@ def canonical(text: str) -> str:
 
 
 def words_of(text: str, path: str) -> list[str]:
-    """The text's pre-tokens: its words, or the text itself where words can't be cut out beforehand."""
+    """The text's pre-tokens; words that can't be cut for sure stay whole, and so does a text that has no sure words."""
     if not text:
         return []
     if not spans_words(path) or not cuts_alike(text):
         return [text]
-    return _POINT.sub(r" \1", canonical(text)).split()
+    low = canonical(text)
+    if "<|" in low:
+        return low.split()
+    if _PLAIN.fullmatch(low):
+        return _PRE.findall(low)
+    out: list[str] = []
+    for w in low.split():
+        if _PLAIN.fullmatch(w):
+            out += _PRE.findall(w)
+        else:
+            out.append(w)
+    return out
 
 
 class Ids:
