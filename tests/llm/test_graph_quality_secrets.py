@@ -37,6 +37,24 @@ def test_recall(spark, shard_rows):
     assert all(v == sorted(v) and len(v) == 10 for v in by.values())
 
 
+@pytest.mark.parametrize("size", [1e25, 1e300, 1e-300])
+def test_neighbours_of_any_magnitude(spark, size):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (60, 6))
+    df = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = graph_index.nearest(df, df.filter("vec_id < 5"), 3).collect()
+    want = brute_nearest(list(enumerate(x.tolist())), list(enumerate(x.tolist()))[:5], 3)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, k + 1): i for q, near in want.items() for k, (_, i) in enumerate(near)}
+    assert all(r.score == pytest.approx(size * want[r.query_id][r["rank"] - 1][0], rel=1e-9) for r in got)
+
+
+def test_an_id_of_several_vectors_comes_once(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (2, [1.0, 0.5]), (3, [4.0, 4.0]), (1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in graph_index.nearest(df, df.filter("vec_id = 1"), 3).collect()]
+    assert sorted(got) == [(1, 1, 2, 0.5), (1, 2, 3, 5.0)]
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (2, [0.0, 1.0])]
@@ -74,6 +92,29 @@ def test_quality(spark):
     assert quality.scores(docs.limit(0), labels).count() == 0
     rows = quality.training_rows(docs, labels, train_rows=50)
     assert len(rows) == 50
+    assert len(quality.training_rows(docs.unionAll(docs), labels, train_rows=5)) == 5
+    assert quality.scores(docs, labels, score="s").columns == [*docs.columns, "s"]
+
+
+def brute_score(machine, text, n_chars):
+    """Every feature and every pair of them, one by one."""
+    words = sorted(set((text or "").lower().encode().split()))
+    cells = quality.Features(quality.BUCKETS, 1).of((text or "").encode(), (n_chars,))[1]
+    x = [(zlib.crc32(w) % quality.BUCKETS, 1 / math.sqrt(max(1, len(words)))) for w in words] + [(int(c), 1 / math.sqrt(len(cells))) for c in cells]
+    z = machine.bias + sum(machine.w[i] * a for i, a in x)
+    z += sum(float(machine.v[i] @ machine.v[j]) * a * b for k, (i, a) in enumerate(x) for j, b in x[:k])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_the_sum_over_all_pairs(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["river", "Stone", "light!", "$$$", "né", "near"]) + str(rng.randrange(30)) for _ in range(n)) for n in range(1, 40)] + [None, "", "w" * 60_000, "a b " * 20_000]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    fit = quality.training_rows(docs, labels, ("n_chars",))
+    machine = quality.Machine(quality.Features(quality.BUCKETS, 1).size).fit(fit)
+    got = {r.doc_id: r.score for r in quality.scores(docs, labels, ("n_chars",)).collect()}
+    assert all(got[i] == pytest.approx(brute_score(machine, t, len(t or "")), abs=1e-5) for i, t in enumerate(texts))
 
 
 def brute_secrets(t):
@@ -111,3 +152,28 @@ def test_merged_automaton_generalises():
     a = secrets.Automaton([make().encode() for _ in range(300)])
     assert len(a.states) < 40
     assert a.likelihood(make().encode()) > 1.5 > 0 > a.likelihood(b"zzqqWWkkMMppLL")
+    s, at, total = make().encode(), 0, 0.0
+    for c in s:  # by the automaton's tables alone
+        p = a.seen[at].get(c, 0) / (a.total[at] - a.ends[at])
+        total += math.log((0.98 * p + 0.02 / 68) * 68)
+        at = a.next[at][c]
+    assert a.likelihood(s) == pytest.approx(total / len(s), rel=1e-9)
+
+
+def test_added_spans_by_precision_and_recall(spark):
+    rng = random.Random(6)
+    make = lambda: "sk_" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    word = lambda: "".join(rng.choice("aeioubdklmnrst") for _ in range(rng.randrange(2, 16)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    texts, planted = [], set()
+    for i in range(300):
+        key = make()
+        if i % 3:
+            texts.append(f"{prose(20)} token = {key} {prose(20)}")
+        else:
+            head = prose(20) + " see "
+            planted.add((i, len(head), len(head) + len(key)))
+            texts.append(f"{head}{key}. {prose(20)} 2024-05-06T10:11:12 version-1.20.33 item_{i} {rng.randrange(10**15, 10**16)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end) for r in secrets.scan_secrets(docs).collect() for s in r.spans if s.kind == "format"}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got & planted) >= 0.95 * len(got)

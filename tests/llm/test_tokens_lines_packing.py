@@ -87,9 +87,11 @@ def check_packed(rows, capacity):
     return len(by)
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_packing(spark, broadcast_rows):
     docs, ids = frame(spark, ODD), Ids(default_path())
-    rows = packing.pack_documents(docs).collect()
+    pieces = packing.written(packing.token_pieces(docs.repartition(3), default_path()), "pieces")
+    rows = packing.pack(pieces, broadcast_rows=broadcast_rows).collect()
     want = Counter()
     for r in docs.collect():
         data = ids.of(r.text or "") + (1).to_bytes(4, "little")
