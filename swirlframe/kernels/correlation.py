@@ -97,43 +97,53 @@ def planes(a: np.ndarray, b: np.ndarray, plan: Plan, mask_a: np.ndarray | None =
 def local_maxima(r: np.ndarray) -> np.ndarray:
     """Whether each value tops its eight neighbours; of a plateau, the last point in column order does."""
     nr, nc = r.shape[-2:]
-    out = ~np.isnan(r)
-    for dc in (-1, 0, 1):
-        for dr in (-1, 0, 1):
-            if dr == dc == 0:
-                continue
-            here = (..., slice(max(0, -dr), nr - max(0, dr)), slice(max(0, -dc), nc - max(0, dc)))
-            there = (..., slice(max(0, dr), nr - max(0, -dr)), slice(max(0, dc), nc - max(0, -dc)))
-            earlier = (dc, dr) < (0, 0)
-            out[here] &= (r[there] <= r[here]) if earlier else (r[there] < r[here])
-    return out
+    wide = nc + 2
+    padded = np.full((*r.shape[:-2], nr + 2, wide), -np.inf, r.dtype)
+    padded[..., 1:-1, 1:-1] = r
+    # In one run of memory every neighbour is a fixed step away; the borders' own results are cut off.
+    flat = padded.reshape(-1)
+    core = flat[wide + 1 : len(flat) - wide - 1]
+    out = core == core  # a NaN tops nothing
+    for step, later in ((-wide - 1, False), (-1, False), (wide - 1, False), (-wide, False), (wide, True), (-wide + 1, True), (1, True), (wide + 1, True)):
+        near = flat[wide + 1 + step : len(flat) - wide - 1 + step]
+        out &= (near < core) if later else (near <= core)
+    whole = np.zeros(padded.shape, bool)
+    whole.reshape(-1)[wide + 1 : len(flat) - wide - 1] = out
+    return whole[..., 1:-1, 1:-1]
 
 
 def find_peaks(r: np.ndarray, k: int, finder: str = "regionalmax", radius: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values k, rows k, columns k) of up to k peaks in descending order; NaN and -1 where there are fewer."""
     n, nr, nc = r.shape
-    flat = r.transpose(0, 2, 1).reshape(n, -1)  # column order, in which ties go to the first
-    values = np.full((n, k), np.nan)
-    at = np.full((n, k), -1, np.int64)
-    rows = np.arange(n)
+    values, at = np.full((n, k), np.nan), np.full((n, k), -1, np.int64)
+    rows, alive = np.arange(n), np.ones(n, bool)
     if finder == "regionalmax":
-        among = np.where(local_maxima(r).transpose(0, 2, 1).reshape(n, -1), flat, -np.inf)
+        # Maxima are few: each plane's are put side by side, in column order (in which ties go to the first).
+        places = np.flatnonzero(local_maxima(r).transpose(0, 2, 1))
+        plane, cell = np.divmod(places, nr * nc)
+        many = np.bincount(plane, minlength=n)
+        slot = np.arange(len(places)) - np.repeat(np.cumsum(many) - many, many)
+        among = np.full((n, max(1, int(many.max(initial=0)))), -np.inf)
+        among[plane, slot] = r[plane, cell % nr, cell // nr]
+        cells = np.zeros(among.shape, np.int64)
+        cells[plane, slot] = cell
     elif finder == "exclusion":
+        flat = r.transpose(0, 2, 1).reshape(n, -1)
         among = np.where(np.isnan(flat), -np.inf, flat)
+        cols, rws = np.arange(nr * nc) // nr, np.arange(nr * nc) % nr
     else:
         raise ValueError("peak_finder is 'regionalmax' or 'exclusion'")
-    among = among.copy()
-    alive = np.ones(n, bool)
     for m in range(k):
         best = among.argmax(axis=1)
         value = among[rows, best]
         alive &= value > (-np.inf if m == 0 else 0)
-        values[alive, m], at[alive, m] = value[alive], best[alive]
+        values[alive, m] = value[alive]
         if finder == "regionalmax":
+            at[alive, m] = cells[rows, best][alive]
             among[rows, best] = -np.inf
         else:
+            at[alive, m] = best[alive]
             pr, pc = best % nr, best // nr
-            cols, rws = np.arange(nr * nc) // nr, np.arange(nr * nc) % nr
             among[(np.abs(rws - pr[:, None]) <= radius) & (np.abs(cols - pc[:, None]) <= radius)] = -np.inf
     return values, np.where(at < 0, -1, at % nr), np.where(at < 0, -1, at // nr)
 
