@@ -48,6 +48,24 @@ def replace(u: np.ndarray, v: np.ndarray, invalid: np.ndarray) -> tuple[np.ndarr
     return u2, v2
 
 
+def replace_at(row: np.ndarray, col: np.ndarray, u: np.ndarray, v: np.ndarray, todo: np.ndarray, good: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``u`` and ``v`` of nodes (row, col); those to do get the median of the good ones in the smallest square that holds three."""
+    shape = int(row.max()) + 1, int(col.max()) + 1
+    gu, gv, ok = np.full(shape, np.nan), np.full(shape, np.nan), np.zeros(shape, bool)
+    gu[row, col], gv[row, col], ok[row, col] = u, v, good
+    total = np.pad(np.cumsum(np.cumsum(ok, axis=0), axis=1), ((1, 0), (1, 0)))
+    u2, v2 = u.copy(), v.copy()
+    for i in np.flatnonzero(todo):
+        r, c = int(row[i]), int(col[i])
+        for radius in range(1, min(max(shape), most or max(shape)) + 1):
+            a, b, d, e = max(0, r - radius), min(shape[0], r + radius + 1), max(0, c - radius), min(shape[1], c + radius + 1)
+            if total[b, e] - total[a, e] - total[b, d] + total[a, d] >= 3:
+                box = ok[a:b, d:e]
+                u2[i], v2[i] = np.median(gu[a:b, d:e][box]), np.median(gv[a:b, d:e][box])
+                break
+    return u2, v2
+
+
 def smooth(f: np.ndarray) -> np.ndarray:
     """Binomial [1 2 1] / 4 both ways, edges repeated."""
     for axis in (0, 1):

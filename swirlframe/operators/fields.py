@@ -1,17 +1,22 @@
 """Analytics on gridded vectors as DataFrames: one row a node, keyed by frame, gi (row) and gj (column), from 1.
 
-All of it is Catalyst: neighbours are reached by lag and lead along a row or column, or by an equi-join on shifted
-indices; both shuffle by the frame (and row), so a recording of any length spreads over its frames.
+Neighbours are reached by lag and lead along a row or column, or by an equi-join on shifted indices; both shuffle by the
+frame (and row), so a recording of any length spreads over its frames. What needs a whole grid or series (replacement,
+spectra) is one Arrow call for each frame or node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import above, col, fails, in_polygon, in_rectangle, ratio, valid
+from ..kernels import neighbourhood
 from ..params import PhysicalScale, parse_validator
 
 KEY, NODE = "frame", ("gi", "gj")
@@ -67,13 +72,13 @@ def outliers(f: DataFrame, threshold: float = 2.0, radius: int = 2, epsilon: flo
     joined = good.join(gathered, keys, "left")
     for n in ("u", "v"):
         joined = joined.withColumn(f"_m{n}", array_median(F.col(f"n{n}")))
-        joined = joined.withColumn(f"_d{n}", array_median(F.transform(F.col(f"n{n}"), _distance(f"_m{n}"))))
+        joined = joined.withColumn(f"_d{n}", array_median(F.transform(F.col(f"n{n}"), distance(f"_m{n}"))))
         flag = flag | F.coalesce(above(F.abs(F.col(n) - F.col(f"_m{n}")) / (F.col(f"_d{n}") + epsilon), threshold), F.lit(False))
     tested = joined.select(*keys, flag.alias("flag"))
     return f.join(tested, keys, "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
 
 
-def _distance(name: str) -> Callable[[Column], Column]:
+def distance(name: str) -> Callable[[Column], Column]:
     return lambda x: F.abs(x - F.col(name))
 
 
@@ -94,16 +99,23 @@ def validate(f: DataFrame, specs: Sequence) -> DataFrame:
     return out.withColumn("outlier", F.col("outlier") & ~F.coalesce("masked", F.lit(False)))
 
 
-def replace_outliers(f: DataFrame, max_radius: int = 8) -> DataFrame:
-    """Outliers get the median of valid nodes in the smallest square that holds three, up to ``max_radius``; else they stay."""
-    bad = F.coalesce("outlier", F.lit(False)) | F.coalesce("masked", F.lit(False)) | F.isnan("u") | F.isnan("v")
-    todo = f.filter(F.col("outlier") & ~F.coalesce("masked", F.lit(False))).select(KEY, *NODE)
-    box = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(max(abs(a), abs(b))).alias("r")) for a in range(-max_radius, max_radius + 1) for b in range(-max_radius, max_radius + 1) if (a, b) != (0, 0)]))
-    asked = todo.select(KEY, *NODE, box.alias("_s")).select(KEY, F.col("gi").alias("_i"), F.col("gj").alias("_j"), (F.col("gi") + F.col("_s.a")).alias("gi"), (F.col("gj") + F.col("_s.b")).alias("gj"), F.col("_s.r").alias("r"))
-    donors = asked.join(f.filter(~bad).select(KEY, *NODE, "u", "v"), [KEY, *NODE])
-    ranked = donors.withColumn("reach", F.get(F.sort_array(F.collect_list("r").over(Window.partitionBy(KEY, "_i", "_j"))), F.lit(2)))
-    got = ranked.filter(F.col("r") <= F.col("reach")).groupBy(KEY, F.col("_i").alias("gi"), F.col("_j").alias("gj")).agg(F.median("u").alias("_u"), F.median("v").alias("_v"))
-    return f.join(got, [KEY, *NODE], "left").withColumn("u", F.coalesce("_u", "u")).withColumn("v", F.coalesce("_v", "v")).drop("_u", "_v")
+def replace_outliers(f: DataFrame, max_radius: int | None = None) -> DataFrame:
+    """Outliers get the median of valid nodes in the smallest square that holds three, however large (or ``max_radius`` at
+    most); those of a frame without three valid nodes stay. A frame is one grid, and one call."""
+    names, at = f.columns, {n: f.columns.index(n) for n in (*NODE, "u", "v", "masked", "outlier")}
+
+    def run(part: pa.Table) -> pa.Table:
+        gi, gj, u, v, masked, outlier = (part.column(at[n]).combine_chunks().to_numpy(zero_copy_only=False) for n in (*NODE, "u", "v", "masked", "outlier"))
+        u, v = u.astype(float), v.astype(float)
+        masked, outlier = (np.array([bool(x) for x in m]) if m.dtype == object else m for m in (masked, outlier))
+        todo = outlier & ~masked
+        if todo.any():
+            u, v = neighbourhood.replace_at(gi - gi.min(), gj - gj.min(), u, v, todo, ~(outlier | masked | np.isnan(u) | np.isnan(v)), max_radius)
+        new = {"u": pa.array(u), "v": pa.array(v)}
+        return pa.Table.from_arrays([new.get(n, part.column(i)) for i, n in enumerate(names)], names=names)
+
+    run.__annotations__ = {"part": pa.Table, "return": pa.Table}
+    return f.groupBy(KEY).applyInArrow(run, f.schema)
 
 
 def smooth(f: DataFrame, values: Sequence[str] = ("u", "v")) -> DataFrame:
@@ -263,21 +275,32 @@ def filled_series(s: DataFrame, keys: Sequence[str], order: str, value: str, inv
 
 
 def power_spectrum(s: DataFrame, keys: Sequence[str], order: str, value: str, dt: float = 1.0, window: str = "hann") -> DataFrame:
-    """(keys, k, frequency, psd) of each series: mean removed, one-sided; the transform is a join with its frequencies.
-
-    For series of up to some thousand samples; each is one key's rows, summed by partial aggregation.
-    """
+    """(keys, k, frequency, psd) of each series: mean removed, one-sided. A series is one call and one fast transform."""
     if window not in ("hann", "none"):
         raise ValueError("window is 'hann' or 'none'")
-    every = Window.partitionBy(*keys)
-    t = s.withColumn("_t", F.row_number().over(every.orderBy(order)) - 1).withColumn("_n", F.count("*").over(every)).withColumn("_x", F.col(value) - F.avg(value).over(every))
-    hann = 0.5 * (1 - F.cos(2 * F.pi() * F.col("_t") / F.when(F.col("_n") > 1, F.col("_n") - 1).otherwise(1)))
-    t = t.withColumn("_w", hann if window == "hann" else F.lit(1.0))
-    k = t.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int"))))
-    turn = 2 * F.pi() * F.col("k") * F.col("_t") / F.col("_n")
-    sums = k.groupBy(*keys, "k").agg(F.first("_n").alias("n"), F.sum(F.col("_x") * F.col("_w") * F.cos(turn)).alias("a"), F.sum(F.col("_x") * F.col("_w") * F.sin(turn)).alias("b"), F.sum(F.col("_w") * F.col("_w")).alias("w"))
-    half = F.when((F.col("k") == 0) | ((F.col("n") % 2 == 0) & (F.col("k") * 2 == F.col("n"))), 0.5).otherwise(1.0)
-    return sums.select(*keys, "k", (F.col("k") / (F.col("n") * dt)).alias("frequency"), ((F.col("a") * F.col("a") + F.col("b") * F.col("b")) * 2 * dt / F.col("w") * half).alias("psd"))
+    rows, m = s.select(*keys, order, F.col(value).cast("double").alias("_x")), len(keys)
+    kinds = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part.column(m)))
+        x = part.column(m + 1).to_numpy().astype(float)
+        n = len(x)
+        w = 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / max(1, n - 1))) if window == "hann" else np.ones(n)
+        psd, k = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2, np.arange(n // 2 + 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            psd = psd * 2 * dt / (w**2).sum() * np.where((k == 0) | (2 * k == n), 0.5, 1.0)
+        first = [part.column(i).take(pa.array(np.zeros(len(k), np.int64))) for i in range(m)]
+        return pa.Table.from_arrays([*first, pa.array(k.astype(np.int32)), pa.array(k / (n * dt)), pa.array(psd)], names=[*keys, "k", "frequency", "psd"])
+
+    run.__annotations__ = {"part": pa.Table, "return": pa.Table}
+    return rows.groupBy(*keys).applyInArrow(run, kinds + ", k int, frequency double, psd double")
+
+
+def result_spectrum(f: DataFrame, value: str = "u", invalid: str = "mean", window: str = "hann", dt: float | None = None, scale: PhysicalScale | None = None) -> DataFrame:
+    """Spectra of every node's series over frames: invalid samples filled, ``dt`` given, or the scale's, or one frame."""
+    step = dt if dt is not None else scale.dt if scale is not None else 1.0
+    usable = f.withColumn(value, F.when(valid(), F.col(value)))
+    return power_spectrum(filled_series(usable, NODE, KEY, value, invalid), NODE, KEY, value, step, window)
 
 
 def bin_to_grid(points: DataFrame, nx: int, ny: int, x0: float, y0: float, step: float, min_count: int = 3, key: str = KEY) -> DataFrame:
