@@ -61,6 +61,15 @@ def calibration_quality(errors: DataFrame, *by: str) -> DataFrame:
     return errors.groupBy(*by).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rms"), F.max("error").alias("largest"), F.count("*").alias("n"))
 
 
+def fit_sheet_plane(points: DataFrame, *by: str) -> DataFrame:
+    """(by, a, b, c) of z = a + b x + c y by least squares over points x, y, z: sums in one aggregation, then the same solution."""
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    s = points.groupBy(*by).agg(*[F.covar_pop(p, q).alias(n) for n, p, q in (("xx", x, x), ("yy", y, y), ("xy", x, y), ("xz", x, z), ("yz", y, z))], F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(z).alias("mz"))
+    det = F.nullif(F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy"), F.lit(0.0))
+    t = s.withColumn("b", (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det).withColumn("c", (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det)
+    return t.select(*by, (F.col("mz") - F.col("b") * F.col("mx") - F.col("c") * F.col("my")).alias("a"), "b", "c")
+
+
 def detect_plates(frames: DataFrame, spacing: float, **options) -> DataFrame:
     """POINTS of plate images (camera, plane, z, n_rows, n_cols, pixels): one image a call, plates in parallel."""
     rows = frames.select(F.col("camera").cast("int"), F.col("plane").cast("int"), F.col("z").cast("double"), "n_rows", "n_cols", "pixels")

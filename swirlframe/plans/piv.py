@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import geometry, neighbourhood, piv, uncertainty
-from ..kernels.correlation import BATCH, analyze
+from ..kernels.correlation import BATCH, analyze, find_peaks
 from ..kernels.deformation import Spline, deform, field_at
 from ..operators.recordings import with_pixels
 from ..params import PIVParameters, effort_schedule
@@ -66,6 +66,56 @@ def run_piv_sequence(pairs: DataFrame, frames: DataFrame | None = None, passes=N
     return rows.mapInArrow(run, VECTORS)
 
 
+PEAKS = "pair_id long, gi int, gj int, rank int, lag_v int, lag_u int, value double, du double, dv double, peak_ratio double, correlation_moment double"
+
+
+def correlation_peaks(pairs: DataFrame, frames: DataFrame | None = None, p: PIVParameters | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """PEAKS: the ``p.n_peaks`` best peaks of every window's plane of every pair, with their whole lags, the first refined as
+    ``p`` says, others by three points; ratio and moment are the window's. One pass, without a predictor."""
+    p = p or PIVParameters()
+    rows = (pairs if frames is None else with_pixels(pairs, frames, keys=keys)).select(F.col("pair_id").cast("long"), "n_rows", "n_cols", "pixels_a", "pixels_b")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in range(part.num_rows):
+                pair, nr, nc = (part.column(c)[r].as_py() for c in range(3))
+                a, b = (image(part.column(c)[r].values.to_numpy(zero_copy_only=False), nr, nc) for c in (3, 4))
+                g = piv.grid(a.shape, p)
+                for at in range(0, len(g.rows), BATCH):
+                    yield from _peak_rows(pair, g.gi[at : at + BATCH], g.gj[at : at + BATCH], piv.job_planes(g, a, b, p, None, slice(at, at + BATCH)), p)
+
+    return rows.mapInArrow(run, PEAKS)
+
+
+def ensemble_peaks(pairs: DataFrame, p: PIVParameters) -> DataFrame:
+    """PEAKS of planes summed over all pairs (one pass; ``pair_id`` is 0)."""
+    first = pairs.select("n_rows", "n_cols").first()
+    g = piv.grid((first.n_rows, first.n_cols), p)
+    fft = tuple(2 * s for s in p.search_area_size) if p.padding else p.search_area_size
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                job = part.column(0).to_numpy()
+                yield from _peak_rows(0, g.gi[job], g.gj[job], np.stack([np.asarray(x) for x in part.column(1).to_pylist()]).reshape(-1, *fft), p)
+
+    return ensemble_sums(pairs, p, None).mapInArrow(run, PEAKS)
+
+
+def _peak_rows(pair: int, gi: np.ndarray, gj: np.ndarray, planes: np.ndarray, p: PIVParameters) -> Iterator[pa.RecordBatch]:
+    x = analyze(planes, p.n_peaks, p.subpixel_method, p.peak_finder)
+    values, rows, cols = find_peaks(planes, max(2, p.n_peaks), p.peak_finder)
+    lags = rows - planes.shape[1] // 2, cols - planes.shape[2] // 2
+    for m in range(p.n_peaks):
+        some = ~np.isnan(values[:, m])
+        if not some.any():
+            continue
+        du, dv = (x["du"], x["dv"]) if m == 0 else (x["alt_u"][:, m], x["alt_v"][:, m])
+        out = [np.full(some.sum(), pair, np.int64), *[c[some].astype(np.int32) for c in (gi + 1, gj + 1, np.full(len(gi), m + 1), lags[0][:, m], lags[1][:, m])]]
+        out += [c[some].astype(float) for c in (values[:, m], du, dv, x["peak_ratio"], x["moment"])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[c.split()[0] for c in PEAKS.split(", ")])
+
+
 def run_piv(a: np.ndarray, b: np.ndarray, passes=None, effort: str | None = None, mask=None, roi=None, mask_threshold: float = 0.5) -> piv.Field:
     """One pair on the driver, for interactive use; recordings go through run_piv_sequence."""
     return piv.run(np.asarray(a, float), np.asarray(b, float), schedule(passes, effort, a.shape), mask, mask_threshold, roi=roi)

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from . import functions as C
 from .kernels import geometry, synthetic
-from .operators import fields, neighbors, recordings, tracks
+from .operators import calibration, fields, neighbors, recordings, tracks
 from .params import PhysicalScale, PIVParameters, PTVParameters, multipass_parameters
+from .plans import images as prepared
 from .plans import piv, ptv
 from .sources import images, sinks
 
@@ -149,48 +151,151 @@ TOPS = """
 """
 
 
-def tile_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx_a, pr, pc, s): circular correlation of paired tiles, zero lag at (4, 4): an equi-join of pixels lag by lag."""
+SUB = ", top AS (SELECT * FROM ranked WHERE rank = 1), off AS (SELECT t.idx_a, t.pr, t.pc, t.s, u.s AS up, d.s AS dn, l.s AS lf, r.s AS rt FROM top t LEFT JOIN plane u ON u.idx_a = t.idx_a AND u.pr = t.pr - 1 AND u.pc = t.pc LEFT JOIN plane d ON d.idx_a = t.idx_a AND d.pr = t.pr + 1 AND d.pc = t.pc LEFT JOIN plane l ON l.idx_a = t.idx_a AND l.pr = t.pr AND l.pc = t.pc - 1 LEFT JOIN plane r ON r.idx_a = t.idx_a AND r.pr = t.pr AND r.pc = t.pc + 1), sub AS (SELECT *, coalesce((ln(nullif(lf, 0)) - ln(nullif(rt, 0))) / (2 * (ln(nullif(lf, 0)) - 2 * ln(s) + ln(nullif(rt, 0)))), 0) AS dx, coalesce((ln(nullif(up, 0)) - ln(nullif(dn, 0))) / (2 * (ln(nullif(up, 0)) - 2 * ln(s) + ln(nullif(dn, 0)))), 0) AS dy FROM off)"
+MOMENT = SUB + ", mom AS (SELECT sub.idx_a, sqrt(sum(greatest(p.s, 0) * ((p.pr - sub.pr - dy) ** 2 + (p.pc - sub.pc - dx) ** 2)) / sum(greatest(p.s, 0))) AS moment FROM sub JOIN plane p ON p.idx_a = sub.idx_a AND abs(p.pr - round_even(sub.pr + dy, 0)) <= 1 AND abs(p.pc - round_even(sub.pc + dx, 0)) <= 1 GROUP BY sub.idx_a)"
+ALL = " SELECT sub.idx_a, round(sub.pc - {o} + dx, 4) + 0.0 AS du, round(sub.pr - {o} + dy, 4) + 0.0 AS dv, round(sub.s / r2.s, 4) + 0.0 AS peak_ratio, round(moment, 4) + 0.0 AS correlation_moment FROM sub JOIN mom USING (idx_a) LEFT JOIN ranked r2 ON r2.idx_a = sub.idx_a AND r2.rank = 2 AND r2.s > 0"
+TILE = PIVParameters((8, 8), overlap=(0, 0), uod_enable=False)
+
+
+def tile_peaks(spark: SparkSession, sf_dir: str, p: PIVParameters = TILE) -> DataFrame:
+    """Peaks of paired tiles by the library's window correlation; a pair's first frame (idx_a) names it."""
     t = tiles(spark, sf_dir)
-    d = recordings.pixel_rows(t, ("frame_idx",)).withColumn("m", F.avg("p").over(Window.partitionBy("frame_idx"))).select("frame_idx", (F.col("row") - 1).alias("r"), (F.col("col") - 1).alias("c"), (F.col("p") - F.col("m")).alias("p"))
-    lags = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(8) for j in range(8)]))
-    a = d.filter("frame_idx % 2 = 1").withColumn("l", lags).select((F.col("frame_idx") + 1).alias("frame_idx"), ((F.col("r") + F.col("l.i")) % 8).alias("r"), ((F.col("c") + F.col("l.j")) % 8).alias("c"), F.col("p").alias("pa"), "l")
-    return a.join(d, ["frame_idx", "r", "c"]).groupBy((F.col("frame_idx") - 1).alias("idx_a"), ((F.col("l.i") + 4) % 8).alias("pr"), ((F.col("l.j") + 4) % 8).alias("pc")).agg(F.abs(F.sum(F.col("pa") * F.col("p"))).alias("s"))
+    pairs = recordings.image_pairs(t).select(F.col("idx_a").alias("pair_id"), "idx_a", "idx_b")
+    return piv.correlation_peaks(pairs, t, p).withColumnRenamed("pair_id", "idx_a")
+
+
+_LAGS = ("lag_v AS dv", "lag_u AS du")
 
 
-def _tops(plane: DataFrame) -> DataFrame:
-    """Local maxima (of a plateau the last in column order), ranked."""
-    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]))
-    near = plane.withColumn("d", shift).select("idx_a", (F.col("pr") + F.col("d.i")).alias("pr"), (F.col("pc") + F.col("d.j")).alias("pc"), F.col("s").alias("q"), ((F.col("d.j") < 0) | ((F.col("d.j") == 0) & (F.col("d.i") < 0))).alias("later"))
-    tops = plane.join(near, ["idx_a", "pr", "pc"]).groupBy("idx_a", "pr", "pc").agg(F.first("s").alias("s"), F.bool_or((F.col("q") > F.col("s")) | ((F.col("q") == F.col("s")) & F.col("later"))).alias("lower")).filter(~F.col("lower"))
-    w = Window.partitionBy("idx_a").orderBy(F.desc("s"), "pc", "pr")
-    return tops.withColumn("rank", F.row_number().over(w)).drop("lower")
+def _first(peaks: DataFrame, *columns: str) -> DataFrame:
+    return rounded(peaks.filter("rank = 1").select("idx_a", *columns), 4)
 
 
 @_query(XCORR + TOPS + ", top AS (SELECT * FROM ranked WHERE rank = 1), off AS (SELECT t.idx_a, t.pr, t.pc, t.s, u.s AS up, d.s AS dn, l.s AS lf, r.s AS rt FROM top t LEFT JOIN plane u ON u.idx_a = t.idx_a AND u.pr = t.pr - 1 AND u.pc = t.pc LEFT JOIN plane d ON d.idx_a = t.idx_a AND d.pr = t.pr + 1 AND d.pc = t.pc LEFT JOIN plane l ON l.idx_a = t.idx_a AND l.pr = t.pr AND l.pc = t.pc - 1 LEFT JOIN plane r ON r.idx_a = t.idx_a AND r.pr = t.pr AND r.pc = t.pc + 1), sub AS (SELECT *, coalesce((ln(lf) - ln(rt)) / (2 * (ln(lf) - 2 * ln(s) + ln(rt))), 0) AS dx, coalesce((ln(up) - ln(dn)) / (2 * (ln(up) - 2 * ln(s) + ln(dn))), 0) AS dy FROM off) SELECT sub.idx_a, round(sub.pc - 4 + dx, 4) + 0.0 AS du, round(sub.pr - 4 + dy, 4) + 0.0 AS dv, round(sub.s / r2.s, 4) + 0.0 AS peak_ratio FROM sub LEFT JOIN ranked r2 ON r2.idx_a = sub.idx_a AND r2.rank = 2")
 def tile_xcorr(spark, sf_dir):
-    plane = tile_planes(spark, sf_dir)
-    w = Window.partitionBy("idx_a")
-    tops = _tops(plane).withColumn("second", F.max(F.when(F.col("rank") == 2, F.col("s"))).over(w)).filter("rank = 1")
-    best = tops.select("idx_a", F.col("pr").alias("tr"), F.col("pc").alias("tc"), F.col("s").alias("top"), "second")
-    near = plane.join(best, "idx_a").groupBy("idx_a", "tr", "tc", "top", "second").agg(*[F.max(F.when((F.col("pr") == F.col("tr") + i) & (F.col("pc") == F.col("tc") + j), F.col("s"))).alias(n) for n, i, j in (("up", -1, 0), ("dn", 1, 0), ("lf", 0, -1), ("rt", 0, 1))])
-    return rounded(near.select("idx_a", (F.col("tc") - 4 + C.gauss3("lf", "top", "rt")).alias("du"), (F.col("tr") - 4 + C.gauss3("up", "top", "dn")).alias("dv"), (F.col("top") / F.col("second")).alias("peak_ratio")), 4)
+    return _first(tile_peaks(spark, sf_dir), "du", "dv", "peak_ratio")
 
 
 @_query(XCORR + TOPS + " SELECT idx_a, rank::INT AS rank, CAST(pr - 4 AS INT) AS dv, CAST(pc - 4 AS INT) AS du, round(s, 6) + 0.0 AS s FROM ranked WHERE rank <= 3")
 def tile_peaks_topk(spark, sf_dir):
-    return rounded(_tops(tile_planes(spark, sf_dir)).filter("rank <= 3").select("idx_a", F.col("rank").cast("int").alias("rank"), (F.col("pr") - 4).cast("int").alias("dv"), (F.col("pc") - 4).cast("int").alias("du"), "s"))
+    return rounded(tile_peaks(spark, sf_dir, replace(TILE, subpixel_method="none", n_peaks=3)).selectExpr("idx_a", "rank", *_LAGS, "value AS s"))
 
 
-@_query(None)
+@_query(XCORR + TOPS + MOMENT + " SELECT CAST((sub.idx_a + 1) // 2 AS BIGINT) AS pair_id, round(sub.pc - 4 + dx, 4) + 0.0 AS u, round(sub.pr - 4 + dy, 4) + 0.0 AS v, round(sub.s / r2.s, 4) + 0.0 AS peak_ratio, round(moment, 4) + 0.0 AS correlation_moment FROM sub JOIN mom USING (idx_a) LEFT JOIN ranked r2 ON r2.idx_a = sub.idx_a AND r2.rank = 2")
 def tile_piv(spark, sf_dir):
-    """The same correlation by the window kernel: a row a pair."""
+    """The same correlation by the whole analysis of a pair: a row a pair."""
     t = tiles(spark, sf_dir)
-    p = PIVParameters((8, 8), overlap=(0, 0), uod_enable=False)
-    got = piv.run_piv_sequence(recordings.image_pairs(t).select(F.col("pair_id").cast("long"), "idx_a", "idx_b"), t, p)
+    got = piv.run_piv_sequence(recordings.image_pairs(t).select(F.col("pair_id").cast("long"), "idx_a", "idx_b"), t, TILE)
     return rounded(got.select("pair_id", "u", "v", "peak_ratio", "correlation_moment"), 4)
 
 
+@_query(XCORR + ", e1 AS (SELECT *, row_number() OVER (PARTITION BY idx_a ORDER BY s DESC, pc, pr) AS k FROM plane), t1 AS (SELECT * FROM e1 WHERE k = 1), e2 AS (SELECT p.*, row_number() OVER (PARTITION BY p.idx_a ORDER BY p.s DESC, p.pc, p.pr) AS k FROM plane p JOIN t1 ON t1.idx_a = p.idx_a AND greatest(abs(p.pr - t1.pr), abs(p.pc - t1.pc)) > 2 WHERE p.s > 0) SELECT idx_a, 1 AS rank, CAST(pr - 4 AS INT) AS dv, CAST(pc - 4 AS INT) AS du, round(s, 6) + 0.0 AS s FROM t1 UNION ALL SELECT idx_a, 2, CAST(pr - 4 AS INT), CAST(pc - 4 AS INT), round(s, 6) + 0.0 FROM e2 WHERE k = 1")
+def tile_peaks_exclusion(spark, sf_dir):
+    p = replace(TILE, subpixel_method="none", n_peaks=2, peak_finder="exclusion")
+    return rounded(tile_peaks(spark, sf_dir, p).selectExpr("idx_a", "rank", *_LAGS, "value AS s"))
+
+
+_G9 = ", b9 AS (SELECT sub.idx_a, any_value(sub.pr) AS pr, any_value(sub.pc) AS pc, any_value(dx) AS dx, any_value(dy) AS dy, any_value(sub.pr) BETWEEN 1 AND 6 AND any_value(sub.pc) BETWEEN 1 AND 6 AND min(p.s) > 0 AS inside, sum(ln(p.s) * (p.pc - sub.pc)) / 6 AS a1, sum(ln(p.s) * (p.pr - sub.pr)) / 6 AS a2, sum(ln(p.s) * (p.pc - sub.pc) ** 2) / 2 - sum(ln(p.s)) / 3 AS a3, sum(ln(p.s) * (p.pc - sub.pc) * (p.pr - sub.pr)) / 4 AS a4, sum(ln(p.s) * (p.pr - sub.pr) ** 2) / 2 - sum(ln(p.s)) / 3 AS a5 FROM sub JOIN plane p ON p.idx_a = sub.idx_a AND abs(p.pr - sub.pr) <= 1 AND abs(p.pc - sub.pc) <= 1 AND p.s > 0 GROUP BY sub.idx_a), f9 AS (SELECT *, 4 * a3 * a5 - a4 ** 2 AS det FROM b9), s9 AS (SELECT *, (a4 * a2 - 2 * a5 * a1) / nullif(det, 0) AS fx, (a4 * a1 - 2 * a3 * a2) / nullif(det, 0) AS fy FROM f9)"
+
+
+@_query(XCORR + TOPS + SUB + _G9 + " SELECT idx_a, round(pc - 4 + CASE WHEN inside AND a3 < 0 AND det > 0 AND abs(fx) <= 1 AND abs(fy) <= 1 THEN fx ELSE dx END, 4) + 0.0 AS du, round(pr - 4 + CASE WHEN inside AND a3 < 0 AND det > 0 AND abs(fx) <= 1 AND abs(fy) <= 1 THEN fy ELSE dy END, 4) + 0.0 AS dv FROM s9")
+def tile_gauss9(spark, sf_dir):
+    return _first(tile_peaks(spark, sf_dir, replace(TILE, subpixel_method="gauss9")), "du", "dv")
+
+
+_PADDED = f"""
+WITH {TILES}, wt AS (SELECT k, exp(-((k - 3.5) ** 2) / 8) AS w FROM (SELECT unnest(generate_series(0, 7)) AS k)),
+d AS (SELECT frame_idx, r - 1 AS r, c - 1 AS c, (p - avg(p) OVER (PARTITION BY frame_idx)) * x.w * y.w AS p FROM px JOIN wt x ON x.k = r - 1 JOIN wt y ON y.k = c - 1),
+l AS (SELECT unnest(generate_series(-7, 7)) AS i), sh AS (SELECT l.i, sum(a.w * b.w) AS a FROM l JOIN wt a ON true JOIN wt b ON b.k = a.k + l.i GROUP BY l.i), top0 AS (SELECT max(a) ** 2 AS m FROM sh),
+gain AS (SELECT x.i, y.i AS j, CASE WHEN x.a * y.a >= m / 2 THEN m / (x.a * y.a) ELSE 0 END AS g FROM sh x CROSS JOIN sh y CROSS JOIN top0),
+held AS (SELECT a.frame_idx AS idx_a, i.i + 8 AS pr, j.i + 8 AS pc, abs(sum(a.p * b.p)) AS s FROM d a CROSS JOIN l i CROSS JOIN l j JOIN d b ON b.frame_idx = a.frame_idx + 1 AND b.r = a.r + i.i AND b.c = a.c + j.i WHERE a.frame_idx % 2 = 1 GROUP BY 1, 2, 3),
+plane AS (SELECT q.idx_a, cast(x.k AS BIGINT) AS pr, cast(y.k AS BIGINT) AS pc, coalesce(s * g, 0) AS s FROM (SELECT DISTINCT idx_a FROM held) q CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS k) x CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS k) y LEFT JOIN held ON held.idx_a = q.idx_a AND held.pr = x.k AND held.pc = y.k LEFT JOIN gain ON gain.i = x.k - 8 AND gain.j = y.k - 8)
+"""
+
+
+@_query(_PADDED + TOPS + MOMENT + ALL.format(o=8))
+def tile_padded_gauss(spark, sf_dir):
+    """Windows weighted and padded, the plane corrected for the overlap."""
+    return _first(tile_peaks(spark, sf_dir, replace(TILE, padding=True, apodization="gauss")), "du", "dv", "peak_ratio", "correlation_moment")
+
+
+_AREA = f"""
+WITH {TILES}, d AS (SELECT frame_idx, r - 1 AS r, c - 1 AS c, p - avg(p) OVER (PARTITION BY frame_idx) AS p FROM px),
+w AS (SELECT frame_idx, r - 1 AS r, c - 1 AS c, p - avg(p) OVER (PARTITION BY frame_idx) AS p FROM px WHERE r BETWEEN 3 AND 6 AND c BETWEEN 3 AND 6), l AS (SELECT unnest(generate_series(-2, 2)) AS i),
+held AS (SELECT a.frame_idx AS idx_a, i.i + 4 AS pr, j.i + 4 AS pc, abs(sum(a.p * b.p)) AS s FROM w a CROSS JOIN l i CROSS JOIN l j JOIN d b ON b.frame_idx = a.frame_idx + 1 AND b.r = a.r + i.i AND b.c = a.c + j.i WHERE a.frame_idx % 2 = 1 GROUP BY 1, 2, 3),
+plane AS (SELECT q.idx_a, cast(x.k AS BIGINT) AS pr, cast(y.k AS BIGINT) AS pc, coalesce(s, 0) AS s FROM (SELECT DISTINCT idx_a FROM held) q CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS k) x CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS k) y LEFT JOIN held ON held.idx_a = q.idx_a AND held.pr = x.k AND held.pc = y.k)
+"""
+
+
+@_query(_AREA + TOPS + " SELECT idx_a, CAST(pr - 4 AS INT) AS dv, CAST(pc - 4 AS INT) AS du, round(s, 6) + 0.0 AS s FROM ranked WHERE rank = 1")
+def tile_search_area(spark, sf_dir):
+    """A window of 4 in a search area of 8: lags are restricted to the margin."""
+    p = replace(TILE, window_size=(4, 4), search_area_size=(8, 8), subpixel_method="none")
+    return rounded(tile_peaks(spark, sf_dir, p).filter("rank = 1").selectExpr("idx_a", *_LAGS, "value AS s"))
+
+
+_PHASE = f"""
+WITH {TILES}, d AS (SELECT frame_idx, r - 1 AS r, c - 1 AS c, p - avg(p) OVER (PARTITION BY frame_idx) AS p FROM px), l AS (SELECT unnest(generate_series(0, 7)) AS i),
+ft AS (SELECT frame_idx, k.i AS k, l.i AS l, sum(p * cos(2 * pi() * (k.i * r + l.i * c) / 8)) AS re, -sum(p * sin(2 * pi() * (k.i * r + l.i * c) / 8)) AS im FROM d CROSS JOIN l k CROSS JOIN l GROUP BY 1, 2, 3),
+sp AS (SELECT a.frame_idx AS idx_a, a.k, a.l, a.re * b.re + a.im * b.im AS re, a.re * b.im - a.im * b.re AS im, exp(-((CASE WHEN a.k < 4 THEN a.k ELSE a.k - 8 END) ** 2 + (CASE WHEN a.l < 4 THEN a.l ELSE a.l - 8 END) ** 2) / 2.0) AS g FROM ft a JOIN ft b ON b.frame_idx = a.frame_idx + 1 AND b.k = a.k AND b.l = a.l WHERE a.frame_idx % 2 = 1),
+ph AS (SELECT idx_a, k, l, g * re / (sqrt(re * re + im * im) + 2.220446049250313e-16) AS re, g * im / (sqrt(re * re + im * im) + 2.220446049250313e-16) AS im FROM sp),
+plane AS (SELECT idx_a, (x.i + 4) % 8 AS pr, (y.i + 4) % 8 AS pc, abs(sum(re * cos(2 * pi() * (k * x.i + ph.l * y.i) / 8) - im * sin(2 * pi() * (k * x.i + ph.l * y.i) / 8))) / 64 AS s FROM ph CROSS JOIN l x CROSS JOIN l y GROUP BY 1, 2, 3)
+"""
+
+
+@_query(_PHASE + TOPS + MOMENT + ALL.format(o=4))
+def tile_phase(spark, sf_dir):
+    """Phase correlation."""
+    return _first(tile_peaks(spark, sf_dir, replace(TILE, correlation_method="phase")), "du", "dv", "peak_ratio", "correlation_moment")
+
+
+@_query(XCORR.replace("plane AS", "each AS") + ", plane AS (SELECT 0 AS idx_a, pr, pc, sum(s) AS s FROM each GROUP BY pr, pc)" + TOPS + MOMENT + ALL.format(o=4))
+def tile_ensemble(spark, sf_dir):
+    """One plane of all pairs."""
+    t = tiles(spark, sf_dir)
+    pairs = recordings.with_pixels(recordings.image_pairs(t), t)
+    return _first(piv.ensemble_peaks(pairs, TILE).withColumn("idx_a", F.col("pair_id").cast("int")), "du", "dv", "peak_ratio", "correlation_moment")
+
+
+_SPOTS = f"""
+WITH {TILES}, g AS (SELECT *, median(p) OVER f AS ground FROM px WINDOW f AS (PARTITION BY frame_idx)), h AS (SELECT *, 1.4826 * median(abs(p - ground)) OVER (PARTITION BY frame_idx) AS spread FROM g),
+j AS (SELECT frame_idx, r, c, p, p - ground AS j, ground + spread AS least FROM h),
+m AS (SELECT a.* FROM j a WHERE a.r BETWEEN 2 AND 7 AND a.c BETWEEN 2 AND 7 AND a.p > a.least AND NOT EXISTS (SELECT 1 FROM j b WHERE b.frame_idx = a.frame_idx AND abs(b.r - a.r) <= 1 AND abs(b.c - a.c) <= 1 AND (b.r <> a.r OR b.c <> a.c) AND (b.p > a.p OR (b.p = a.p AND (b.c, b.r) > (a.c, a.r))))),
+n AS (SELECT m.frame_idx, m.r, m.c, any_value(m.j) AS j, max(CASE WHEN b.r = m.r AND b.c = m.c - 1 THEN b.j END) AS lf, max(CASE WHEN b.r = m.r AND b.c = m.c + 1 THEN b.j END) AS rt, max(CASE WHEN b.c = m.c AND b.r = m.r - 1 THEN b.j END) AS up, max(CASE WHEN b.c = m.c AND b.r = m.r + 1 THEN b.j END) AS dn, sum(greatest(b.j, 0)) AS total, sum(greatest(b.j, 0) * (b.c - m.c)) AS mx, sum(greatest(b.j, 0) * (b.r - m.r)) AS my FROM m JOIN j b ON b.frame_idx = m.frame_idx AND abs(b.r - m.r) <= 1 AND abs(b.c - m.c) <= 1 GROUP BY m.frame_idx, m.r, m.c),
+q AS (SELECT *, CASE WHEN lf > 0 AND j > 0 AND rt > 0 THEN ln(lf) + ln(rt) - 2 * ln(j) END AS kx, CASE WHEN up > 0 AND j > 0 AND dn > 0 THEN ln(up) + ln(dn) - 2 * ln(j) END AS ky FROM n),
+o AS (SELECT *, CASE WHEN kx < 0 AND abs((ln(lf) - ln(rt)) / (2 * kx)) < 1 THEN (ln(lf) - ln(rt)) / (2 * kx) END AS ox, CASE WHEN ky < 0 AND abs((ln(up) - ln(dn)) / (2 * ky)) < 1 THEN (ln(up) - ln(dn)) / (2 * ky) END AS oy FROM q),
+z AS (SELECT *, CASE WHEN ox IS NOT NULL THEN sqrt(-1 / kx) END AS zx, CASE WHEN oy IS NOT NULL THEN sqrt(-1 / ky) END AS zy FROM o),
+found AS (SELECT frame_idx, r, c, c + coalesce(ox, CASE WHEN total > 0 THEN mx / total ELSE 0 END) AS x, r + coalesce(oy, CASE WHEN total > 0 THEN my / total ELSE 0 END) AS y, j AS intensity, CASE WHEN zx IS NOT NULL OR zy IS NOT NULL THEN 4 * (coalesce(zx, 0) + coalesce(zy, 0)) / ((zx IS NOT NULL)::INT + (zy IS NOT NULL)::INT) END AS diameter FROM z)
+"""
+
+
+@_query(_SPOTS + "SELECT frame_idx, row_number() OVER (PARTITION BY frame_idx ORDER BY intensity DESC, c, r)::INT AS particle_id, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, round(intensity, 5) + 0.0 AS intensity, round(diameter, 5) + 0.0 AS diameter FROM found WHERE diameter IS NULL OR diameter BETWEEN 1 AND 12")
+def tile_particles(spark, sf_dir):
+    """Detected particles of every tile."""
+    p = PTVParameters(threshold_k=1.0, min_separation=0.01)
+    return rounded(ptv.detect_particles(tiles(spark, sf_dir), p).select("frame_idx", "particle_id", "x", "y", "intensity", "diameter"), 5)
+
+
+_BLUR = f"""
+WITH {TILES}, k AS (SELECT o, exp(-(o * o) / 2.0) / sum(exp(-(o * o) / 2.0)) OVER () AS w FROM (SELECT unnest(generate_series(-3, 3)) AS o)),
+rep AS (SELECT a.frame_idx, a.r, a.c, a.p, sum(b.p * x.w * y.w) AS mean, sum(b.p * b.p * x.w * y.w) AS sq FROM px a CROSS JOIN k x CROSS JOIN k y JOIN px b ON b.frame_idx = a.frame_idx AND b.r = least(greatest(a.r + x.o, 1), 8) AND b.c = least(greatest(a.c + y.o, 1), 8) GROUP BY ALL)
+SELECT frame_idx, CAST((r - 1) * 8 + c AS INT) AS k, """
+
+
+def _steps(name: str, steps: list, sql: str) -> None:
+    def run(spark, sf_dir):
+        done = prepared.preprocess(tiles(spark, sf_dir), steps)
+        return rounded(done.select("frame_idx", F.posexplode("pixels").alias("k", "p")).select("frame_idx", (F.col("k") + 1).cast("int").alias("k"), "p"))
+
+    run.__name__ = name
+    _query(_BLUR + f"round({sql}, 6) + 0.0 AS p FROM rep")(run)
+
+
+_steps("gaussian_blur", [("gaussian_blur", {"sigma": 1.0})], "mean")
+_steps("highpass", [("invert_image", {"enabled": False}), ("highpass_filter", {"sigma": 1.0})], "greatest(p - mean, 0)")
+_steps("local_variance_normalize", [("local_variance_normalize", {"sigma": 1.0})], "(p - mean) / sqrt(greatest(sq - mean * mean, 0) + 1e-6)")
+
+
 # --- statistics of fields ---
 
 
@@ -219,6 +324,20 @@ def replaced(spark, sf_dir):
     return rounded(fields.replace_outliers(gf(spark, sf_dir)).select("frame", "gi", "gj", "u", "v"))
 
 
+# A grid of 40 x 30 nodes of one frame, with a hole of 25 x 25 outliers.
+_HOLE = "f AS (SELECT 1 AS frame, CAST(a.i AS INT) AS gi, CAST(b.j AS INT) AS gj, coalesce(o_totalprice, 0) / 1e4 AS u, coalesce(o_custkey, 0) / 1e2::DOUBLE AS v, a.i BETWEEN 6 AND 30 AND b.j BETWEEN 3 AND 27 AS outlier FROM (SELECT unnest(generate_series(1, 40)) AS i) a CROSS JOIN (SELECT unnest(generate_series(1, 30)) AS j) b LEFT JOIN orders ON o_orderkey = (a.i - 1) * 30 + b.j)"
+
+
+@_query(f"WITH {_HOLE}, r AS (SELECT a.gi, a.gj, b.u, b.v, greatest(abs(a.gi - b.gi), abs(a.gj - b.gj)) AS r FROM f a JOIN f b ON a.outlier AND NOT b.outlier), k AS (SELECT *, row_number() OVER (PARTITION BY gi, gj ORDER BY r) AS n FROM r), t AS (SELECT gi, gj, min(r) AS reach FROM k WHERE n = 3 GROUP BY ALL), m AS (SELECT r.gi, r.gj, median(u) AS mu, median(v) AS mv FROM r JOIN t USING (gi, gj) WHERE r <= reach GROUP BY ALL) SELECT f.gi, f.gj, round(coalesce(mu, u), 6) + 0.0 AS u, round(coalesce(mv, v), 6) + 0.0 AS v FROM f LEFT JOIN m ON f.gi = m.gi AND f.gj = m.gj")
+def replaced_wide_hole(spark, sf_dir):
+    """Replacement however large the hole."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e4).alias("u"), (F.col("o_custkey") / 1e2).alias("v"))
+    grid = spark.range(1200).select((F.col("id") + 1).alias("o_orderkey"), (F.floor(F.col("id") / 30) + 1).cast("int").alias("gi"), (F.col("id") % 30 + 1).cast("int").alias("gj"))
+    zero = F.lit(0.0)
+    f = grid.join(o, "o_orderkey", "left").select(F.lit(1).alias("frame"), "gi", "gj", F.coalesce("u", zero).alias("u"), F.coalesce("v", zero).alias("v"), F.lit(False).alias("masked"), (F.col("gi").between(6, 30) & F.col("gj").between(3, 27)).alias("outlier"))
+    return rounded(fields.replace_outliers(f).select("gi", "gj", "u", "v"))
+
+
 @_query(f"WITH {GF}, z AS (SELECT frame, gi, gj, coalesce(u, 0) AS u FROM gf), a AS (SELECT *, (coalesce(lag(u) OVER w, u) + 2 * u + coalesce(lead(u) OVER w, u)) / 4 AS s FROM z WINDOW w AS (PARTITION BY frame, gj ORDER BY gi)) SELECT frame, gi, gj, round((coalesce(lag(s) OVER w, s) + 2 * s + coalesce(lead(s) OVER w, s)) / 4, 6) + 0.0 AS u FROM a WINDOW w AS (PARTITION BY frame, gi ORDER BY gj)")
 def smooth_binomial(spark, sf_dir):
     z = gf(spark, sf_dir).select("frame", "gi", "gj", F.nanvl("u", F.lit(0.0)).alias("u"))
@@ -280,17 +399,10 @@ def peak_locking(spark, sf_dir):
     return rounded(fields.peak_locking(_table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 7).alias("d")), "d"))
 
 
-@_query(f"WITH {GF}, s AS (SELECT gi, gj, frame, u, row_number() OVER n - 1 AS t, count(*) OVER p AS n, coalesce(u, avg(u) OVER p) AS x FROM gf WHERE gj <= 2 WINDOW n AS (PARTITION BY gi, gj ORDER BY frame), p AS (PARTITION BY gi, gj)), m AS (SELECT *, x - avg(x) OVER (PARTITION BY gi, gj) AS z, 0.5 * (1 - cos(2 * pi() * t / (n - 1))) AS w FROM s), k AS (SELECT gi, gj, n, k, sum(z * w * cos(2 * pi() * k * t / n)) AS a, sum(z * w * sin(2 * pi() * k * t / n)) AS b, sum(w * w) AS ww FROM m, LATERAL (SELECT unnest(generate_series(0, n // 2)) AS k) GROUP BY ALL) SELECT gi, gj, k::INT AS k, round(k / n::DOUBLE, 6) + 0.0 AS frequency, round((a * a + b * b) * 2 / ww * CASE WHEN k = 0 OR k * 2 = n THEN 0.5 ELSE 1 END, 6) + 0.0 AS psd FROM k")
+@_query(f"WITH {GF}, s AS (SELECT gi, gj, frame, u, row_number() OVER n - 1 AS t, count(*) OVER p AS n, coalesce(u, avg(u) OVER p) AS x FROM gf WINDOW n AS (PARTITION BY gi, gj ORDER BY frame), p AS (PARTITION BY gi, gj)), m AS (SELECT *, x - avg(x) OVER (PARTITION BY gi, gj) AS z, 0.5 * (1 - cos(2 * pi() * t / (n - 1))) AS w FROM s), k AS (SELECT gi, gj, n, k, sum(z * w * cos(2 * pi() * k * t / n)) AS a, sum(z * w * sin(2 * pi() * k * t / n)) AS b, sum(w * w) AS ww FROM m, LATERAL (SELECT unnest(generate_series(0, n // 2)) AS k) GROUP BY ALL) SELECT gi, gj, k::INT AS k, round(k / n::DOUBLE, 6) + 0.0 AS frequency, round((a * a + b * b) * 2 / ww * CASE WHEN k = 0 OR k * 2 = n THEN 0.5 ELSE 1 END, 6) + 0.0 AS psd FROM k")
 def power_spectrum(spark, sf_dir):
-    s = fields.filled_series(gf(spark, sf_dir).filter("gj <= 2"), ("gi", "gj"), "frame", "u", "mean")
-    return rounded(fields.power_spectrum(s, ("gi", "gj"), "frame", "u"))
-
-
-@_query(None)
-def power_spectrum_all(spark, sf_dir):
-    """Of every node; ``power_spectrum`` and its SQL take two columns of the grid."""
-    s = fields.filled_series(gf(spark, sf_dir), ("gi", "gj"), "frame", "u", "mean")
-    return rounded(fields.power_spectrum(s, ("gi", "gj"), "frame", "u"))
+    """Of every node."""
+    return rounded(fields.result_spectrum(gf(spark, sf_dir).withColumn("outlier", F.lit(False)), "u"))
 
 
 @_query(f"WITH {GF}, s AS (SELECT gi, gj, frame, u, row_number() OVER (PARTITION BY gi, gj ORDER BY frame) AS k FROM gf), f AS (SELECT *, last_value(u IGNORE NULLS) OVER b AS lo, last_value(CASE WHEN u IS NOT NULL THEN k END IGNORE NULLS) OVER b AS la, first_value(u IGNORE NULLS) OVER a AS hi, first_value(CASE WHEN u IS NOT NULL THEN k END IGNORE NULLS) OVER a AS ha FROM s WINDOW b AS (PARTITION BY gi, gj ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY gi, gj ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT gi, gj, frame, round(coalesce(u, lo + (hi - lo) * (k - la) / (ha - la), lo, hi), 6) + 0.0 AS u FROM f")
@@ -340,34 +452,24 @@ def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 5).alias("x"), ((F.col("p_partkey") * 37) % 211).cast("double").alias("y"), (F.col("p_size") / 10.0).alias("u"), ((F.col("p_partkey") % 17) / 4.0).alias("v"))
 
 
-PTS = "p AS (SELECT p_partkey AS id, p_retailprice / 5 AS x, ((p_partkey * 37) % 211)::DOUBLE AS y, p_size / 10.0::DOUBLE AS u, (p_partkey % 17) / 4.0::DOUBLE AS v FROM part), q AS (SELECT a.id AS id_a, b.id AS id_b, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2, a.u AS ua, b.u AS ub, a.v AS va, b.v AS vb FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 5 AND abs(a.y - b.y) <= 5 WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 25), k AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS rank FROM q)"
+PTS = "p AS (SELECT p_partkey AS id, p_retailprice / 5 AS x, ((p_partkey * 37) % 211)::DOUBLE AS y, p_size / 10.0::DOUBLE AS u, (p_partkey % 17) / 4.0::DOUBLE AS v FROM part), q AS (SELECT a.id AS id_a, b.id AS id_b, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d2, a.u AS ua, b.u AS ub, a.v AS va, b.v AS vb FROM p a JOIN p b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) AS rank FROM q)"
 
 
-@_query(f"WITH {PTS} SELECT id_a, id_b, round(d2, 4) + 0.0 AS d2 FROM q")
+@_query(f"WITH {PTS} SELECT id_a, id_b, round(d2, 4) + 0.0 AS d2 FROM q WHERE d2 <= 81")
 def range_join(spark, sf_dir):
     p = scattered(spark, sf_dir)
-    return rounded(neighbors.range_join(p, p, 5.0).filter("id_a <> id_b").select("id_a", "id_b", "d2"), 4)
+    return rounded(neighbors.range_join(p, p, 9.0).filter("id_a <> id_b").select("id_a", "id_b", "d2"), 4)
 
 
 @_query(f"WITH {PTS} SELECT id_a, id_b, rank::INT AS rank FROM k WHERE rank <= 4")
 def knn_join(spark, sf_dir):
-    return neighbors.knn(scattered(spark, sf_dir), 4, 5.0).select("id_a", "id_b", "rank")
+    """The four nearest however far; the radius is only where the search starts."""
+    return neighbors.knn(scattered(spark, sf_dir), 4, 2.5).select("id_a", "id_b", "rank")
 
 
 @_query(f"WITH {PTS}, e AS (SELECT *, median(ub) OVER w AS mu, median(vb) OVER w AS mv, count(*) OVER w AS n FROM k WHERE rank <= 8 WINDOW w AS (PARTITION BY id_a)), d AS (SELECT id_a, any_value(n) AS n, abs(any_value(ua) - any_value(mu)) / (median(abs(ub - mu)) + 0.1) > 2 OR abs(any_value(va) - any_value(mv)) / (median(abs(vb - mv)) + 0.1) > 2 AS flag FROM e GROUP BY id_a) SELECT id, coalesce(n >= 3 AND flag, false) AS flag FROM p LEFT JOIN d ON id = id_a")
 def scattered_outliers(spark, sf_dir):
-    return neighbors.scattered_outliers(scattered(spark, sf_dir), 5.0).select("id", "flag")
-
-
-@_query(None)
-def knn_join_exact(spark, sf_dir):
-    """The four nearest however far; ``knn_join`` and its SQL stop at their radius."""
-    return neighbors.nearest(scattered(spark, sf_dir), 4, 9.0).select("id_a", "id_b", "rank")
-
-
-@_query(None)
-def scattered_outliers_exact(spark, sf_dir):
-    return neighbors.scattered_outliers(scattered(spark, sf_dir), 9.0, exact=True).select("id", "flag")
+    return neighbors.scattered_outliers(scattered(spark, sf_dir), 3.0).select("id", "flag")
 
 
 # --- tracks ---
@@ -400,17 +502,15 @@ _P = ((900.0, 12.0, -30.0, 400.0), (-8.0, 880.0, 25.0, 300.0), (0.001, 0.002, -0
 def reprojection_quality(spark, sf_dir):
     w = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 9 - 4.0).alias("x"), (F.col("s_suppkey") % 7 - 3.0).alias("y"), (F.col("s_suppkey") % 3 - 1.0).alias("z"), (F.col("s_acctbal") / 1e4).alias("e"), F.col("s_nationkey").alias("camera"))
     px, py = C.pinhole(_P, "x", "y", "z")
-    p = w.withColumn("px", px).withColumn("py", py).withColumn("d", F.hypot(F.col("px") - (F.col("px") + F.col("e")), F.col("py") - (F.col("py") - F.col("e") / 2)))
-    return rounded(p.groupBy("camera").agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"), F.max("d").alias("largest"), F.count("*").alias("n")))
+    seen = w.select("camera", F.col("x").alias("X"), F.col("y").alias("Y"), F.col("z").alias("Z"), (px + F.col("e")).alias("px"), (py - F.col("e") / 2).alias("py"))
+    cameras = w.select("camera").distinct().select("camera", F.lit("pinhole").alias("model"), F.array(*[F.lit(v) for row in _P for v in row]).alias("params"))
+    return rounded(calibration.calibration_quality(calibration.reprojection_errors(seen, cameras), "camera"))
 
 
 @_query("WITH p AS (SELECT (o_orderkey % 100)::DOUBLE AS x, (o_custkey % 90)::DOUBLE AS y, o_totalprice / 1e5 AS z FROM orders), s AS (SELECT covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p), t AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS b, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS c FROM s) SELECT round(mz - b * mx - c * my, 5) + 0.0 AS a, round(b, 5) + 0.0 AS b, round(c, 5) + 0.0 AS c FROM t")
 def sheet_plane_fit(spark, sf_dir):
     p = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100).cast("double").alias("x"), (F.col("o_custkey") % 90).cast("double").alias("y"), (F.col("o_totalprice") / 1e5).alias("z"))
-    s = p.agg(*[F.covar_pop(a, b).alias(a + b) for a, b in ("xx", "yy", "xy", "xz", "yz")], *[F.avg(a).alias(f"m{a}") for a in "xyz"])
-    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    t = s.withColumn("b", (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det).withColumn("c", (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det)
-    return rounded(t.select((F.col("mz") - F.col("b") * F.col("mx") - F.col("c") * F.col("my")).alias("a"), "b", "c"), 5)
+    return rounded(calibration.fit_sheet_plane(p), 5)
 
 
 @_query("SELECT c_custkey, round(((c_custkey % 50) * 0.8 + 0.6 * (c_nationkey - 2) - 0.8)::DOUBLE, 6) + 0.0 AS x, round((-0.6 * (c_custkey % 50 - 1) + 0.8 * (c_nationkey - 2))::DOUBLE, 6) + 0.0 AS y FROM customer")
@@ -464,10 +564,13 @@ def tracking_synthetic(spark, sf_dir):
     return tracks.exploded(ptv.track_particles(found, PTVParameters(search_radius=3), max_gap=1))
 
 
-@_query(None)
+_FLOW = "WITH p AS (SELECT p_partkey AS id, p_retailprice / 10 AS x, (p_partkey * 37 % 211)::DOUBLE AS y, p_size / 50.0::DOUBLE - 0.5 AS z FROM part), q AS (SELECT *, sqrt((x - 128) ** 2 + (y - 100) ** 2) AS r FROM p)"
+
+
+@_query(_FLOW + " SELECT id, round(x + CASE WHEN r > 0 THEN -2 * (y - 100) / r ELSE 0 END, 6) + 0.0 AS x_b, round(y + CASE WHEN r > 0 THEN 2 * (x - 128) / r ELSE 0 END, 6) + 0.0 AS y_b, round(exp(-(z * z) / (2 * (1 / 2.3548200450309493) ** 2)), 6) + 0.0 AS light FROM q")
 def particle_field(spark, sf_dir):
-    """Particles and their displacement by a vortex, as columns."""
-    n = 2000
-    p = spark.range(n).select("id", (1 + F.rand(1) * 255).alias("x"), (1 + F.rand(2) * 255).alias("y"), (F.rand(3) - 0.5).alias("z"), F.greatest(3 + 0.3 * F.randn(4), F.lit(0.5)).alias("diameter"))
-    u, v, w = C.vortex_flow(128.0, 128.0, 2.0)(F.col("x"), F.col("y"), F.col("z"), 0.0)
-    return p.select("*", (F.col("x") + u).alias("x_b"), (F.col("y") + v).alias("y_b"), C.laser_intensity("z").alias("light"))
+    """Particles carried by a vortex through a light sheet."""
+    t = _table(spark, sf_dir, "part")
+    p = t.select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 10).alias("x"), (F.col("p_partkey") * 37 % 211).cast("double").alias("y"), (F.col("p_size") / 50 - 0.5).alias("z"))
+    u, v, _ = C.vortex_flow(128.0, 100.0, 2.0)(F.col("x"), F.col("y"), F.col("z"), 0.0)
+    return rounded(p.select("id", (F.col("x") + u).alias("x_b"), (F.col("y") + v).alias("y_b"), C.laser_intensity("z").alias("light")))
