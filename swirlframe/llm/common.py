@@ -1,13 +1,11 @@
 """What the operators of this subpackage share: folders, Arrow access to texts, bounded broadcasts.
 
-Folders: everything that has to outlive a stage goes to the folder that the session names in
+Everything that has to outlive a stage is ``written`` to the folder that the session names in
 ``spark.checkpoint.dir``; it is the only place that driver and executors are known to share.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,45 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import written
+
 #: A side is broadcast only below this many bytes of payload; beyond it operators join or work in blocks.
 BROADCAST_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where there is none and all runs on this machine."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_to:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        set_to = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(set_to)
-    return set_to.rstrip("/")
-
-
-def scratch(spark: SparkSession) -> str:
-    """This application's folder of intermediate tables, which goes when the application ends."""
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
-    if path not in _SCRATCH:
-        _SCRATCH.add(path)
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(place)
-        files.deleteOnExit(place)
-    return path
-
-
-_SCRATCH: set[str] = set()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back: one evaluation for many readers."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that ``df`` has no column of, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,5 +94,37 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op10_sql() -> str:
+    """Every block that begins with a template's word, by self-join of the places of its words."""
+    rows = []
+    for label, text in licenses.NOTICES:
+        w = licenses.template_words(text)
+        need = math.ceil(licenses.THRESHOLD * len(set(w)) - 1e-9)
+        rows += [f"('{label}', {len(w)}, {len(set(w))}, {need}, '{x}')" for x in sorted(set(w))]
+    phrases = []
+    for phrase, label in licenses.PHRASES.items():
+        parts = phrase.split(" ")
+        joins = "".join(f" JOIN pos p{k} ON p{k}.r = p0.r AND p{k}.i = p0.i + {k} AND p{k}.word = '{x}'" for k, x in enumerate(parts[1:], 1))
+        phrases.append(f"SELECT p0.r, p0.i, '{label}' AS label FROM pos p0{joins} WHERE p0.word = '{parts[0]}'")
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pos AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM docs),
+t(label, len, n, need, word) AS (VALUES {", ".join(rows)}),
+near AS (SELECT r, i, label, len, n, need, t.word FROM pos JOIN t ON pos.word = t.word),
+blocks AS (SELECT a.r, a.label, a.i, any_value(a.n) AS n, any_value(a.need) AS need, count(DISTINCT b.word) AS c FROM near a JOIN near b ON a.r = b.r AND a.label = b.label AND b.i BETWEEN a.i AND a.i + 2 * a.len - 1 GROUP BY a.r, a.label, a.i),
+good AS (SELECT r, label, c / n::DOUBLE AS share FROM blocks WHERE c >= need),
+base AS ({" UNION ALL ".join(phrases)}),
+nb AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM good) GROUP BY r),
+best AS (SELECT r, max(share) AS share FROM good GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM docs LEFT JOIN nb USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_licenses": _op10_sql()}
