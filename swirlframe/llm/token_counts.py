@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, only, written
-from .tokens import default_path, tokenizer, words_of
+from .tokens import default_path, pre_tokens, tokenizer
 
 #: Pre-tokens in the broadcast part, and the bytes of text that a broadcast word may have.
 HEAD, HEAD_WORD_BYTES = 1 << 17, 64
@@ -32,7 +32,7 @@ def piece_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def words(rows: Iterator[tuple]) -> Iterator[tuple]:
         seen: Counter = Counter()
         for (body,) in rows:
-            seen.update(words_of((body or b"").decode(), path))
+            seen.update(pre_tokens((body or b"").decode(), path))
             if len(seen) > 300_000:
                 yield from seen.items()
                 seen = Counter()
@@ -62,7 +62,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", d
         known, base = shared.value, TaskContext.get().partitionId() << 40
         for i, (owner, body) in enumerate(rows):
             body = body or b""
-            words = words_of(body.decode(), path)
+            words = pre_tokens(body.decode(), path)
             got = list(map(known.get, words))
             tail: list[tuple[str, int]] = []
             if None in got:
