@@ -146,19 +146,33 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]
     return {k: np.array(v, np.int64)[order] for k, v in (("key", key), ("first", first), ("offset", offset))}
 
 
+def _groups(rows: Iterator[tuple], most: int = 128, size: int = 1 << 19) -> Iterator[list[tuple]]:
+    """Rows in groups of bounded number and bytes (a longer text is a group of its own)."""
+    held, n = [], 0
+    for row in rows:
+        if held and (len(held) >= most or n + len(row[1] or b"") > size):
+            yield held
+            held, n = [], 0
+        held.append(row)
+        n += len(row[1] or b"")
+    if held:
+        yield held
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, text: str = "text", doc_id: str = "doc_id", group: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank): each document's pieces; rank counts a length within a task."""
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         ids, part, ranks = ids_of(path), TaskContext.get().partitionId(), Counter()
         tail, step = np.array([end], "<u4").tobytes(), 4 * capacity
-        for owner, body in rows:
-            data = ids.of((body or b"").decode()) + tail
-            for i, at in enumerate(range(0, len(data), step)):
-                piece = data[at : at + step]
-                n = len(piece) // 4
-                yield owner, i, at // 4, n, zlib.crc32(piece), part, ranks[n]
-                ranks[n] += 1
+        for some in _groups(rows):
+            for owner, own in zip([r[0] for r in some], ids.of_many([(r[1] or b"").decode() for r in some]), strict=True):
+                data = own + tail
+                for i, at in enumerate(range(0, len(data), step)):
+                    piece = data[at : at + step]
+                    n = len(piece) // 4
+                    yield owner, i, at // 4, n, zlib.crc32(piece), part, ranks[n]
+                    ranks[n] += 1
 
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())]
     return map_rows(only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", pa.schema(fields))

@@ -1,13 +1,11 @@
-"""Exact tokenising by the public tokenizers' own libraries, one piece of text at a time.
+"""Exact tokenising by the public tokenizers' own libraries, one pre-token at a time.
 
 The word vocabulary's tokenizer folds white space and case, and cuts a text into pre-tokens (runs of letters, digits one by
 one, runs of other characters, contractions) that no merge crosses: a text's ids are its pre-tokens' ids one after
-the other, and its words' as well. Each distinct piece goes through the library once and is then looked up. ``pre_tokens``
-are the fewest distinct pieces (for counts that are shuffled), ``words_of`` the fewest pieces of a text (for ids in place).
-Both cut only where Python is sure to cut like the library: pre-tokens from words of printable ASCII and Latin letters,
-words with a lone full stop or comma after a letter cut off. Where even white space or case could differ
-(``\\x1c``-``\\x1f``, special strings, final sigma, texts not in NFC) steps are left out, or the whole text goes through
-the library.
+the other. Each distinct pre-token goes through the library once per worker process and is then looked up. They are cut
+here only where Python is sure to cut like the library: words of printable ASCII and Latin letters. Other words are kept
+whole, and where even white space or case could differ (``\\x1c``-``\\x1f``, special strings, final sigma, texts not in
+NFC) the steps are left out, or the whole text goes through the library.
 """
 
 from __future__ import annotations
@@ -18,9 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids a worker process remembers, in each of two generations (results don't depend on it).
-REMEMBERED = 350_000
-_POINT = re.compile(r"(?<=[a-z])([.,])(?=\s|$)")
+#: Pre-tokens whose ids a worker process remembers, in each of two generations (results don't depend on it).
+REMEMBERED = 600_000
 #: Letters of which every Unicode version says so and that lower-casing leaves single.
 _LETTER = "a-z\u00e0-\u00f6\u00f8-\u012f\u0131-\u024f"
 _OTHER = "!-/:-@\\[-`{-~"
@@ -69,15 +66,6 @@ def canonical(text: str) -> str:
     return text
 
 
-def words_of(text: str, path: str) -> list[str]:
-    """The text's words, or the text itself where words can't be cut out beforehand."""
-    if not text:
-        return []
-    if not spans_words(path) or not cuts_alike(text):
-        return [text]
-    return _POINT.sub(r" \1", canonical(text)).split()
-
-
 def pre_tokens(text: str, path: str) -> list[str]:
     """The text's pre-tokens; words that can't be cut for sure stay whole, and so does a text that has no sure words."""
     if not text:
@@ -119,9 +107,9 @@ class Ids:
             else:
                 todo.append(w)
         joined = [w for w in todo if "<|" not in w] if self.between else []
-        for at in range(0, len(joined), 1024):  # one call for many words, a special token between them
-            some = joined[at : at + 1024]
-            ids = np.array(self.library.encode(self.between[0].join(some), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(joined), 256):  # one call for many words, a special token between them
+            some = joined[at : at + 256]
+            ids = np.array(self.library.encode_batch_fast([self.between[0].join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.between[1]), len(ids)).tolist()
             data, start = ids.tobytes(), 0
             for w, end in zip(some, ends, strict=True):
@@ -132,15 +120,21 @@ class Ids:
         return full
 
     def of(self, text: str) -> bytes:
-        words = words_of(text, self.path)
-        if len(words) == 1 and len(words[0]) > 1000:
-            return np.array(self.library.encode(words[0], add_special_tokens=False).ids, "<u4").tobytes()
-        distinct = set(words)
+        return self.of_many([text])[0]
+
+    def of_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids; what is new in all of them goes through the library together."""
+        cut = [pre_tokens(t, self.path) for t in texts]
+        whole = [len(w) == 1 and len(w[0]) > 1000 for w in cut]
+        distinct: set[str] = set()
+        for words, alone in zip(cut, whole, strict=True):
+            if not alone:
+                distinct.update(words)
         new = distinct.difference(self.young)
-        if new:
-            if self._learn(list(new)):  # a new generation began just now
-                self._learn(list(distinct.difference(self.young)))
-        out = b"".join(map(self.young.__getitem__, words))
+        if new and self._learn(list(new)):  # a new generation began just now
+            self._learn(list(distinct.difference(self.young)))
+        known = self.young.__getitem__
+        out = [np.array(self.library.encode(w[0], add_special_tokens=False).ids, "<u4").tobytes() if alone else b"".join(map(known, w)) for w, alone in zip(cut, whole, strict=True)]
         for w in new:
             if len(w) > 256:  # memory is bounded in words, so only short ones stay
                 del self.young[w]
