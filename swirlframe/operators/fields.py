@@ -88,9 +88,15 @@ def array_median(a: Column) -> Column:
 
 
 def validate(f: DataFrame, specs: Sequence) -> DataFrame:
-    """``outlier`` or-ed with every validator's flag; masked nodes are never outliers."""
+    """``outlier`` or-ed with every validator's flag; masked nodes are never outliers.
+
+    A validator of one's own is a function of the rows (a DataFrame) that gives a boolean column; null flags nothing.
+    """
     out = f
     for spec in specs:
+        if callable(spec):
+            out = out.withColumn("outlier", F.coalesce("outlier", F.lit(False)) | F.coalesce(spec(out), F.lit(False)))
+            continue
         s = parse_validator(spec)
         if s.kind == "uod":
             out = outliers(out, s.threshold, s.neighborhood_size, s.epsilon).withColumn("outlier", F.coalesce("outlier", F.lit(False)) | F.col("flag")).drop("flag")
@@ -297,7 +303,8 @@ def power_spectrum(s: DataFrame, keys: Sequence[str], order: str, value: str, dt
 
 
 def result_spectrum(f: DataFrame, value: str = "u", invalid: str = "mean", window: str = "hann", dt: float | None = None, scale: PhysicalScale | None = None) -> DataFrame:
-    """Spectra of every node's series over frames: invalid samples filled, ``dt`` given, or the scale's, or one frame."""
+    """Spectra of every node's series over frames: invalid samples filled, ``dt`` given, or the scale's (given or attached), or one frame."""
+    scale = scale or (attached_scale(f) if dt is None else None)
     step = dt if dt is not None else scale.dt if scale is not None else 1.0
     usable = f.withColumn(value, F.when(valid(), F.col(value)))
     return power_spectrum(filled_series(usable, NODE, KEY, value, invalid), NODE, KEY, value, step, window)
@@ -319,8 +326,29 @@ def transform_field(f: DataFrame, matrix, offset) -> DataFrame:
     return f.withColumns({"x": mul("x", "y", 0) + float(offset[0]), "y": mul("x", "y", 1) + float(offset[1]), "u": mul("u", "v", 0), "v": mul("u", "v", 1)})
 
 
-def physical(f: DataFrame, scale: PhysicalScale) -> DataFrame:
-    """Positions and residuals times the pixel size, displacements and deviations also by time; done once, as units tell."""
+SCALE = ("scale_pixel_size", "scale_dt", "scale_length_unit", "scale_time_unit")
+
+
+def with_scale(f: DataFrame, scale: PhysicalScale | None) -> DataFrame:
+    """``f`` with a scale attached (columns SCALE, values untouched) or, with None, without one."""
+    f = f.drop(*SCALE)
+    return f if scale is None else f.withColumns(dict(zip(SCALE, map(F.lit, (scale.pixel_size, scale.dt, scale.length_unit, scale.time_unit)), strict=True)))
+
+
+def attached_scale(f: DataFrame) -> PhysicalScale | None:
+    """The scale that the rows carry; None without one or without rows."""
+    row = f.select(*SCALE).first() if set(SCALE) <= set(f.columns) else None
+    return None if row is None else PhysicalScale(*row)
+
+
+def physical(f: DataFrame, scale: PhysicalScale | None = None) -> DataFrame:
+    """Positions and residuals times the pixel size, displacements and deviations also by time; done once, as units tell.
+
+    Without a scale the attached one is taken; rows without either stay as they are.
+    """
+    scale = scale or attached_scale(f)
+    if scale is None:
+        return f
     if "length_unit" not in f.columns:
         f = f.withColumns({"length_unit": F.lit("px"), "time_unit": F.lit("frame"), "velocity_unit": F.lit("px/frame")})
     todo = F.col("length_unit") == "px"

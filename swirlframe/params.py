@@ -67,8 +67,8 @@ class Validator:
 
 
 def parse_validator(spec) -> Validator:
-    """From a Validator, ("peak_ratio", 1.3), or ("velocity_magnitude", {"min": 0, "max": 5})."""
-    if isinstance(spec, Validator):
+    """From a Validator, ("peak_ratio", 1.3), or ("velocity_magnitude", {"min": 0, "max": 5}); functions stay as they are."""
+    if isinstance(spec, Validator) or callable(spec):
         return spec
     name, value = spec
     name = "uod" if name == "universal_outlier" else name

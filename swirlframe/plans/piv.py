@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +118,27 @@ def _peak_rows(pair: int, gi: np.ndarray, gj: np.ndarray, planes: np.ndarray, p:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[c.split()[0] for c in PEAKS.split(", ")])
 
 
+def each_result(results: DataFrame, output: Callable[[int, pd.DataFrame], None], cancelled: Callable[[], bool] | None = None, key: str = "pair_id") -> int:
+    """Calls ``output(pair, rows)`` for every pair's rows, in order of pairs, and returns how many there were.
+
+    The driver holds one partition's rows at a time. ``cancelled`` is asked before each pair; when it says so, what has
+    come out stays, and nothing else is computed. An exception of ``output`` ends the run as well.
+    """
+    names, held, last, n = results.columns, [], None, 0
+    for row in results.repartitionByRange(key).sortWithinPartitions(key).toLocalIterator():
+        if last is not None and row[key] != last:
+            if cancelled is not None and cancelled():
+                return n
+            output(last, pd.DataFrame(held, columns=names))
+            held, n = [], n + 1
+        last = row[key]
+        held.append(tuple(row))
+    if held and not (cancelled is not None and cancelled()):
+        output(last, pd.DataFrame(held, columns=names))
+        n += 1
+    return n
+
+
 def run_piv(a: np.ndarray, b: np.ndarray, passes=None, effort: str | None = None, mask=None, roi=None, mask_threshold: float = 0.5) -> piv.Field:
     """One pair on the driver, for interactive use; recordings go through run_piv_sequence."""
     return piv.run(np.asarray(a, float), np.asarray(b, float), schedule(passes, effort, a.shape), mask, mask_threshold, roi=roi)
@@ -267,45 +290,60 @@ def run_piv_stereo_ensemble(pairs: DataFrame, d1: geometry.Dewarper, d2: geometr
     return combine_stereo(*fields, d1.camera, d2.camera, d1.grid)
 
 
-def self_calibrate(frames: DataFrame, d1: geometry.Dewarper, d2: geometry.Dewarper, iterations: int = 3, tol: float = 0.05, limit: float = 0.5, passes=None) -> tuple[geometry.Camera, geometry.Camera, list[dict]]:
-    """Cameras moved onto the light sheet by the disparity of simultaneous images (pixels_1, pixels_2), and a report.
+@dataclass
+class SelfCalibration:
+    """What self-calibration did: a measurement each turn (disparity, plane, n), the last one of the result; whether its
+    disparity is below the tolerance; R and t, which take new world coordinates to the old ones."""
+
+    turns: list[dict]
+    converged: bool
+    R: np.ndarray
+    t: np.ndarray
 
-    Each turn is one ensemble job over the frames; only its grid comes to the driver.
+
+def self_calibrate(frames: DataFrame, d1: geometry.Dewarper, d2: geometry.Dewarper, iterations: int = 3, tol: float = 0.05, limit: float = 0.5, passes=None, mask: np.ndarray | None = None, preprocess: tuple | None = None) -> tuple[geometry.Dewarper, geometry.Dewarper, SelfCalibration]:
+    """Dewarpers of cameras moved onto the light sheet by the disparity of simultaneous images (pixels_1, pixels_2).
+
+    After at most ``iterations`` corrections a closing measurement tells what is left. ``mask`` is on the dewarped grid,
+    ``preprocess`` a function for each camera's raw images. Each turn is one ensemble job over the frames; only its grid
+    comes to the driver.
     """
-    report, c1, c2 = [], d1.camera, d2.camera
-    for _ in range(iterations):
-        both = _simultaneous(frames, d1, d2)
-        w = min(128, 1 << int(np.log2(max(min(d1.mask.shape) // 2, 8))))
-        steps = passes or [PIVParameters((w, w), overlap=(w // 2, w // 2), padding=True, apodization="gauss"), PIVParameters((max(w // 2, 8),) * 2, overlap=(max(w // 4, 4),) * 2, padding=True, apodization="gauss")]
-        mask = d1.mask | d2.mask
-        f = run_piv_ensemble(both, steps, mask=mask if mask.any() else None)
-        sx, sy = float(d1.grid.x[1] - d1.grid.x[0]), float(d1.grid.y[1] - d1.grid.y[0])
-        gx, gy = np.meshgrid(d1.grid.x[0] + (f.x - 1) * sx, d1.grid.y[0] + (f.y - 1) * sy)
+    turns, converged, R, t = [], False, np.eye(3), np.zeros(3)
+    w = min(128, 1 << int(np.log2(max(min(d1.mask.shape) // 2, 8))))
+    steps = passes or [PIVParameters((w, w), overlap=(w // 2, w // 2), padding=True, apodization="gauss"), PIVParameters((max(w // 2, 8),) * 2, overlap=(max(w // 4, 4),) * 2, padding=True, apodization="gauss")]
+    grid = d1.grid
+    sx, sy = float(grid.x[1] - grid.x[0]), float(grid.y[1] - grid.y[0])
+    for k in range(iterations + 1):
+        out = d1.mask | d2.mask if mask is None else d1.mask | d2.mask | mask
+        f = run_piv_ensemble(_simultaneous(frames, d1, d2, preprocess), steps, mask=out if out.any() else None)
+        gx, gy = np.meshgrid(grid.x[0] + (f.x - 1) * sx, grid.y[0] + (f.y - 1) * sy)
         ok = ~f.mask & ~f.outliers & np.isfinite(f.u)
-        world = np.column_stack([gx[ok], gy[ok], np.full(int(ok.sum()), d1.grid.z)])
-        disparity = np.column_stack([f.u[ok] * sx, f.v[ok] * sy])
-        rms = float(np.sqrt((f.u[ok] ** 2 + f.v[ok] ** 2).mean()))
-        points, kept = geometry.triangulate(c1, c2, world, disparity, limit)
-        if kept.sum() < 3:
-            report.append({"disparity": rms, "plane": None, "n": int(kept.sum())})
+        rms = float(np.sqrt((f.u[ok] ** 2 + f.v[ok] ** 2).mean())) if ok.any() else float("nan")
+        turns.append({"disparity": rms, "plane": None, "n": 0})
+        converged = rms < tol
+        if converged or k == iterations:
             break
-        plane = geometry.sheet_plane(points[kept])
-        report.append({"disparity": rms, "plane": plane, "n": int(kept.sum())})
-        if rms < tol:
+        world = np.column_stack([gx[ok], gy[ok], np.full(int(ok.sum()), grid.z)])
+        points, kept = geometry.triangulate(d1.camera, d2.camera, world, np.column_stack([f.u[ok] * sx, f.v[ok] * sy]), limit)
+        turns[-1]["n"] = int(kept.sum())
+        if kept.sum() < 3:
             break
-        R, t = geometry.plane_transform(*plane)
-        c1, c2 = geometry.transformed(c1, R, t), geometry.transformed(c2, R, t)
-        d1, d2 = geometry.Dewarper(c1, d1.grid, d1.size), geometry.Dewarper(c2, d2.grid, d2.size)
-    return c1, c2, report
+        turns[-1]["plane"] = plane = geometry.sheet_plane(points[kept])
+        turn, move = geometry.plane_transform(*plane, d1.camera, grid.z, max(abs(sx), abs(sy)))
+        R, t = R @ turn, R @ move + t
+        d1, d2 = (geometry.Dewarper(geometry.transformed(d.camera, turn, move), grid, d.size) for d in (d1, d2))
+    return d1, d2, SelfCalibration(turns, converged, R, t)
 
 
-def _simultaneous(frames: DataFrame, d1: geometry.Dewarper, d2: geometry.Dewarper) -> DataFrame:
+def _simultaneous(frames: DataFrame, d1: geometry.Dewarper, d2: geometry.Dewarper, preprocess: tuple | None = None) -> DataFrame:
     shape = d1.mask.shape
+    p1, p2 = preprocess or (None, None)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for r in range(part.num_rows):
-                out = [d(part.column(c)[r].values.to_numpy(zero_copy_only=False).astype(float).reshape(d.size)).ravel() for c, d in ((0, d1), (1, d2))]
+                raw = [part.column(c)[r].values.to_numpy(zero_copy_only=False).astype(float).reshape(d.size) for c, d in ((0, d1), (1, d2))]
+                out = [d(p(i) if p else i).ravel() for i, d, p in zip(raw, (d1, d2), (p1, p2), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([shape[0]], pa.int32()), pa.array([shape[1]], pa.int32()), *[pa.array([x], pa.list_(pa.float64())) for x in out]], names=["n_rows", "n_cols", "pixels_a", "pixels_b"])
 
     return frames.select("pixels_1", "pixels_2").mapInArrow(run, "n_rows int, n_cols int, pixels_a array<double>, pixels_b array<double>")

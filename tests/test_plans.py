@@ -86,9 +86,49 @@ def test_self_calibration_moves_the_sheet(spark):
         a1, _, a2, _ = views(spark, cams, 256, (0, 0, 0), 900, z=1.5, seed=seed)
         frames.append((a1.ravel().tolist(), a2.ravel().tolist()))
     df = spark.createDataFrame(frames, "pixels_1 array<double>, pixels_2 array<double>")
-    _, _, report = piv.self_calibrate(df, d1, d2)
-    assert report[0]["disparity"] > 1 and report[-1]["disparity"] < 0.3 * report[0]["disparity"]
-    assert abs(report[0]["plane"][0] - 1.5) < 0.3
+    n1, n2, report = piv.self_calibrate(df, d1, d2)
+    turns = report.turns
+    assert turns[0]["disparity"] > 1 and turns[-1]["disparity"] < 0.3 * turns[0]["disparity"]
+    assert abs(turns[0]["plane"][0] - 1.5) < 0.3
+    assert turns[-1]["plane"] is None and report.converged == (turns[-1]["disparity"] < 0.05) and n1.grid is grid and n2.size == d2.size
+    p = np.array([[3.0, -2.0, 0.0], [0.0, 1.0, 0.5]])  # the whole transform takes new coordinates to old ones
+    assert np.allclose(n1.camera.world_to_pixel(p), d1.camera.world_to_pixel(p @ report.R.T + report.t), atol=1e-6)
+    same, _, at_once = piv.self_calibrate(df, n1, n2, tol=10)
+    assert at_once.converged and len(at_once.turns) == 1 and same is n1
+
+
+def test_a_sheets_transform_keeps_what_the_first_camera_sees():
+    cam = camera(math.radians(-25), f=2000, size=256)
+    for z in (0.0, 2.0):
+        R, t = geometry.plane_transform(0.7, 0.02, -0.03, cam, z)
+        assert np.allclose(R.T @ R, np.eye(3)) and np.linalg.det(R) > 0
+        new = np.array([[1.0, 2.0, z], [-4.0, 3.0, z], [0.0, 0.0, z]])
+        old = new @ R.T + t
+        assert np.allclose(old[:, 2], 0.7 + 0.02 * old[:, 0] - 0.03 * old[:, 1])
+        assert np.allclose(geometry.transformed(cam, R, t).world_to_pixel(new[2:]), cam.world_to_pixel(np.array([[0, 0, z]])), atol=0.05)
+
+
+def test_results_come_out_pair_by_pair_until_cancelled(spark):
+    rows = spark.range(60).selectExpr("id % 6 AS pair_id", "id AS u")
+    got = []
+    assert piv.each_result(rows, lambda k, r: got.append((k, sorted(r["u"])))) == 6
+    assert got == [(k, list(range(k, 60, 6))) for k in range(6)]
+    some = []
+    assert piv.each_result(rows, lambda k, r: some.append(k), cancelled=lambda: len(some) == 2) == 2 and some == [0, 1]
+
+
+def test_scales_go_along_and_validators_may_be_functions(spark):
+    f = Q.gf(spark, "/root/testdata/sf0.001").limit(50).cache()
+    s = PhysicalScale(0.5, 0.1, "mm", "s")
+    held = fields.with_scale(f, s)
+    assert fields.attached_scale(held) == s and fields.with_scale(held, None).columns == f.columns and fields.attached_scale(f) is None
+    a, b = (x.select("frame", "gi", "gj", "x", "velocity_unit").orderBy("frame", "gi", "gj").collect() for x in (fields.physical(held), fields.physical(f, s)))
+    assert a == b and fields.physical(f).columns == f.columns
+    flagged = fields.validate(f, [lambda rows: rows["x"] > 60])
+    assert flagged.filter("outlier AND x <= 60").exceptAll(f.filter("outlier AND NOT masked AND x <= 60")).isEmpty() and flagged.filter("x > 60 AND NOT masked AND NOT outlier").isEmpty()
+    im = np.random.default_rng(0).random((64, 64))
+    own = piv.run_piv(im, im, [PIVParameters((32, 32), uod_enable=False, replace_outliers=False, n_peaks=1, validation=(lambda z: z.x[None, :] + 0 * z.u > 20,))])
+    assert (own.outliers == (own.x[None, :] + 0 * own.u > 20)).all()
 
 
 def test_ptv_and_tracking(spark):
