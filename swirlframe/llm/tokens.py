@@ -2,7 +2,8 @@
 
 The word vocabulary's tokenizer folds white space and case, and cuts a text into pre-tokens (runs of letters, digits one by
 one, runs of other characters, contractions) that no merge crosses: a text's ids are its pre-tokens' ids one after
-the other. Each distinct pre-token goes through the library once per worker process and is then looked up. They are cut
+the other. Each distinct pre-token goes through the library once per worker process and is then looked up; what is surely
+one pre-token goes through the library's merges alone. They are cut
 here only where Python is sure to cut like the library: words of printable ASCII and Latin letters. Other words are kept
 whole, and where even white space or case could differ (``\\x1c``-``\\x1f``, special strings, final sigma, texts not in
 NFC) the steps are left out, or the whole text goes through the library.
@@ -11,6 +12,7 @@ NFC) the steps are left out, or the whole text goes through the library.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -51,6 +53,31 @@ def spans_words(path: str) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and plain and known and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
 
 
+#: Fixed rule of byte-level models: bytes that show as a Latin letter or sign stand for it, the others for what follows 255.
+_SHOWN = str.maketrans({b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))})
+
+
+@lru_cache(maxsize=4)
+def merges(path: str):
+    """The library's merges alone, for pre-tokens that the steps before leave as they are; None where those aren't known."""
+    import json
+
+    library = tokenizer(path)
+    spec = json.loads(library.to_str())
+    last = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
+    bytewise = last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and not last.get("use_regex")
+    return library.model.tokenize if spans_words(path) and bytewise and spec["model"]["type"] == "BPE" and not spec.get("post_processor") else None
+
+
+def merged(word: str, merge) -> list | None:
+    """The tokens of a word that is surely one pre-token, already folded; None for any other, which takes the whole library."""
+    if not _PRE.fullmatch(word) or "<|" in word:
+        return None
+    if word.isascii():  # no capitals: the pattern has none
+        return merge(word)
+    return merge(word.encode().decode("latin-1").translate(_SHOWN)) if word == word.lower() else None
+
+
 def cuts_alike(text: str) -> bool:
     """Python also splits at these four; the library doesn't."""
     return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
@@ -93,6 +120,7 @@ class Ids:
         self.path, self.library = path, tokenizer(path)
         special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")]
         self.between = special[0] if special and spans_words(path) else None
+        self.merge = merges(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -104,6 +132,8 @@ class Ids:
         for w in words:
             if (known := self.old.get(w)) is not None:
                 self.young[w] = known
+            elif self.merge and (tokens := merged(w, self.merge)) is not None:
+                self.young[w] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
             else:
                 todo.append(w)
         joined = [w for w in todo if "<|" not in w] if self.between else []

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from swirlframe.llm import line_dedup, packing, token_counts
-from swirlframe.llm.tokens import Ids, default_path, tokenizer
+from swirlframe.llm.tokens import Ids, default_path, merged, merges, tokenizer
 
 ODD = [
     None, "", " ", "\n", "plain text here", "It's we'll DON'T I'VE ’s", "<|endoftext|> and x<|startoftext|>y", "ΑΣ ΣΑΣ ΟΔΟΣ. Σ",
@@ -115,3 +115,18 @@ def test_plan_uses_every_length_once_and_is_tight():
         assert all(used[x] == counts[x] for x in range(cap + 1))
         total = int((counts * np.arange(cap + 1)).sum())
         assert sum(t for t, _ in plan) <= 1.02 * total / cap + 1
+
+
+def test_merges_alone_are_the_library():
+    """Every Latin letter and sign alone, doubled and after others, and random words: what is taken directly has the library's ids."""
+    import random
+
+    path, rnd = default_path(), random.Random(5)
+    lib, merge = tokenizer(path), merges(path)
+    words = [x for c in range(1, 0x260) for x in (chr(c), chr(c) * 2, "a" + chr(c), "'" + chr(c))]
+    words += ["".join(rnd.choice("abcxyzß\u00e0\u00f8\u00ff\u0100\u0131\u0149\u01c5's<|>!9\u0301") for _ in range(rnd.randint(1, 9))) for _ in range(5000)]
+    words += ["ab" * 3000 + "\u00e9" * 700, "don't", "<|endoftext|>"]
+    direct = [(w, t) for w in words if (t := merged(w, merge)) is not None]
+    assert len(direct) > 1000
+    for w, tokens in direct:
+        assert [t.id for t in tokens] == lib.encode(w, add_special_tokens=False).ids, w
