@@ -79,9 +79,9 @@ def detect_plates(frames: DataFrame, spacing: float, **options) -> DataFrame:
             for r in range(part.num_rows):
                 camera, plane, z, nr, nc = (part.column(c)[r].as_py() for c in range(5))
                 g = geometry.detect_grid(part.column(5)[r].values.to_numpy(zero_copy_only=False).reshape(nr, nc), spacing, **options)
-                w, px = geometry.grid_points(g, z, g.get("level"), g.get("separation", 0.0))
+                w, px = geometry.grid_points(g, z)
                 n = len(px)
-                cols = [np.full(n, camera, np.int32), np.full(n, plane, np.int32), px[:, 0], px[:, 1], g["i"].astype(np.int32), g["j"].astype(np.int32), np.asarray(g.get("level", np.zeros(n))).astype(np.int32), w[:, 0], w[:, 1], w[:, 2]]
+                cols = [np.full(n, camera, np.int32), np.full(n, plane, np.int32), px[:, 0], px[:, 1], g["i"].astype(np.int32), g["j"].astype(np.int32), g["level"].astype(np.int32), w[:, 0], w[:, 1], w[:, 2]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in POINTS.split(", ")])
 
     return rows.mapInArrow(run, POINTS)

@@ -266,12 +266,53 @@ def test_stereo_algebra():
     assert np.allclose(got[0], d, atol=1e-9)
 
 
+MARKED = {"square": (-10.0, -2.5), "triangle": (-5.0, -2.5)}
+
+
 def test_plate_is_detected():
     cam = camera(0.2, size=512)
-    img = synthetic.calibration_target(cam, (512, 512), 5.0, nodes=6)
-    g = geometry.detect_grid(img, 5.0)
+    img = synthetic.calibration_target(cam, (512, 512), 5.0, nodes=6, **MARKED)
+    g = geometry.detect_grid(img, 5.0, origin_offset=(10.0, 2.5))
     world, px = geometry.grid_points(g)
-    assert len(px) > 80 and np.hypot(*(cam.world_to_pixel(world) - px).T).max() < 1.0
+    assert len(px) > 80 and np.hypot(*(cam.world_to_pixel(world) - px).T).max() < 0.15
+    assert not (g["i"] % 2).any() and not (g["j"] % 2).any() and not g["level"].any()
+    noisy = np.clip(img + 0.02 * np.random.default_rng(9).standard_normal(img.shape), 0, 1)
+    world, px = geometry.grid_points(geometry.detect_grid(noisy, 5.0, origin_offset=(10.0, 2.5)))
+    assert len(px) > 80 and np.hypot(*(cam.world_to_pixel(world) - px).T).max() < 0.25
+
+
+def test_plate_by_fiducials_is_the_same_however_rolled():
+    img = synthetic.calibration_target(camera(0.1, size=512), (512, 512), 5.0, nodes=6, **MARKED)
+    a = geometry.detect_grid(img, 5.0, origin_offset=(10.0, 2.5), orientation="fiducials")
+    for turn in (1, 2, 3):
+        b = geometry.detect_grid(np.rot90(img, turn), 5.0, origin_offset=(10.0, 2.5), orientation="fiducials")
+        assert set(zip(a["i"], a["j"], strict=True)) == set(zip(b["i"], b["j"], strict=True))
+    rolled = geometry.detect_grid(img[::-1, ::-1], 5.0, origin_offset=(10.0, 2.5), orientation="fiducials")
+    assert np.allclose(513 - rolled["px"], a["px"]) and (rolled["i"] == a["i"]).all() and (rolled["j"] == a["j"]).all()
+
+
+def test_two_level_plate():
+    for yaw in (0.0, math.radians(25)):
+        cam = camera(yaw, size=512)
+        for z in (-3.0, 0.0, 3.0):
+            img = synthetic.calibration_target(cam, (512, 512), 5.0, z=z, nodes=6, radius=0.13, level_separation=1.0, **MARKED)
+            g = geometry.detect_grid(img, 5.0, two_level=True, level_separation=1.0, origin_offset=(10.0, 2.5))
+            world, px = geometry.grid_points(g, z)
+            assert len(px) > 80 and 0.3 < g["level"].mean() < 0.7 and (g["level"] == g["i"] % 2).all() and (g["level"] == g["j"] % 2).all()
+            assert np.hypot(*(cam.world_to_pixel(world) - px).T).max() < 0.15
+    back = geometry.detect_grid(img, 5.0, two_level=True, level_separation=1.0, origin_offset=(10.0, 2.5), origin_level="back")
+    assert (back["level"] == 1 - g["level"]).all()
+
+
+def test_plates_without_markers_and_wrong_requests():
+    plain = synthetic.calibration_target(camera(0.0, size=512), (512, 512), 5.0, nodes=6)
+    g = geometry.detect_grid(plain, 5.0)
+    assert g["square"] is None and g["triangle"] is None and ((g["i"] == 0) & (g["j"] == 0)).sum() == 1
+    for bad in ({"orientation": "fiducials"}, {"origin_offset": (10.0, 2.5)}, {"spacing": -1.0}, {"two_level": True}, {"origin_level": "middle"}):
+        with pytest.raises(ValueError):
+            geometry.detect_grid(plain, **({"spacing": 5.0} | bad))
+    with pytest.raises(ValueError):
+        geometry.detect_grid(np.zeros((64, 64)), 5.0)
 
 
 def test_planar_calibration_and_registration():

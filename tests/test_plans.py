@@ -266,10 +266,11 @@ def test_calibration_of_plates(spark):
         fitted = calibration.calibrate_cameras(points, model)
         q = calibration.calibration_quality(calibration.reprojection_errors(points, fitted), "camera").first()
         assert q.rms < most and q.n == points.count()
-    two = synthetic.calibration_target(cam, (384, 384), 6.0, nodes=5, level_separation=2.0)
-    g = geometry.detect_grid(two, 6.0, two_level=True, level_separation=2.0)
-    w, px = geometry.grid_points(g, 0.0, g["level"], g["separation"])
-    assert np.median(np.hypot(*(cam.world_to_pixel(w) - px).T)) < 0.3 and len(set(g["level"])) == 2
+    shots = [(1, k, z, 384, 384, synthetic.calibration_target(cam, (384, 384), 6.0, z=z, nodes=5, level_separation=2.0, square=(-6.0, -3.0)).ravel().tolist()) for k, z in enumerate((-3.0, 0.0, 3.0))]
+    two = calibration.detect_plates(spark.createDataFrame(shots, plates.schema), 6.0, two_level=True, level_separation=2.0, origin_offset=(6.0, 3.0)).persist()
+    assert two.filter("level = 1").count() > 100 and two.filter("level <> abs(i) % 2 or level <> abs(j) % 2").count() == 0
+    q = calibration.calibration_quality(calibration.reprojection_errors(two, calibration.calibrate_cameras(two, "soloff")), "camera").first()
+    assert q.rms < 0.1 and q.n == two.count()
 
 
 def test_smoothing_by_frame(spark):
