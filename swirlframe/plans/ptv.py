@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import particles, piv
@@ -60,45 +61,52 @@ def run_ptv_sequence(pairs: DataFrame, frames: DataFrame | None = None, params:
 def track_particles(found: DataFrame, params: PTVParameters | None = None, min_track_length: int = 3, max_gap: int = 0, initial=None, shape: tuple[int, int] | None = None, recording: str = "recording") -> DataFrame:
     """TRACKS of PARTICLES by recording. Detection is parallel over frames; linking runs in order within a recording.
 
-    Particles stream through sorted by frame: a task holds one frame and the open tracks.
+    Particles stream through sorted by frame: a task holds one frame and the open tracks, and a track leaves it when it ends.
+    Tracks are numbered afterwards, by first frame and place. Particles without a frame are in none.
     """
     p = params or PTVParameters()
     rows = found.select(F.col(recording).cast("string").alias("recording"), F.col("frame_idx").cast("long").alias("frame"), "x", "y", "intensity", "diameter", "particle_id")
-    rows = rows.repartition("recording").sortWithinPartitions("recording", "frame", "particle_id")
+    rows = rows.filter("frame is not null").repartition("recording").sortWithinPartitions("recording", "frame", "particle_id")
     kind = pa.list_(pa.struct([("frame", pa.int64()), ("x", pa.float64()), ("y", pa.float64())]))
+    empty = {n: np.zeros(0) for n in particles.FIELDS}
 
-    def ended(name, t: particles.Tracker) -> pa.RecordBatch:
-        got = t.tracks(min_track_length)
-        points = [[{"frame": q[0], "x": q[1], "y": q[2]} for q in track] for track in got]
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(got), pa.string()), pa.array(range(1, len(got) + 1), pa.int32()), pa.array([q[0][0] for q in got], pa.int64()), pa.array(points, kind)], names=["recording", "track_id", "start_frame", "points"])
+    def batch(name, ended: list[list]) -> pa.RecordBatch:
+        points = [[{"frame": q[0], "x": q[1], "y": q[2]} for q in track] for track in ended]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(ended), pa.string()), pa.array([q[0][0] for q in ended], pa.int64()), pa.array(points, kind)], names=["recording", "start_frame", "points"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, frame, held, tracker, first = None, None, [], None, True
-
-        def flush(upto: int | None) -> None:
-            nonlocal held
-            if held:
-                b = {n: np.array([h[k] for h in held], float) for k, n in enumerate(particles.FIELDS)}
-                tracker.add(frame, b)
-                held = []
-            empty = {n: np.zeros(0) for n in particles.FIELDS}
-            for k in range(frame + 1, min(upto, frame + max_gap + 2) if upto is not None else frame + 1):  # frames without particles
+        tracker, name, frame, held = None, None, 0, []
+
+        def frame_done(following: int | None) -> Iterator[pa.RecordBatch]:
+            """Links the frame held, passes the empty ones up to the following, and gives the tracks that ended."""
+            values = np.concatenate(held)
+            held.clear()
+            tracker.add(frame, {n: values[:, k] for k, n in enumerate(particles.FIELDS)})
+            for k in range(frame + 1, frame + 1 if following is None else min(following, frame + max_gap + 2)):
                 tracker.add(k, empty)
+            ended = [t for t in tracker.done + (tracker.live if following is None else []) if len(t) >= min_track_length]
+            tracker.done = []
+            if ended:
+                yield batch(name, ended)
 
         for part in parts:
-            for rec, fr, x, y, i, d in zip(*(part.column(c).to_pylist() for c in range(6)), strict=True):
-                if first or rec != name:
-                    if not first:
-                        flush(None)
-                        yield ended(name, tracker)
-                    name, frame, first = rec, fr, False
-                    tracker = particles.Tracker(p, max_gap, initial, shape)
-                elif fr != frame:
-                    flush(fr)
-                    frame = fr
-                held.append((x, y, i, np.nan if d is None else d))
-        if not first:
-            flush(None)
-            yield ended(name, tracker)
-
-    return rows.mapInArrow(run, TRACKS)
+            if not part.num_rows:
+                continue
+            owner, at = part.column(0).dictionary_encode("encode"), part.column(1).to_numpy()
+            code = owner.indices.to_numpy()
+            values = np.column_stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in range(2, 6)])
+            cuts = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(at) != 0)) + 1).tolist(), len(at)]
+            for a, b in pairwise(cuts):
+                own, now = owner.dictionary[int(code[a])].as_py(), int(at[a])
+                if tracker is not None and (own != name or now != frame):
+                    yield from frame_done(now if own == name else None)
+                if tracker is None or own != name:
+                    tracker, name = particles.Tracker(p, max_gap, initial, shape), own
+                frame = now
+                held.append(values[a:b])
+        if tracker is not None:
+            yield from frame_done(None)
+
+    order = Window.partitionBy("recording").orderBy("start_frame", F.col("points")[0]["x"], F.col("points")[0]["y"])
+    ended = rows.mapInArrow(run, "recording string, start_frame long, " + TRACKS[TRACKS.index("points") :])
+    return ended.withColumn("track_id", F.row_number().over(order)).select(*[c.split()[0] for c in TRACKS[: TRACKS.index("points")].split(", ") if c], "points")

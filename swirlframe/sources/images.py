@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import re
 import struct
 import zlib
@@ -9,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -166,28 +167,37 @@ def decode(data: bytes, page: int = 0) -> np.ndarray:
     return decode_tiff(data, page)
 
 
-def load_frames(spark: SparkSession, path: str | list[str], recording: str = "recording", camera: int = 1, glob: str = "*") -> DataFrame:
+def load_frames(spark: SparkSession, path: str | list[str], recording: str = "recording", camera: int = 1, glob: str = "*", broadcast_files: int = 100_000) -> DataFrame:
     """FRAMES of image files in name order: files are read by Spark, decoded where they are read; pages count as frames.
 
-    frame_idx numbers files by name; a page's index follows its file's. A missing path is Spark's own error.
+    frame_idx numbers files by name; a page's index follows its file's. A missing path is Spark's own error. Files are
+    numbered first, from their pages alone; up to ``broadcast_files`` names are broadcast, else files join them undecoded.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    kind = "path string, page int, n_rows int, n_cols int, pixels array<double>"
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            n = [len(tiff_pages(d)) if d[:2] in (b"II", b"MM") else 1 for d in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["path", "pages"])
+
+    before = F.sum("pages").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))  # names only
+    first = files.mapInArrow(count, "path string, pages long").select("path", F.coalesce(before, F.lit(0)).alias("before"))
+    few = len(files.inputFiles()) <= broadcast_files
+    rows = files.join(F.broadcast(first) if few else first.hint("merge"), "path").select("path", "before", "content")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for r in range(part.num_rows):
-                data = part.column(1)[r].as_py()
+            for name, start, data in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                 for k in range(len(tiff_pages(data)) if data[:2] in (b"II", b"MM") else 1):
                     a = decode(data, k)
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(r, 1), pa.array([k], pa.int32()), pa.array([a.shape[0]], pa.int32()), pa.array([a.shape[1]], pa.int32()), pa.array([a.ravel()], pa.list_(pa.float64()))], names=["path", "page", "n_rows", "n_cols", "pixels"])
+                    yield _frame_batch((recording, camera, start + k + 1, None, name.rsplit("/", 1)[-1], *a.shape, a.ravel()))
+
+    return rows.mapInArrow(run, FRAMES)
 
-    got = files.mapInArrow(run, kind)
-    from pyspark.sql import Window
 
-    names = got.select("path", "page").withColumn("frame_idx", F.row_number().over(Window.orderBy("path", "page")))  # names only, no pixels
-    j = got.join(names, ["path", "page"])
-    return j.select(F.lit(recording).alias("recording"), F.lit(camera).alias("camera"), F.col("frame_idx").cast("int").alias("frame_idx"), F.lit(None).cast("double").alias("ts"), F.regexp_extract("path", r"([^/]*)$", 1).alias("label"), "n_rows", "n_cols", "pixels")
+def _frame_batch(row: tuple) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in FRAMES.split(", ")])
 
 
 def frame_row(recording: str, camera: int, index: int, image: np.ndarray, ts: float | None = None, label: str | None = None) -> tuple:
@@ -212,9 +222,7 @@ def frame_source(spark: SparkSession, n: int, loader: Callable[[int], np.ndarray
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in part.column(0).to_pylist():
-                row = frame_row(recording, camera, i, loader(i), timestamps[i - 1] if timestamps is not None else None, labels[i - 1] if labels is not None else None)
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in FRAMES.split(", ")])
+                yield _frame_batch(frame_row(recording, camera, i, loader(i), timestamps[i - 1] if timestamps is not None else None, labels[i - 1] if labels is not None else None))
 
     return spark.range(1, n + 1).mapInArrow(run, FRAMES)
 
@@ -244,9 +252,10 @@ class _TiffReader(DataSourceReader):
         self.recording = options.get("recording", "recording")
 
     def partitions(self) -> list[_Page]:
-        with open(self.path, "rb") as f:
-            return [_Page(k) for k in range(len(tiff_pages(f.read())))]
+        with open(self.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return [_Page(k) for k in range(len(tiff_pages(data)))]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            yield frame_row(self.recording, 1, partition.page + 1, decode_tiff(f.read(), partition.page), None, f"{self.path}#{partition.page + 1}")
+        with open(self.path, "rb") as f:  # mapped: only the page's own blocks are read
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            yield frame_row(self.recording, 1, partition.page + 1, decode_tiff(data, partition.page), None, f"{self.path}#{partition.page + 1}")

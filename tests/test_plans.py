@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import swirlframe.queries as Q
 from swirlframe.kernels import geometry, particles, piv as kernel, synthetic
+from swirlframe.schema import TRACKS
 from swirlframe.operators import fields, recordings, tracks
 from swirlframe.params import ROI, PhysicalScale, PIVParameters, PTVParameters, multipass_parameters
 from swirlframe.plans import piv, ptv
@@ -152,6 +153,18 @@ def test_gap_bridging_over_frames(spark):
     assert ptv.track_particles(found, PTVParameters(search_radius=2, uod_enable=False), 3, 0).count() == 0
 
 
+def test_tracks_of_recordings_are_numbered_by_start_and_place(spark):
+    kind = "recording string, frame_idx long, particle_id int, x double, y double, intensity double, diameter double"
+    short = [(r, k, n, x + k, 10.0, 1.0, None) for r in ("a", None) for n, x, frames in ((1, 60.0, (1, 2, 3)), (2, 30.0, (1, 2, 3, 4, 5)), (3, 90.0, (3, 4, 5))) for k in frames]
+    found = spark.createDataFrame([*short, ("a", None, 9, 5.0, 5.0, 1.0, 1.0)], kind)
+    got = ptv.track_particles(found, PTVParameters(search_radius=2, uod_enable=False), 3)
+    assert got.schema.simpleString() == spark.createDataFrame([], TRACKS).schema.simpleString()
+    rows = sorted(((r.recording or "", r.track_id, r.start_frame, [(p.frame, p.x) for p in r.points]) for r in got.collect()), key=lambda r: r[:2])
+    want = [(1, 1, [(k, 30.0 + k) for k in range(1, 6)]), (2, 1, [(k, 60.0 + k) for k in range(1, 4)]), (3, 3, [(k, 90.0 + k) for k in range(3, 6)])]
+    assert rows == [(r, *w) for r in ("", "a") for w in want]
+    assert ptv.track_particles(found.limit(0)).count() == 0
+
+
 def test_linear_field(spark):
     rows = [(1, i, j, float(j), float(i), 2.0 * j + 3 * i, -1.0 * j + 4 * i, False, (i, j) == (2, 3)) for i in range(1, 6) for j in range(1, 5)]
     f = spark.createDataFrame(rows, "frame int, gi int, gj int, x double, y double, u double, v double, masked boolean, outlier boolean")
@@ -172,6 +185,11 @@ def test_image_files(spark, tmp_path):
     df = images.load_frames(spark, str(tmp_path), glob="*.png")
     got = {r.frame_idx: np.reshape(r.pixels, (r.n_rows, r.n_cols)) for r in df.collect()}
     assert all(np.allclose(got[k], a) for k, a in enumerate(shots, 1))
+    (tmp_path / "img_001a.tif").write_bytes(images.encode_tiff(shots[:2]))
+    for bound in (100, 0):  # numbers broadcast, or joined
+        mixed = sorted(images.load_frames(spark, str(tmp_path), glob="img*", broadcast_files=bound).collect(), key=lambda r: r.frame_idx)
+        assert [(r.frame_idx, r.label) for r in mixed] == [(1, "img_000.png"), (2, "img_001.png"), (3, "img_001a.tif"), (4, "img_001a.tif"), (5, "img_002.png")]
+        assert all(np.allclose(np.reshape(r.pixels, (12, 17)), shots[k]) for r, k in zip(mixed, (0, 1, 0, 1, 2), strict=True))
     (tmp_path / "stack.tif").write_bytes(images.encode_tiff(shots))
     spark.dataSource.register(images.TiffStack)
     pages = spark.read.format("tiff_stack").load(str(tmp_path / "stack.tif")).orderBy("frame_idx").collect()
