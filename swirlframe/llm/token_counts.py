@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, only, written
-from .tokens import default_path, pre_tokens, tokenizer
+from .tokens import default_path, merged, merges, pre_tokens, tokenizer
 
 #: Pre-tokens in the broadcast part, and the bytes of text that a broadcast word may have.
 HEAD, HEAD_WORD_BYTES = 1 << 17, 64
@@ -39,12 +39,14 @@ def piece_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         yield from seen.items()
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = tokenizer(path)
+        library, merge = tokenizer(path), merges(path)
         for part in parts:
             for at in range(0, part.num_rows, 4096):
                 some = part.slice(at, 4096)
-                got = library.encode_batch_fast(some.column(0).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(e) for e in got], pa.int32())], names=["word", "n", "pieces"])
+                words = some.column(0).to_pylist()
+                got = [merged(w, merge) if merge else None for w in words]
+                rest = iter(library.encode_batch_fast([w for w, g in zip(words, got, strict=True) if g is None], add_special_tokens=False))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(next(rest) if g is None else g) for g in got], pa.int32())], names=["word", "n", "pieces"])
 
     found = map_rows(only(docs, text=text), words, "word string, n long", pa.schema([("word", pa.string()), ("n", pa.int64())]))
     return found.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(pieces, "word string, n long, pieces int")
