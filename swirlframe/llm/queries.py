@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph_index, licenses, line_dedup, packing, pii, quality, secrets, simhash, token_counts
+from . import decontaminate, fingerprints, graph_index, licenses, line_dedup, packing, pii, prefix_trie, quality, secrets, simhash, token_counts, whitening
 from .common import table
 
 #: Fixed by the query contracts.
@@ -62,8 +62,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op11_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(fingerprints.edited(table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pii_pseudonyms, op2_graph_neighbours, op3_line_dedup, op4_token_counts, op5_best_fit_packing, op6_quality_machine, op7_decontaminate, op8_secrets, op9_simhash, op10_licenses)
+    every = (op1_pii_pseudonyms, op2_graph_neighbours, op3_line_dedup, op4_token_counts, op5_best_fit_packing, op6_quality_machine, op7_decontaminate, op8_secrets, op9_simhash, op10_licenses, op11_multiset_fingerprints, op12_prefix_trie, op13_whitening)
     return {f.__name__: f for f in every}
 
 
@@ -126,5 +138,24 @@ FROM docs LEFT JOIN nb USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING
 """
 
 
+# CRC-32 by its polynomial, a bit at a time; a node is the joined digests of its turns, and meets its ancestors through its smallest member.
+OP12_SQL = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), text) AS k, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+codes AS (SELECT DISTINCT c, list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda z: ascii(z)::BIGINT)) AS bytes FROM t),
+ids AS (SELECT c, xor(list_reduce(bytes, lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h FROM codes),
+joined AS (SELECT ids.c, 0 AS part, k, r, x FROM ids JOIN t ON t.c = ids.c - ids.c % 5 AND k <= h UNION ALL SELECT ids.c, 1, k, r, x FROM ids JOIN t ON t.c = ids.c AND k > h),
+steps AS (SELECT c, row_number() OVER w AS d, strlen(x) AS size, string_agg(md5(length(r) || ':' || r || x), '') OVER w AS p FROM joined WINDOW w AS (PARTITION BY c ORDER BY part, k)),
+m AS (SELECT c, d, size, p FROM steps UNION ALL SELECT c, 0, 0, '' FROM ids),
+n AS (SELECT d, p, min(c) AS first, count(*) AS n, any_value(size) AS size FROM m GROUP BY d, p),
+last AS (SELECT c, arg_max(p, d) AS p FROM m GROUP BY c),
+ends AS (SELECT p, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM last GROUP BY p),
+kids AS (SELECT left(p, (32 * (d - 1))::INT) AS p, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+e AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (p)),
+below AS (SELECT m.p, count(*) FILTER (e.kids = 0) AS leaves, sum((e.n - 1) * e.size) AS saved FROM e JOIN m ON m.c = e.first AND m.d <= e.d GROUP BY m.p)
+SELECT e.first AS conv_id, e.d AS depth, up.first AS parent_conv_id, e.n AS n_convs, e.kids AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM e JOIN below USING (p) LEFT JOIN ends USING (p) LEFT JOIN n up ON e.d > 0 AND up.p = left(e.p, (32 * (e.d - 1))::INT)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_licenses": _op10_sql()}
+    return {"op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op10_licenses": _op10_sql(), "op12_prefix_trie": OP12_SQL}
