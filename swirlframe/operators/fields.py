@@ -15,9 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..functions import above, col, fails, in_polygon, in_rectangle, ratio, valid
 from ..kernels import neighbourhood
 from ..params import PhysicalScale, parse_validator
+from . import selection
 
 KEY, NODE = "frame", ("gi", "gj")
 _NAN = float("nan")
@@ -41,19 +43,24 @@ def field_statistics(f: DataFrame, include_invalid: bool = False) -> DataFrame:
     return out.select(*NODE, *[F.coalesce(c, F.lit(_NAN)).alias(c) if c != "count" else F.col(c) for c in out.columns if c not in NODE])
 
 
-def validate_temporal(f: DataFrame, threshold: float = 3.0, epsilon: float = 0.1) -> DataFrame:
-    """Flags samples far from their node's median over time, in units of the median deviation; three samples at least."""
-    w = Window.partitionBy(*NODE)
+def validate_temporal(f: DataFrame, threshold: float = 3.0, epsilon: float = 0.1, gather: int = selection.GATHER) -> DataFrame:
+    """Flags samples far from their node's median over time, in units of the median deviation; three samples at least.
+
+    Medians are selected (``selection.quantiles``), so a node's series of any length meets in no task. ``f`` is written first.
+    """
     names = [n for n in ("u", "v", "w") if n in f.columns]
-    out = f.withColumn("_ok", valid())
+    rows = written(f, "field")
+    good = rows.filter(valid())
+    middle = selection.quantiles(good, NODE, names, names=[f"_m{n}" for n in names], gather=gather).withColumnRenamed("n__mu", "_n").select(*NODE, "_n", *[f"_m{n}" for n in names])
+    middle = written(middle, "medians")
+    off = selection.beside(good, middle, NODE, "inner").select(*NODE, *[F.abs(F.col(n) - F.col(f"_m{n}")).alias(f"_d{n}") for n in names])
+    spread = selection.quantiles(off, NODE, [f"_d{n}" for n in names], gather=gather).select(*NODE, *[f"_d{n}" for n in names])
+    out = selection.beside(rows.withColumn("_ok", valid()), middle.join(spread, list(NODE), "left"), NODE)
     flag = F.lit(False)
     for n in names:
-        out = out.withColumn(f"_{n}", F.when(F.col("_ok"), F.col(n))).withColumn(f"_m{n}", F.median(f"_{n}").over(w))
-        out = out.withColumn(f"_d{n}", F.median(F.abs(F.col(f"_{n}") - F.col(f"_m{n}"))).over(w))
-        flag = flag | F.coalesce(F.abs(F.col(f"_{n}") - F.col(f"_m{n}")) / (F.col(f"_d{n}") + epsilon) > threshold, F.lit(False))
-    n_ok = F.count(F.when(F.col("_ok"), 1)).over(w)
-    out = out.withColumn("_n", n_ok).withColumn("outlier", F.coalesce("outlier", F.lit(False)) | (F.col("_ok") & (F.col("_n") >= 3) & flag))
-    return out.drop("_ok", "_n", *[f"_{k}{n}" for n in names for k in ("", "m", "d")])
+        flag = flag | F.coalesce(F.abs(F.col(n) - F.col(f"_m{n}")) / (F.col(f"_d{n}") + epsilon) > threshold, F.lit(False))
+    out = out.withColumn("outlier", F.coalesce("outlier", F.lit(False)) | (F.col("_ok") & (F.col("_n") >= 3) & flag))
+    return out.select(*f.columns)
 
 
 def neighbours(f: DataFrame, radius: int, values: Sequence[str]) -> DataFrame:
@@ -280,40 +287,50 @@ def filled_series(s: DataFrame, keys: Sequence[str], order: str, value: str, inv
     return out.withColumn(value, F.coalesce(good, between, lo, hi)).drop("_k")
 
 
-def power_spectrum(s: DataFrame, keys: Sequence[str], order: str, value: str, dt: float = 1.0, window: str = "hann") -> DataFrame:
-    """(keys, k, frequency, psd) of each series: mean removed, one-sided. A series is one call and one fast transform."""
+def power_spectrum(s: DataFrame, keys: Sequence[str], order: str, value: str, dt: float | str = 1.0, window: str = "hann") -> DataFrame:
+    """(keys, k, frequency, psd) of each series: mean removed, one-sided. A series is one call and one fast transform.
+
+    ``dt`` is a number, or a column: each series goes by its own (1 where it is null), and one of several is an error.
+    """
     if window not in ("hann", "none"):
         raise ValueError("window is 'hann' or 'none'")
-    rows, m = s.select(*keys, order, F.col(value).cast("double").alias("_x")), len(keys)
+    each = F.coalesce(F.col(dt) if isinstance(dt, str) else F.lit(float(dt)), F.lit(1.0))
+    rows, m = s.select(*keys, order, F.col(value).cast("double").alias("_x"), each.cast("double").alias("_dt")), len(keys)
     kinds = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys)
 
     def run(part: pa.Table) -> pa.Table:
         part = part.take(pc.sort_indices(part.column(m)))
-        x = part.column(m + 1).to_numpy().astype(float)
-        n = len(x)
+        x, steps = part.column(m + 1).to_numpy().astype(float), part.column(m + 2).to_numpy()
+        n, step = len(x), steps[0]
+        if (steps != step).any():
+            raise ValueError("a series has frames of several lengths in time")
         w = 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / max(1, n - 1))) if window == "hann" else np.ones(n)
         psd, k = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2, np.arange(n // 2 + 1)
         with np.errstate(invalid="ignore", divide="ignore"):
-            psd = psd * 2 * dt / (w**2).sum() * np.where((k == 0) | (2 * k == n), 0.5, 1.0)
+            psd = psd * 2 * step / (w**2).sum() * np.where((k == 0) | (2 * k == n), 0.5, 1.0)
         first = [part.column(i).take(pa.array(np.zeros(len(k), np.int64))) for i in range(m)]
-        return pa.Table.from_arrays([*first, pa.array(k.astype(np.int32)), pa.array(k / (n * dt)), pa.array(psd)], names=[*keys, "k", "frequency", "psd"])
+        return pa.Table.from_arrays([*first, pa.array(k.astype(np.int32)), pa.array(k / (n * step)), pa.array(psd)], names=[*keys, "k", "frequency", "psd"])
 
     run.__annotations__ = {"part": pa.Table, "return": pa.Table}
     return rows.groupBy(*keys).applyInArrow(run, kinds + ", k int, frequency double, psd double")
 
 
-def result_spectrum(f: DataFrame, value: str = "u", invalid: str = "mean", window: str = "hann", dt: float | None = None, scale: PhysicalScale | None = None) -> DataFrame:
-    """Spectra of every node's series over frames: invalid samples filled, ``dt`` given, or the scale's (given or attached), or one frame."""
-    scale = scale or (attached_scale(f) if dt is None else None)
-    step = dt if dt is not None else scale.dt if scale is not None else 1.0
+def result_spectrum(f: DataFrame, value: str = "u", invalid: str = "mean", window: str = "hann", dt: float | None = None, scale: PhysicalScale | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Spectra of every node's series over frames (of each recording, if ``keys`` tell them apart): invalid samples filled.
+
+    Time between frames is ``dt``, or the scale's: the one given, or the one that the series' own rows carry; else one frame.
+    """
+    step = dt if dt is not None else scale.dt if scale is not None else "scale_dt" if "scale_dt" in f.columns else 1.0
     usable = f.withColumn(value, F.when(valid(), F.col(value)))
-    return power_spectrum(filled_series(usable, NODE, KEY, value, invalid), NODE, KEY, value, step, window)
+    own = [*keys, *NODE]
+    return power_spectrum(filled_series(usable, own, KEY, value, invalid), own, KEY, value, step, window)
 
 
-def bin_to_grid(points: DataFrame, nx: int, ny: int, x0: float, y0: float, step: float, min_count: int = 3, key: str = KEY) -> DataFrame:
-    """Medians of scattered vectors about regular centres; every node has a row, those with too few are masked NaN."""
+def bin_to_grid(points: DataFrame, nx: int, ny: int, x0: float, y0: float, step: float, min_count: int = 3, key: str = KEY, gather: int = selection.GATHER) -> DataFrame:
+    """Medians (selected, so a crowded node meets in no task) of scattered vectors about regular centres; every node has a row, those with too few are masked NaN."""
     at = lambda c, o, n: F.least(F.greatest(F.rint((F.col(c) - o) / step) + 1, F.lit(1.0)), F.lit(float(n))).cast("int")
-    b = points.withColumn("gi", at("y", y0, ny)).withColumn("gj", at("x", x0, nx)).groupBy(key, *NODE).agg(F.median("u").alias("u"), F.median("v").alias("v"), F.count("*").alias("n"))
+    dealt = written(points.select(key, at("y", y0, ny).alias("gi"), at("x", x0, nx).alias("gj"), "u", "v"), "binned")
+    b = dealt.groupBy(key, *NODE).agg(F.count("*").alias("n")).join(selection.quantiles(dealt, (key, *NODE), ("u", "v"), gather=gather).drop("n_u", "n_v"), [key, *NODE], "left")
     grid = points.select(key).distinct().withColumn("gi", F.explode(F.sequence(F.lit(1), F.lit(ny)))).withColumn("gj", F.explode(F.sequence(F.lit(1), F.lit(nx))))
     j = grid.join(b, [key, *NODE], "left")
     enough = F.coalesce(F.col("n"), F.lit(0)) >= min_count
@@ -335,36 +352,34 @@ def with_scale(f: DataFrame, scale: PhysicalScale | None) -> DataFrame:
     return f if scale is None else f.withColumns(dict(zip(SCALE, map(F.lit, (scale.pixel_size, scale.dt, scale.length_unit, scale.time_unit)), strict=True)))
 
 
-def attached_scale(f: DataFrame) -> PhysicalScale | None:
-    """The scale that the rows carry; None without one or without rows."""
-    row = f.select(*SCALE).first() if set(SCALE) <= set(f.columns) else None
-    return None if row is None else PhysicalScale(*row)
-
-
 def physical(f: DataFrame, scale: PhysicalScale | None = None) -> DataFrame:
     """Positions and residuals times the pixel size, displacements and deviations also by time; done once, as units tell.
 
-    Without a scale the attached one is taken; rows without either stay as they are.
+    Without a scale each row goes by the one that it carries (columns SCALE); rows without either stay as they are.
     """
-    scale = scale or attached_scale(f)
-    if scale is None:
+    if scale is None and not set(SCALE) <= set(f.columns):
         return f
+    size, dt, length, time = (F.col(c) for c in SCALE) if scale is None else (F.lit(v) for v in (scale.pixel_size, scale.dt, scale.length_unit, scale.time_unit))
     if "length_unit" not in f.columns:
         f = f.withColumns({"length_unit": F.lit("px"), "time_unit": F.lit("frame"), "velocity_unit": F.lit("px/frame")})
-    todo = F.col("length_unit") == "px"
-    by = {c: scale.pixel_size for c in ("x", "y", "z", "match_residual")} | {c: scale.pixel_size / scale.dt for c in ("u", "v", "w", "uncertainty_u", "uncertainty_v", "uncertainty_w")}
+    todo = (F.col("length_unit") == "px") & size.isNotNull() & dt.isNotNull()
+    by = dict.fromkeys(("x", "y", "z", "match_residual"), size) | dict.fromkeys(("u", "v", "w", "uncertainty_u", "uncertainty_v", "uncertainty_w"), size / dt)
     new = {c: F.when(todo, F.col(c) * k).otherwise(F.col(c)) for c, k in by.items() if c in f.columns}
-    units = {"length_unit": scale.length_unit, "time_unit": scale.time_unit, "velocity_unit": scale.velocity_unit}
-    return f.withColumns(new | {c: F.when(todo, F.lit(v)).otherwise(F.col(c)) for c, v in units.items()})
+    units = {"length_unit": length, "time_unit": time, "velocity_unit": F.concat(length, F.lit("/"), time)}
+    return f.withColumns(new | {c: F.when(todo, v).otherwise(F.col(c)) for c, v in units.items()})
 
 
-def color_limits(f: DataFrame, value: str) -> DataFrame:
+def color_limits(f: DataFrame, value: str, gather: int = selection.GATHER) -> DataFrame:
     """(lo, hi): the 2nd and 98th percentile by nearest rank of valid values, half a unit about it where they're equal."""
-    v = f.filter(valid() & ~F.isnan(value)).agg(F.expr(f"percentile_disc(0.02) within group (order by {value})").alias("lo"), F.expr(f"percentile_disc(0.98) within group (order by {value})").alias("hi"))
+    good = f.filter(valid()).select(F.col(value).alias("lo"))
+    n = F.col("_n")
+    ends = [F.greatest(F.ceil(q * n) - 1, F.lit(0)) for q in (0.02, 0.98)]
+    got = selection.ranked(good, (), ("lo",), ends, gather)
+    v = got.agg(*[F.max(F.when(F.col("_rank") == r, F.col("_value"))).alias(c) for r, c in enumerate(("lo", "hi"))])
     same = F.col("lo") == F.col("hi")
     return v.select(F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
 
 
-def arrow_scale(f: DataFrame) -> DataFrame:
+def arrow_scale(f: DataFrame, gather: int = selection.GATHER) -> DataFrame:
     """(length): 0.99 quantile of valid magnitudes."""
-    return f.filter(valid()).agg(F.percentile(F.hypot("u", "v"), F.lit(0.99)).alias("length"))
+    return selection.quantiles(f.filter(valid()).select(F.hypot("u", "v").alias("length")), (), ("length",), 0.99, gather=gather).select("length")

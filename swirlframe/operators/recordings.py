@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def image_pairs(frames: DataFrame, mode: str = "paired", stride: int = 1, offset: int = 0, deltas: tuple[int, ...] = (1,), index: str = "frame_idx", ts: str | None = None, key: str | None = None) -> DataFrame:
     """(pair_id, idx_a, idx_b, dt): pairs of frames numbered from 1 by ``index``; dt is null where a time is missing.
 
     Paired mode starts at 1 + offset, 1 + offset + 2 stride, ..; chained at every stride. pair_id follows
-    (delta's place, idx_a) and has no gaps where frames have none. Self-join on idx_b = idx_a + delta, within ``key`` if given.
+    (delta's place, idx_a) without gaps, whatever frames are missing. Self-join on idx_b = idx_a + delta, within ``key`` if given.
     """
     if mode not in ("paired", "chained") or stride < 1 or offset < 0 or not deltas or min(deltas) < 1:
         raise ValueError("mode is 'paired' or 'chained', stride and deltas are 1 or more, offset 0 or more")
@@ -21,16 +23,8 @@ def image_pairs(frames: DataFrame, mode: str = "paired", stride: int = 1, offset
     d = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(x).alias("d")) for i, x in enumerate(deltas)]))
     a = starts.withColumn("_d", d).withColumn("idx_b", F.col("idx_a") + F.col("_d.d"))
     b = f.select(*keys, F.col("idx_a").alias("idx_b"), F.col("_ta").alias("_tb"))
-    last = f.groupBy(*keys).agg(F.max("idx_a").alias("_n"))  # a row a recording
-    pairs = a.join(b, [*keys, "idx_b"])
-    pairs = pairs.join(last, keys) if keys else pairs.crossJoin(F.broadcast(last))  # without a key, one row
-    # Numbered by arithmetic instead of a window over everything: dense where no frame is missing.
-    count = [F.greatest(F.floor((F.col("_n") - x - 1 - offset) / step) + 1, F.lit(0)) for x in deltas]
-    before = F.lit(0)
-    for i in range(1, len(deltas)):
-        before = before + F.when(F.col("_d.at") >= i, count[i - 1]).otherwise(0)
-    number = before + (F.col("idx_a") - 1 - offset) / step + 1
-    return pairs.select(*keys, number.cast("int").alias("pair_id"), "idx_a", "idx_b", (F.col("_tb") - F.col("_ta")).alias("dt"))
+    pairs = a.join(b, [*keys, "idx_b"]).select(*keys, F.col("_d.at").alias("_delta"), "idx_a", "idx_b", (F.col("_tb") - F.col("_ta")).alias("dt"))
+    return selection.numbered(pairs, ("_delta", "idx_a"), "_id", keys).select(*keys, F.col("_id").cast("int").alias("pair_id"), "idx_a", "idx_b", "dt")
 
 
 def check_paired(n: int, mode: str = "paired") -> None:

@@ -324,18 +324,17 @@ def replaced(spark, sf_dir):
     return rounded(fields.replace_outliers(gf(spark, sf_dir)).select("frame", "gi", "gj", "u", "v"))
 
 
-# A grid of 40 x 30 nodes of one frame, with a hole of 25 x 25 outliers.
-_HOLE = "f AS (SELECT 1 AS frame, CAST(a.i AS INT) AS gi, CAST(b.j AS INT) AS gj, coalesce(o_totalprice, 0) / 1e4 AS u, coalesce(o_custkey, 0) / 1e2::DOUBLE AS v, a.i BETWEEN 6 AND 30 AND b.j BETWEEN 3 AND 27 AS outlier FROM (SELECT unnest(generate_series(1, 40)) AS i) a CROSS JOIN (SELECT unnest(generate_series(1, 30)) AS j) b LEFT JOIN orders ON o_orderkey = (a.i - 1) * 30 + b.j)"
+# Every 1200 orders are a grid of 40 x 30 nodes, with a hole of 25 x 25 outliers.
+_HOLE = "k AS (SELECT o_orderkey // 1200 AS frame, o_orderkey % 1200 AS k, o_totalprice / 1e4 AS u, o_custkey / 1e2::DOUBLE AS v FROM orders), f AS (SELECT frame, CAST(k // 30 + 1 AS INT) AS gi, CAST(k % 30 + 1 AS INT) AS gj, u, v, k // 30 + 1 BETWEEN 6 AND 30 AND k % 30 + 1 BETWEEN 3 AND 27 AS outlier FROM k)"
 
 
-@_query(f"WITH {_HOLE}, r AS (SELECT a.gi, a.gj, b.u, b.v, greatest(abs(a.gi - b.gi), abs(a.gj - b.gj)) AS r FROM f a JOIN f b ON a.outlier AND NOT b.outlier), k AS (SELECT *, row_number() OVER (PARTITION BY gi, gj ORDER BY r) AS n FROM r), t AS (SELECT gi, gj, min(r) AS reach FROM k WHERE n = 3 GROUP BY ALL), m AS (SELECT r.gi, r.gj, median(u) AS mu, median(v) AS mv FROM r JOIN t USING (gi, gj) WHERE r <= reach GROUP BY ALL) SELECT f.gi, f.gj, round(coalesce(mu, u), 6) + 0.0 AS u, round(coalesce(mv, v), 6) + 0.0 AS v FROM f LEFT JOIN m ON f.gi = m.gi AND f.gj = m.gj")
+@_query(f"WITH {_HOLE}, r AS (SELECT a.frame, a.gi, a.gj, b.u, b.v, greatest(abs(a.gi - b.gi), abs(a.gj - b.gj)) AS r FROM f a JOIN f b ON a.frame = b.frame AND a.outlier AND NOT b.outlier), t AS (SELECT frame, gi, gj, list_sort(list(r))[3] AS reach FROM r GROUP BY ALL), m AS (SELECT r.frame, r.gi, r.gj, median(u) AS mu, median(v) AS mv FROM r JOIN t USING (frame, gi, gj) WHERE r <= reach GROUP BY ALL) SELECT f.frame, f.gi, f.gj, round(coalesce(mu, u), 6) + 0.0 AS u, round(coalesce(mv, v), 6) + 0.0 AS v FROM f LEFT JOIN m ON f.frame = m.frame AND f.gi = m.gi AND f.gj = m.gj")
 def replaced_wide_hole(spark, sf_dir):
-    """Replacement however large the hole."""
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e4).alias("u"), (F.col("o_custkey") / 1e2).alias("v"))
-    grid = spark.range(1200).select((F.col("id") + 1).alias("o_orderkey"), (F.floor(F.col("id") / 30) + 1).cast("int").alias("gi"), (F.col("id") % 30 + 1).cast("int").alias("gj"))
-    zero = F.lit(0.0)
-    f = grid.join(o, "o_orderkey", "left").select(F.lit(1).alias("frame"), "gi", "gj", F.coalesce("u", zero).alias("u"), F.coalesce("v", zero).alias("v"), F.lit(False).alias("masked"), (F.col("gi").between(6, 30) & F.col("gj").between(3, 27)).alias("outlier"))
-    return rounded(fields.replace_outliers(f).select("gi", "gj", "u", "v"))
+    """Replacement however large the hole, in every frame."""
+    k = F.col("o_orderkey") % 1200
+    gi, gj = (F.floor(k / 30) + 1).cast("int"), (k % 30 + 1).cast("int")
+    f = _table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 1200).alias("frame"), gi.alias("gi"), gj.alias("gj"), (F.col("o_totalprice") / 1e4).alias("u"), (F.col("o_custkey") / 1e2).alias("v"), F.lit(False).alias("masked"), (gi.between(6, 30) & gj.between(3, 27)).alias("outlier"))
+    return rounded(fields.replace_outliers(f).select("frame", "gi", "gj", "u", "v"))
 
 
 @_query(f"WITH {GF}, z AS (SELECT frame, gi, gj, coalesce(u, 0) AS u FROM gf), a AS (SELECT *, (coalesce(lag(u) OVER w, u) + 2 * u + coalesce(lead(u) OVER w, u)) / 4 AS s FROM z WINDOW w AS (PARTITION BY frame, gj ORDER BY gi)) SELECT frame, gi, gj, round((coalesce(lag(s) OVER w, s) + 2 * s + coalesce(lead(s) OVER w, s)) / 4, 6) + 0.0 AS u FROM a WINDOW w AS (PARTITION BY frame, gi ORDER BY gj)")
@@ -416,10 +415,16 @@ def validators(spark, sf_dir):
     return fields.validate(f, [("velocity_magnitude", {"min": 1, "max": 6}), ("peak_ratio", 0.25)]).select("frame", "gi", "gj", "outlier")
 
 
-@_query(f"WITH {GF} SELECT frame, gi, gj, {_R('x * 0.02', 'x')}, {_R('y * 0.02', 'y')}, {_R('u * 0.02 / 0.005', 'u')}, {_R('v * 0.02 / 0.005', 'v')}, 'mm' AS length_unit, 'mm/s' AS velocity_unit FROM gf")
+_SCALED = "WITH {gf}, k AS (SELECT *, CASE frame % 3 WHEN 0 THEN 0.02::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS size, CASE frame % 3 WHEN 0 THEN 0.005::DOUBLE WHEN 1 THEN 2.0::DOUBLE END AS dt FROM gf)"
+
+
+@_query(_SCALED.format(gf=GF) + f" SELECT frame, gi, gj, {_R('x * coalesce(size, 1)', 'x')}, {_R('y * coalesce(size, 1)', 'y')}, {_R('u * coalesce(size / dt, 1)', 'u')}, {_R('v * coalesce(size / dt, 1)', 'v')}, CASE frame % 3 WHEN 0 THEN 'mm' WHEN 1 THEN 'um' ELSE 'px' END AS length_unit, CASE frame % 3 WHEN 0 THEN 'mm/s' WHEN 1 THEN 'um/ms' ELSE 'px/frame' END AS velocity_unit FROM k")
 def physical_units(spark, sf_dir):
-    s = PhysicalScale(0.02, 0.005, "mm", "s")
-    return rounded(fields.physical(fields.physical(gf(spark, sf_dir), s), s).select("frame", "gi", "gj", "x", "y", "u", "v", "length_unit", "velocity_unit"))
+    """Frames of two scales and of none; each row goes by its own, and only once."""
+    g = gf(spark, sf_dir)
+    of = lambda k, scale: fields.with_scale(g.filter(F.col("frame") % 3 == k), scale)
+    both = of(0, PhysicalScale(0.02, 0.005, "mm", "s")).unionByName(of(1, PhysicalScale(0.5, 2.0, "um", "ms"))).unionByName(of(2, None), allowMissingColumns=True)
+    return rounded(fields.physical(fields.physical(both)).select("frame", "gi", "gj", "x", "y", "u", "v", "length_unit", "velocity_unit"))
 
 
 @_query(f"WITH {GF} SELECT 'planar' AS result_type, frame::VARCHAR AS frame_id, row_number() OVER (PARTITION BY frame ORDER BY gj, gi)::INT AS point_id, gi AS i, gj AS j, {_R('x')}, {_R('y')}, {_R('u')}, {_R('v')}, masked, outlier, 'px' AS length_unit, 'frame' AS time_unit, 'px/frame' AS velocity_unit FROM gf")
@@ -463,13 +468,13 @@ def range_join(spark, sf_dir):
 
 @_query(f"WITH {PTS} SELECT id_a, id_b, rank::INT AS rank FROM k WHERE rank <= 4")
 def knn_join(spark, sf_dir):
-    """The four nearest however far; the radius is only where the search starts."""
-    return neighbors.knn(scattered(spark, sf_dir), 4, 2.5).select("id_a", "id_b", "rank")
+    """The four nearest however far."""
+    return neighbors.knn(scattered(spark, sf_dir), 4).select("id_a", "id_b", "rank")
 
 
 @_query(f"WITH {PTS}, e AS (SELECT *, median(ub) OVER w AS mu, median(vb) OVER w AS mv, count(*) OVER w AS n FROM k WHERE rank <= 8 WINDOW w AS (PARTITION BY id_a)), d AS (SELECT id_a, any_value(n) AS n, abs(any_value(ua) - any_value(mu)) / (median(abs(ub - mu)) + 0.1) > 2 OR abs(any_value(va) - any_value(mv)) / (median(abs(vb - mv)) + 0.1) > 2 AS flag FROM e GROUP BY id_a) SELECT id, coalesce(n >= 3 AND flag, false) AS flag FROM p LEFT JOIN d ON id = id_a")
 def scattered_outliers(spark, sf_dir):
-    return neighbors.scattered_outliers(scattered(spark, sf_dir), 3.0).select("id", "flag")
+    return neighbors.scattered_outliers(scattered(spark, sf_dir)).select("id", "flag")
 
 
 # --- tracks ---
