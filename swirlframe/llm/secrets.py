@@ -4,12 +4,19 @@ The fixed patterns give the base spans. Their matches are credentials labelled b
 them (SAMPLE per kind, those of smallest hash) a prefix tree is built for each kind, and its states are merged where a
 Hoeffding bound finds their frequencies compatible, which gives a probabilistic automaton of the format. Every
 candidate of the corpus (a run of LEAST or more credential characters, the least that a labelled one can have, outside base
-spans, dots at its ends left off) is then scored by its mean log-likelihood against a uniform text, and spans of kind
-``format`` are added above a cut-off that nine in ten labelled credentials left out of the fit pass. A kind of which nine in
+spans, dots at its ends left off) is then scored, and spans of kind ``format`` are added for those that pass both:
+
+- the mean log-likelihood of a character against a uniform text reaches a cut-off that nine in ten labelled credentials left out of the fit pass;
+- the log-likelihood of the whole, with the chances to go on and to end at its length against those of a uniform length,
+  is at least a share (EVIDENCE) of what nine in ten of those credentials reach. So hexadecimal words, prefixes of commits and dates,
+  whose characters are a key's but whose lengths are not, aren't taken for one.
+
+A merged state's own chance to end is the same at every depth, so lengths come from the labelled credentials' (``Lengths``). A kind of which nine in
 ten labelled credentials have a digit (or a letter) asks for one: a merged automaton forgets that.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; without labelled
-credentials there are only base spans; repeated rows get a row each; an empty table gives no rows.
+credentials there are only base spans; repeated rows get a row each; an empty table gives no rows; ids are integers (null ones stay null, others
+that can't be cast raise Spark's cast error); a text may be of any length and is scanned whole, one at a time; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ from .common import map_rows, only, written
 
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE, CONFIDENCE, SMOOTH, LEAST, MARGIN = 400, 0.05, 0.02, 8, 0.1
+#: Share of labelled credentials' whole likelihood that a candidate has to have, and the longest one (labelled or by uniform length).
+EVIDENCE, LONGEST = 0.5, 256
 #: The base patterns, on UTF-8 bytes.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -134,30 +143,59 @@ class Automaton:
 
     def likelihood(self, s: bytes) -> float:
         """Mean log-likelihood of a character against all characters being alike; unseen ones are smoothed."""
+        return self.characters(s) / max(1, len(s))
+
+    def characters(self, s: bytes) -> float:
+        """The log-likelihood of all characters, given the length, against all of them being alike."""
         uniform = 1 / len(ALPHABET)
         at, sum_ = 0, 0.0
         for c in s:
             p = 0.0 if at < 0 or not self.total[at] else self.seen[at].get(c, 0) / max(1, self.total[at] - self.ends[at])
             sum_ += math.log(((1 - SMOOTH) * p + SMOOTH * uniform) / uniform)
             at = -1 if at < 0 else self.next[at].get(c, at)
-        return sum_ / max(1, len(s))
+        return sum_
+
+
+class Lengths:
+    """Chances to end at each length, smoothed, against those of a length that is uniform from LEAST to LONGEST."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        n = np.bincount([len(s) for s in strings], minlength=LONGEST + 2)[LEAST : LONGEST + 1].astype(float)
+        share = (1 - SMOOTH) * n / max(1.0, n.sum()) + SMOOTH / len(n)
+        self.ends = share / share[::-1].cumsum()[::-1]  # of those that got so far
+        self.uniform = 1 / np.arange(len(n), 0, -1)
+
+    def likelihood(self, length: int) -> float:
+        """Log of: gone on at every shorter length and ended at this one, over the same by uniform lengths; 0 where neither can be."""
+        at = length - LEAST
+        if not 0 <= at < len(self.ends):
+            return 0.0
+        went = np.log1p(-self.ends[:at]).sum() - np.log1p(-self.uniform[:at]).sum()
+        return float(went + math.log(self.ends[at] / self.uniform[at]))
 
 
 class Formats:
-    """Automata by kind with the cut-offs of their likelihoods and the classes of characters that they ask for."""
+    """Automata by kind with the cut-offs of their likelihoods, their lengths and the classes of characters that they ask for."""
 
     def __init__(self, labelled: dict[int, list[bytes]]) -> None:
-        self.of: list[tuple[Automaton, float, list[re.Pattern]]] = []
+        self.of: list[tuple[Automaton, Lengths, float, float, list[re.Pattern]]] = []
         for _, strings in sorted(labelled.items()):
             fit, rest = [s for i, s in enumerate(strings) if i % 4], strings[::4]
             if len(fit) < 10:
                 continue
             model = Automaton(fit)
-            got = sorted(model.likelihood(s) for s in rest)
-            self.of.append((model, max(0.0, got[len(got) // 10] - MARGIN), [c for c in (DIGIT, LETTER) if sum(bool(c.search(s)) for s in strings) >= 0.9 * len(strings)]))
+            lengths, tenth = Lengths(strings), len(rest) // 10
+            mean = sorted(model.likelihood(s) for s in rest)[tenth]
+            whole = sorted(model.characters(s) + lengths.likelihood(len(s)) for s in rest)[tenth]
+            self.of.append((model, lengths, max(0.0, mean - MARGIN), max(0.0, EVIDENCE * whole), [c for c in (DIGIT, LETTER) if sum(bool(c.search(s)) for s in strings) >= 0.9 * len(strings)]))
 
     def fits(self, s: bytes) -> bool:
-        return any(all(c.search(s) for c in classes) and m.likelihood(s) >= least for m, least, classes in self.of)
+        for model, lengths, mean, whole, classes in self.of:
+            if all(c.search(s) for c in classes):
+                got = model.characters(s)
+                if got >= mean * len(s) and got + lengths.likelihood(len(s)) >= whole:
+                    return True
+        return False
 
 
 def labelled_credentials(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> dict[int, list[bytes]]:

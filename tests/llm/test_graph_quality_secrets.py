@@ -37,6 +37,21 @@ def test_recall(spark, shard_rows):
     assert all(v == sorted(v) and len(v) == 10 for v in by.values())
 
 
+def test_recall_of_the_largest_shard():
+    """As many rows of 64 dimensions as a shard can have, without any structure: the beam that the size gets has to find nine in ten."""
+    rng = np.random.default_rng(11)
+    n = min(graph_index.MOST_ROWS, graph_index.SHARD_BYTES // (8 * 64))
+    x = rng.normal(size=(n, 64))
+    asked = x[::400]
+    got, score = graph_index.Graph(x).search(asked, 11)
+    hits = 0
+    for q, ids, d in zip(asked, got, score, strict=True):
+        far = np.sqrt(((x - q) ** 2).sum(axis=1))
+        hits += len(set(np.argsort(far, kind="stable")[1:11].tolist()) & set(ids.tolist()))  # the row itself doesn't count
+        assert np.allclose(d, far[ids])
+    assert hits >= 0.9 * 10 * len(asked), hits / (10 * len(asked))
+
+
 @pytest.mark.parametrize("size", [1e25, 1e300, 1e-300])
 def test_neighbours_of_any_magnitude(spark, size):
     rng = np.random.default_rng(7)
@@ -177,3 +192,50 @@ def test_added_spans_by_precision_and_recall(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, s.start, s.end) for r in secrets.scan_secrets(docs).collect() for s in r.spans if s.kind == "format"}
     assert len(got & planted) >= 0.9 * len(planted) and len(got & planted) >= 0.95 * len(got)
+
+
+def test_lengths_by_the_chain_rule():
+    rng = random.Random(5)
+    strings = [b"x" * rng.choice([12, 12, 12, 20]) for _ in range(80)]
+    model = secrets.Lengths(strings)
+    n = secrets.LONGEST - secrets.LEAST + 1
+    for length in (8, 12, 13, 20, 256):
+        share = 0.98 * sum(len(s) == length for s in strings) / 80 + 0.02 / n
+        assert model.likelihood(length) == pytest.approx(math.log(share * n))
+    assert model.likelihood(5000) == 0.0
+
+
+def test_short_words_of_a_keys_alphabet_are_refused():
+    rng = random.Random(1)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)).encode()
+    formats = secrets.Formats({0: [hexes(40) for _ in range(130)]})
+    words = [b"facade12", b"deadbeef1", b"decade1990", b"00000000a", b"2e10000000", b"20240506a", b"e5b7c31", b"1a2b3c4d5e", b"cafe2024", b"f00dbabe", b"5eedbeef99"]
+    assert not any(formats.fits(w) for w in words)
+    assert not any(formats.fits(hexes(n)) for n in (7, 8, 10, 12) for _ in range(200))
+    assert all(formats.fits(hexes(40)) for _ in range(200))
+
+
+def test_bare_keys_of_forty_characters_among_hexadecimal_words(spark):
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    noise = lambda: " ".join(rng.choice([f"facade{rng.randrange(99)}", f"decade19{rng.randrange(10, 99)}", hexes(rng.choice([7, 8, 10, 12])), "2024-05-06T10:11:12", f"build-{rng.randrange(10**8)}", "node12.cluster.example.org", f"0x{hexes(8)}", "version-1.20.33", "internationalisation", f"item_{rng.randrange(10**6)}", "key4/part7/page12"]) for _ in range(30))
+    texts, planted = [], set()
+    for i in range(240):
+        k = key()
+        if i % 3:
+            texts.append(f"{noise()} secret = {k} {noise()}")
+        else:
+            head = noise() + " "
+            planted.add((i, len(head), len(head) + 40))
+            texts.append(f"{head}{k} {noise()}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end) for r in secrets.scan_secrets(docs).collect() for s in r.spans if s.kind == "format"}
+    assert len(got & planted) >= 0.9 * len(planted) and len(got & planted) >= 0.97 * len(got), (len(got), len(got & planted))
+
+
+def test_secrets_in_long_texts_beside_other_columns(spark):
+    long = "plain words " * 9000 + "token = abcdef0123456789 " + "x" * 120_000
+    docs = spark.createDataFrame([("7", long, "a", 1), (None, None, "b", 2)], "doc_id string, text string, spans string, n_assign int")
+    found = {r.doc_id: r for r in secrets.secret_digest(secrets.scan_secrets(docs)).collect()}
+    assert found[7].n_assign == 1 and found[None].spans == "" and ",".join(brute_secrets(long)) == found[7].spans
