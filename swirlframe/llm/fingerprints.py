@@ -33,7 +33,7 @@ EXACT, LIKE, WINDOW = 32, 256, 16
 #: Bytes of a fingerprint.
 WIDTH = EXACT * 8 + LIKE * 4
 #: Bytes of text in a range of ids, ranges at most, and sampled keys for each.
-RANGE_BYTES, MOST_RANGES, SAMPLED = 32 << 20, 20_000, 16
+RANGE_BYTES, MOST_RANGES, SAMPLED = 32 << 20, 20_000, 64
 _STEP = 1 << 20
 _M1, _M2, _M3 = (np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 _LOW = -(1 << 63)
@@ -170,10 +170,10 @@ def ranges(keys: DataFrame, range_bytes: int = RANGE_BYTES) -> list[tuple[int, i
     if count == 1:
         return [(o, h)]
     share = min(1.0, SAMPLED * count / n)
-    some = keys.select("o", "h").filter(F.pmod(F.xxhash64("o", "h", F.lit(5)), F.lit(1 << 20)) <= int(share * (1 << 20))).distinct().collect()  # about SAMPLED * count
-    some = sorted({(r.o, r.h) for r in some}, reverse=True)
-    step = max(1, len(some) // count)
-    return sorted({(o, h), *some[step - 1 :: step]}, reverse=True)
+    some = keys.filter(F.pmod(F.xxhash64("o", "h", F.lit(5)), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    some = sorted(some.groupBy("o", "h").agg(F.max("size").alias("size")).collect(), reverse=True)  # about SAMPLED * count
+    each = np.cumsum([r.size for r in some]) // (1 + sum(r.size for r in some) // count)  # ranges of like bytes
+    return sorted({(o, h), *((r.o, r.h) for r, k, before in zip(some, each, [0, *each], strict=False) if k > before)}, reverse=True)
 
 
 def edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", range_bytes: int = RANGE_BYTES) -> DataFrame:
