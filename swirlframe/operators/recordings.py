@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import selection
+from . import selection, timing
 
 
 def image_pairs(frames: DataFrame, mode: str = "paired", stride: int = 1, offset: int = 0, deltas: tuple[int, ...] = (1,), index: str = "frame_idx", ts: str | None = None, key: str | None = None) -> DataFrame:
@@ -41,6 +41,20 @@ def with_pixels(pairs: DataFrame, frames: DataFrame, index: str = "frame_idx", k
     return pairs.join(a, [*keys, "idx_a"]).join(b, [*keys, "idx_b"])
 
 
+def with_masks(pairs: DataFrame, masks: DataFrame, first: str = "first_frame", last: str = "last_frame", mask: str = "mask", keys: tuple[str, ...] = (), width: int = 256) -> DataFrame:
+    """``pairs`` with mask: what is masked by any mask (array<boolean>) that holds at a pair's first or second frame; null if none does.
+
+    A mask holds from a frame to a frame, both included (null: from or to ever); ``timing.span_join`` finds those of each pair.
+    """
+    own = [*keys, "pair_id"]
+    frames = pairs.select(*own, F.explode(F.array_distinct(F.array("idx_a", "idx_b"))).alias("_frame"))
+    held = timing.span_join(frames, masks.select(*keys, F.col(first).alias("_first"), F.col(last).alias("_last"), F.col(mask).alias("_mask")), "_frame", "_first", "_last", keys, width, "inner")
+    either = lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+    united = held.groupBy(*own).agg(F.collect_set("_mask").alias("_masks"))  # the masks of two frames
+    united = united.select(*own, F.reduce(F.slice("_masks", 2, F.greatest(F.size("_masks") - 1, F.lit(1))), F.col("_masks")[0], lambda a, b: F.zip_with(a, b, either)).alias("mask"))
+    return pairs.drop("mask").join(united, own, "left")
+
+
 def compute_background(frames: DataFrame, method: str = "min", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, pixels): pixel-wise minimum or mean over frames; one row a pixel is summed map-side first."""
     if method not in ("min", "mean"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -39,14 +40,20 @@ def field_batch(pair_id: int, f: piv.Field) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in VECTORS.split(", ")])
 
 
-def run_piv_sequence(pairs: DataFrame, frames: DataFrame | None = None, passes=None, effort: str | None = None, mask: np.ndarray | None = None, mask_threshold: float = 0.5, preprocess: Callable | None = None, roi=None, pair_mask: Callable | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """VECTORS of every pair. ``pairs`` has pixels_a, pixels_b, n_rows, n_cols, or gets them from ``frames``.
+def run_piv_sequence(pairs: DataFrame, frames: DataFrame | None = None, passes=None, effort: str | None = None, mask: np.ndarray | None = None, mask_threshold: float = 0.5, preprocess: Callable | None = None, roi=None, pair_mask: Callable | None = None, keys: tuple[str, ...] = (), labels: tuple[str, ...] = ()) -> DataFrame:
+    """VECTORS of every pair, and its ``labels`` (columns of ``pairs``, such as its frames' sources). ``pairs`` has pixels_a, pixels_b,
+    n_rows, n_cols, or gets them from ``frames``.
 
-    A pair's own column ``mask`` (array<boolean>, row-major), the given mask and ``pair_mask(a, b)`` are united.
+    A pair's own column ``mask`` (array<boolean>, row-major; ``recordings.with_masks``), the given mask and ``pair_mask(a, b, pair_id)`` are united. A mask
+    given or called may be two, one for each image; a function of two arguments goes without the pair's number.
     """
     rows = pairs if frames is None else with_pixels(pairs, frames, keys=keys)
     own = "mask" in rows.columns
-    rows = rows.select("pair_id", "n_rows", "n_cols", "pixels_a", "pixels_b", *(["mask"] if own else []))
+    kinds = "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in labels)
+    rows = rows.select("pair_id", "n_rows", "n_cols", "pixels_a", "pixels_b", *labels, *(["mask"] if own else []))
+    numbered = pair_mask is not None and len(inspect.signature(pair_mask).parameters) > 2
+    given = either_mask(mask)
+    mask_at = 5 + len(labels)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -56,16 +63,26 @@ def run_piv_sequence(pairs: DataFrame, frames: DataFrame | None = None, passes=N
                 a, b = image(get(3), nr, nc), image(get(4), nr, nc)
                 if preprocess is not None:
                     a, b = preprocess(a), preprocess(b)
-                m = mask
-                if own and part.column(5)[r].is_valid:
-                    mine = get(5).reshape(nr, nc).astype(bool)
+                m = given
+                if own and part.column(mask_at)[r].is_valid:
+                    mine = get(mask_at).reshape(nr, nc).astype(bool)
                     m = mine if m is None else m | mine
                 if pair_mask is not None:
-                    called = pair_mask(a, b)
-                    m = called if m is None else m | called
-                yield field_batch(pair, piv.run(a, b, schedule(passes, effort, a.shape), m, mask_threshold, roi=roi))
+                    called = either_mask(pair_mask(a, b, pair) if numbered else pair_mask(a, b))
+                    m = called if m is None else m if called is None else m | called
+                out = field_batch(pair, piv.run(a, b, schedule(passes, effort, a.shape), m, mask_threshold, roi=roi))
+                same = pa.array(np.full(out.num_rows, r))
+                yield pa.RecordBatch.from_arrays([*out.columns, *[part.column(5 + k).take(same) for k in range(len(labels))]], names=[*out.schema.names, *labels])
 
-    return rows.mapInArrow(run, VECTORS)
+    return rows.mapInArrow(run, VECTORS + kinds)
+
+
+def either_mask(mask) -> np.ndarray | None:
+    """One mask of a mask, of two (one for each image), or of none."""
+    if isinstance(mask, tuple):
+        one, two = mask
+        return two if one is None else one if two is None else one | two
+    return mask
 
 
 PEAKS = "pair_id long, gi int, gj int, rank int, lag_v int, lag_u int, value double, du double, dv double, peak_ratio double, correlation_moment double"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import functions as C
 from .kernels import geometry, synthetic
-from .operators import calibration, fields, neighbors, recordings, tracks
+from .operators import calibration, fields, neighbors, recordings, timing, tracks
 from .params import PhysicalScale, PIVParameters, PTVParameters, multipass_parameters
 from .plans import images as prepared
 from .plans import piv, ptv
@@ -89,6 +89,30 @@ def pairing_chained_multi_delta(spark, sf_dir):
     return rounded(recordings.image_pairs(e, "chained", 2, 1, (1, 3), ts="t"), 3)
 
 
+# --- along time ---
+
+_SPANS = "SELECT o_orderkey % 700 * 31 AS first, o_orderkey % 700 * 31 + o_custkey % 40 AS last, o_custkey AS mask FROM orders"
+
+
+@_query(f"WITH s AS ({_SPANS}) SELECT e.event_id, count(s.mask) AS n, min(s.mask) AS lowest, max(s.mask) AS highest FROM events e LEFT JOIN s ON e.event_id BETWEEN s.first AND s.last GROUP BY e.event_id")
+def mask_spans(spark, sf_dir):
+    """Masks that hold from a frame to a frame, at every frame."""
+    k = F.col("o_orderkey") % 700 * 31
+    spans = _table(spark, sf_dir, "orders").select(k.alias("first"), (k + F.col("o_custkey") % 40).alias("last"), F.col("o_custkey").alias("mask"))
+    held = timing.span_join(_table(spark, sf_dir, "events").select("event_id"), spans, "event_id", "first", "last")
+    return held.groupBy("event_id").agg(F.count("mask").alias("n"), F.min("mask").alias("lowest"), F.max("mask").alias("highest"))
+
+
+_TWO = "e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS t FROM events), a AS (SELECT * FROM e WHERE event_id % 3 = 0), b AS (SELECT user_id, t, min(event_id) AS event_id FROM e WHERE event_id % 3 <> 0 GROUP BY ALL)"
+
+
+@_query(f"WITH {_TWO}, p AS (SELECT a.*, b.event_id AS before, a.t - b.t AS back FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND b.t <= a.t), q AS (SELECT p.*, b.event_id AS after, b.t - p.t AS ahead FROM p ASOF LEFT JOIN b ON p.user_id = b.user_id AND b.t >= p.t), r AS (SELECT event_id, user_id, CASE WHEN back <= 40000 AND (ahead IS NULL OR ahead > 40000 OR back <= ahead) THEN before WHEN ahead <= 40000 THEN after END AS event_id_b FROM q) SELECT event_id, user_id, event_id_b FROM r WHERE event_id_b IS NOT NULL")
+def nearest_in_time(spark, sf_dir):
+    """Frames of one camera with the nearest of another, by recording, within a tolerance."""
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    return timing.nearest_in_time(e.filter("event_id % 3 = 0"), e.filter("event_id % 3 <> 0"), 40000.0, keys=("user_id",)).select("event_id", "user_id", "event_id_b")
+
+
 # --- images ---
 
 

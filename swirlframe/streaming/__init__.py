@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..kernels import particles
-from ..params import PTVParameters
+from .live_table import LiveTable, grow, live_ensemble_table
+from .tracks import live_tracks
+
+__all__ = ["LiveTable", "grow", "live_ensemble", "live_ensemble_table", "live_pairs", "live_piv", "live_tracks", "windowed_statistics"]
 
 
 def live_piv(pairs: DataFrame, path: str, checkpoint: str, passes=None, on_result: Callable[[int, DataFrame], None] | None = None, progress: Callable[[int], None] | None = None, trigger: dict | None = None, **options) -> StreamingQuery:
@@ -51,34 +52,6 @@ def windowed_statistics(vectors: DataFrame, size: str, slide: str | None = None,
     return vectors.withWatermark(ts, watermark).groupBy(w, "gi", "gj").agg(F.count("*").alias("count"), *[f(c).alias(f"{n}_{c}") for c in ("u", "v") for n, f in (("mean", F.avg), ("rms", F.stddev_pop))])
 
 
-def live_tracks(found: DataFrame, params: PTVParameters | None = None, max_gap: int = 0, min_track_length: int = 3, recording: str = "recording") -> DataFrame:
-    """Finished tracks of a stream of particles: open tracks are state by recording; a track ends after ``max_gap`` frames.
-
-    A batch brings whole frames in order. Tracks still open stay in the state (and come out when they end).
-    """
-    p = params or PTVParameters()
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t = particles.Tracker(p, max_gap)
-        last, given = None, 0
-        if state.exists:
-            held = json.loads(state.get[0])
-            t.live, t.missed, last, given = [[tuple(q) for q in x] for x in held["live"]], held["missed"], held["last"], held["given"]
-        rows = pd.concat(list(parts)).sort_values(["frame_idx", "particle_id"])
-        none = {n: np.zeros(0) for n in particles.FIELDS}
-        for frame, own in rows.groupby("frame_idx"):
-            for k in range(last + 1 if last is not None else frame, frame):
-                t.add(int(k), none)
-            t.add(int(frame), {n: own[n].to_numpy(float) for n in particles.FIELDS})
-            last = int(frame)
-        out = [x for x in t.done if len(x) >= min_track_length]
-        state.update((json.dumps({"live": t.live, "missed": t.missed, "last": last, "given": given + len(out)}),))
-        flat = [(key[0], given + k, q[0], q[1], q[2]) for k, x in enumerate(out, 1) for q in x]
-        yield pd.DataFrame(flat, columns=["recording", "track_id", "frame", "x", "y"])
-
-    return found.groupBy(recording).applyInPandasWithState(step, "recording string, track_id long, frame long, x double, y double", "held string", "append", GroupStateTimeout.NoTimeout)
-
-
 def live_ensemble(sums: DataFrame) -> DataFrame:
     """Running sums of windows' planes (job, plane array): state holds one plane a window; every update gives the new sum."""
 

@@ -266,6 +266,82 @@ def test_live_tracks_and_ensemble(spark, tmp_path):
     assert {r.job: (r.plane, r.n) for r in spark.sql("SELECT * FROM live_planes").collect()} == {1: ([3.0, 6.0], 3), 2: ([6.0, 6.0], 3)}
 
 
+def test_live_tracks_equal_those_of_the_recording(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for rec in ("r", "s"):
+        for k in range(1, 25):
+            for i in range(6):
+                if rng.random() < 0.9 and not (rec == "s" and 10 <= k <= 13):
+                    rows.append((rec, k, i + 1, 10.0 + 12 * i + 0.8 * k + rng.normal(0, 0.05), 20.0 + 3 * (i % 2) * k / 10, 1.0, 3.0))
+    kind = "recording string, frame_idx long, particle_id int, x double, y double, intensity double, diameter double"
+    found = spark.createDataFrame(rows, kind)
+    p = PTVParameters(search_radius=2, uod_enable=False)
+    want = {tuple((q.frame, q.x, q.y) for q in r.points) for r in ptv.track_particles(found, p, max_gap=1).collect()}
+    for n, (lo, hi) in enumerate(((1, 3), (4, 4), (5, 15), (16, 24))):  # a batch of the stream each
+        found.filter(F.col("frame_idx").between(lo, hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = streaming.live_tracks(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), p, max_gap=1)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        if n == 0:
+            assert spark.read.parquet(str(tmp_path / "out")).count() > 0  # points come before their tracks end
+    by = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("frame").collect():
+        by.setdefault((r.recording, r.track_id), []).append((r.frame, r.x, r.y))
+    assert {tuple(v) for v in by.values()} == want and len(by) == len(want) > 8
+
+
+def test_state_of_a_track_does_not_grow(spark, tmp_path):
+    kind = "recording string, frame_idx long, particle_id int, x double, y double, intensity double, diameter double"
+    sizes = []
+    for lo, hi in ((1, 5), (6, 400)):
+        spark.createDataFrame([("r", k, 1, 10.0 + 0.5 * k, 10.0, 1.0, 3.0) for k in range(lo, hi + 1)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = streaming.live_tracks(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), PTVParameters(search_radius=2, uod_enable=False))
+        q = out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        state = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("stateVarName", "heads").option("flattenCollectionTypes", "true").load().selectExpr("length(to_json(struct(*))) AS n").collect()
+        sizes.append([r.n for r in state])
+    assert len(sizes[0]) == len(sizes[1]) == 1 and sizes[1][0] <= sizes[0][0] + 16, sizes  # a digit more here and there
+
+
+def test_live_table(spark, tmp_path):
+    from swirlframe.streaming import LiveTable
+
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    t = LiveTable(spark, str(tmp_path / "t"), "k int, v string", ["k"], buckets=8)
+    assert t.read().collect() == [] and t.versions() == []
+    assert t.upsert(make([(i, "a") for i in range(40)]), 0) and t.upsert(make([(3, "b"), (100, "b")]), 1)
+    see = lambda version=None: {r.k: r.v for r in t.read(version).collect()}
+    first = dict.fromkeys(range(40), "a")
+    assert see(0) == first and see() == first | {3: "b", 100: "b"}
+    assert t.upsert(make([(5, "never")]), 1) is False and see() == first | {3: "b", 100: "b"} and t.versions() == [0, 1]
+    written_ = sorted(p.name for p in (tmp_path / "t/data/batch-000000000001").glob("b=*"))
+    assert 1 <= len(written_) <= 2  # changed buckets only
+    with pytest.raises(Exception):
+        t.upsert(make([(7, "half")]), 2, merge=lambda old, new: new.withColumn("v", F.raise_error(F.lit("stop")).cast("string")))
+    assert see() == first | {3: "b", 100: "b"} and t.versions() == [0, 1]
+    held = t.read()  # a reader that opened a version goes on with it
+    assert t.upsert(make([(7, "c")]), 2) and {r.k: r.v for r in held.collect()} == first | {3: "b", 100: "b"}
+    assert t.upsert(make([]), 3) and see(3) == see(2)
+    t.vacuum(keep=1)
+    assert t.versions() == [3] and see() == first | {3: "b", 100: "b", 7: "c"}
+    with pytest.raises(ValueError):
+        t.read(0)
+
+
+def test_ensembles_grow_in_a_live_table(spark, tmp_path):
+    table = streaming.live_ensemble_table(spark, str(tmp_path / "t"), buckets=4)
+    schema = "job int, plane array<double>"
+    for n, jobs in enumerate(((1, 2, 2), (2, 3), (1,))):
+        spark.createDataFrame([(j, [1.0 * j, float(n)]) for j in jobs], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = streaming.grow(table, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "ck"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+    see = lambda version: {r.job: (r.plane, r.n) for r in table.read(version).collect()}
+    last = {1: ([2.0, 2.0], 2), 2: ([6.0, 1.0], 3), 3: ([3.0, 1.0], 1)}
+    assert len(table.versions()) == 3 and see(None) == last and see(table.versions()[0]) == {1: ([1.0, 0.0], 1), 2: ([4.0, 0.0], 2)}
+
+
 def test_tracker_state_round_trips():
     t = particles.Tracker(PTVParameters(uod_enable=False), 0)
     t.add(1, {"x": np.array([5.0]), "y": np.array([5.0]), "intensity": np.ones(1), "diameter": np.array([3.0])})
