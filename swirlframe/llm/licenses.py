@@ -11,7 +11,8 @@ The base is kept apart: places where a fixed phrase's words stand one after the
 
 Templates become literals of the plan: they are taken in groups of TEMPLATES, each a pass over documents' words.
 Defined results: null and empty texts have no words and score 0; repeated rows get a row each; empty tables give no
-rows (documents) or base results only (templates).
+rows (documents) or base results only (templates). Ids are integers (others raise Spark's cast error); a text may be of any length; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ per-task counters plus offsets, so no length's pieces ever meet in one task. The
 task) are broadcast only if they are counted to be few, else joined.
 
 Defined results: a null or empty text has just the end id; every piece is placed exactly once; an empty table
-gives no pieces; repeated rows are packed as often as they occur.
+gives no pieces; repeated rows are packed as often as they occur. Ids are integers (others raise Spark's cast error); a text may be of any
+length, and one longer than a sequence is cut into several pieces; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

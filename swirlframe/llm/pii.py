@@ -6,7 +6,8 @@ equal pseudonym in every document, different values get different ones, and the
 
 - numbers: two parts of fixed ranges, alternately added a keyed digest of the other part modulo their range. Cards keep
   their first digit and get a new check digit; phones keep a country code; SSN parts stay in valid ranges.
-- dates from 1900 to 2099: the day's number, as 17 x 4297 days.
+- dates from 1900 to 2099: the day's number, as 17 x 4297 days. Of dates with slashes those that can be are month first;
+  others are day first, and are permuted among such days (after the 12th), so no two dates get one pseudonym.
 - e-mail addresses (without case) and IBAN accounts: the letters and digits of each half are shifted within their class.
 
 The key is a parameter; without one it is read from the session (KEY_CONF), and only a session that has none gets the
@@ -19,6 +20,8 @@ ids are not looked at.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,7 +161,10 @@ def _iban(m: Column, key: str) -> Column:
     whole = F.transform(F.array(fresh), lambda a: F.concat(land, F.lpad((98 - _mod97(F.concat(a, land, F.lit("00")))).cast("string"), 2, "0"), a))[0]
     gaps = F.split(m, "[0-9A-Z]", -1)
     put = F.transform(F.array(whole), lambda w: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substring(w, i + 1, F.lit(1)))), ""))[0]
-    right = F.length(flat).between(15, 34) & (_mod97(F.concat(account, F.substring(flat, 1, 4))) == 1)
+    fits = F.lit(True)  # a country of the list has its own length
+    for n, countries in IBAN_LENGTHS.items():
+        fits = F.when(land.isin(countries.split(" ")), F.length(flat) == n).otherwise(fits)
+    right = F.length(flat).between(15, 34) & fits & (_mod97(F.concat(account, F.substring(flat, 1, 4))) == 1)
     return F.when(right, put)
 
 
@@ -184,12 +190,19 @@ def _day(form: str):
     return lambda p: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (p["a"] * 4297 + p["b"]).cast("int")), form)
 
 
+def _late(p: Column) -> Column:
+    """Whether a day (a, b) is after the 12th of its month."""
+    return F.dayofmonth(F.date_add(F.lit("1900-01-01").cast("date"), (p["a"] * 4297 + p["b"]).cast("int"))) > 12
+
+
 def _date(m: Column, key: str) -> Column:
     out = F.lit(None).cast("string")
-    for form, like in (("yyyy-MM-dd", "^[0-9]{4}-"), ("yyyy/MM/dd", "^[0-9]{4}/"), ("MM/dd/yyyy", "^[0-9]{2}/"), ("dd.MM.yyyy", "^[0-9]{2}[.]")):
+    for form, like in (("yyyy-MM-dd", "^[0-9]{4}-"), ("yyyy/MM/dd", "^[0-9]{4}/"), ("MM/dd/yyyy", "^[0-9]{2}/"), ("dd/MM/yyyy", "^(1[3-9]|2[0-9]|3[01])/"), ("dd.MM.yyyy", "^[0-9]{2}[.]")):
         parts = {p: F.substring(m, form.index(p) + 1, len(p)) for p in ("yyyy", "MM", "dd")}
         day = F.datediff(F.try_to_date(F.concat_ws("-", parts["yyyy"], parts["MM"], parts["dd"]), "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
         done = feistel(F.floor(day / 4297), day % 4297, F.lit(17), F.lit(4297), key, "date")
+        if form == "dd/MM/yyyy":  # walk on until the day can't be taken for a month; three in five can't
+            done = F.aggregate(F.array_repeat(F.lit(0), 64), done, lambda p, _: F.when(_late(p), p).otherwise(feistel(p["a"], p["b"], F.lit(17), F.lit(4297), key, "date")))
         told = F.transform(F.array(done), _day(form))[0]
         out = F.when(m.rlike(like), F.when(day.between(0, 73048), told)).otherwise(out)
     return out
@@ -216,6 +229,8 @@ _MADE = {"email": (EMAIL, _email), "iban": (IBAN, _iban), "card": (CARD, _card),
 def pseudonyms(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with the text's values replaced, and ``pii``: array of (kind, pseudonym) in order of the text."""
     key = key or docs.sparkSession.conf.get(KEY_CONF, DEMO_KEY)
+    if key == DEMO_KEY:
+        warnings.warn(f"pseudonyms under the public demonstration key can be undone; set {KEY_CONF}", stacklevel=2)
     docs = making_room(docs, "pii")
     body, names = F.col(f"`{text}`"), docs.columns
     found, told = unused(docs, "found", "told")

@@ -15,7 +15,8 @@ Groups by a lower similarity, beyond any distance that a covering can afford, ar
 shingle sets themselves; see ``similar_groups``.
 
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other; a text with fewer
-words than a shingle is one shingle; repeated rows each get a row; an empty table gives an empty result.
+words than a shingle is one shingle; repeated rows each get a row; an empty table gives an empty result. Ids are integers (others
+raise Spark's cast error); a text may be of any length and is read whole, one at a time; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -269,6 +270,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.filter("a <> b").distinct(), "small")
 
 
+#: Documents of one fingerprint from which they are dealt out, such fingerprints at most, and parts of each.
+HOT, COMMON, SALTS = 64, 10_000, 64
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id that links of ``distance`` bits or fewer reach."""
     prints = written(fingerprints(docs, shingle, 1, text, doc_id), "fingerprints")
@@ -278,9 +283,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     own = distinct.select(F.col("w0").alias("root"), F.col("first").alias("of_root"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("low")).join(own, "root").select("root", F.least("low", "of_root").alias("low"))
     others = roots.join(lowest, "root").select(F.col("node").alias("w0"), "low").unionAll(lowest.select(F.col("root").alias("w0"), "low"))
-    # Written, so that both sides of the last join are plain exchanges: a fingerprint that very many documents share is split.
-    classes = written(distinct.join(others, "w0", "left").select("w0", F.coalesce("low", "first").alias("component_id")), "classes")
-    return prints.join(classes, "w0").select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
+    counted = prints.groupBy("w0").agg(F.count("*").alias("n"))
+    classes = written(distinct.join(others, "w0", "left").join(counted, "w0").select("w0", F.coalesce("low", "first").alias("component_id"), "n"), "classes")
+    # A fingerprint of very many documents is dealt to SALTS parts. There are at most COMMON of them, as each has over a share 1 / COMMON of all rows.
+    hot = F.col("n") > max(HOT, prints.count() // COMMON)
+    common = F.broadcast(classes.filter(hot).select("w0", F.lit(True).alias("common")))
+    rows = prints.join(common, "w0", "left").withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = classes.select("w0", "component_id", F.explode(salts.cast("array<bigint>")).alias("salt"))
+    return rows.join(spread, ["w0", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Counters that order shingles by frequency (a fixed size: 8 MB broadcast), and what one task merges of them.

@@ -6,7 +6,8 @@
    document's frequencies with them at once. All others are shuffled as (row, word, frequency) and joined, so
    counts are exact however many pre-tokens there are. A word of the tail is rare by construction: no hot key.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows stay; an empty table stays empty.
+Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows stay; an empty table stays empty. Ids are integers (others
+raise Spark's cast error); a text may be of any length and is cut whole, one at a time; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

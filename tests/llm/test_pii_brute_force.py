@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from swirlframe.llm import pii
 
 KEY = "a key"
@@ -96,7 +98,7 @@ def ssn(m):
 
 
 def date(m):
-    form = "%Y-%m-%d" if m[4] == "-" else "%Y/%m/%d" if m[4] == "/" else "%m/%d/%Y" if m[2] == "/" else "%d.%m.%Y"
+    form = "%Y-%m-%d" if m[4] == "-" else "%Y/%m/%d" if m[4] == "/" else "%d.%m.%Y" if m[2] == "." else "%m/%d/%Y" if m[:2] < "13" else "%d/%m/%Y"
     try:
         day = (datetime.datetime.strptime(m, form).date() - datetime.date(1900, 1, 1)).days
     except ValueError:
@@ -104,6 +106,8 @@ def date(m):
     if not 0 <= day <= 73048:
         return None
     a, b = feistel(day // 4297, day % 4297, 17, 4297, "date")
+    while form == "%d/%m/%Y" and (datetime.date(1900, 1, 1) + datetime.timedelta(a * 4297 + b)).day < 13:
+        a, b = feistel(a, b, 17, 4297, "date")
     return (datetime.date(1900, 1, 1) + datetime.timedelta(a * 4297 + b)).strftime(form)
 
 
@@ -183,3 +187,35 @@ def test_the_key_is_the_sessions(spark):
     finally:
         spark.conf.unset(pii.KEY_CONF)
     assert pii.pseudonyms(docs).first().text != brute("born 1984-02-29")[0]
+
+
+def test_day_first_dates_stay_apart_from_month_first_ones(spark):
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(i) for i in range(0, 900, 3)]
+    texts = [d.strftime("%d/%m/%Y") for d in days if d.day > 12] + [d.strftime("%m/%d/%Y") for d in days] + ["25/12/1990", "31/02/1990", "99/99/1990", "12/13/1990"]
+    texts = sorted(set(texts))
+    docs = spark.createDataFrame([(i, f"on {t}.") for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonyms(docs, KEY).collect()}
+    made = [got[i][3:-1] for i in range(len(texts))]
+    assert len(set(made)) == len(texts)
+    assert all((m != t) == (date(t) is not None) or date(t) == t for m, t in zip(made, texts, strict=True))
+    assert made == [date(t) or t for t in texts]
+    assert made[texts.index("25/12/1990")] != "25/12/1990" and made[texts.index("31/02/1990")] == "31/02/1990"
+
+
+def test_an_iban_has_its_countrys_length(spark):
+    def checked(land, account):
+        for n in range(2, 99):
+            flat = f"{land}{n:02d}{account}"
+            if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1:
+                return flat
+        raise AssertionError
+
+    right, wrong, free = checked("DE", "370400440532013000"), checked("DE", "3704004405320130"), checked("QQ", "3704004405320130")
+    docs = spark.createDataFrame(list(enumerate((right, wrong, free))), "doc_id int, text string")
+    got = [r.text for r in pii.pseudonyms(docs, KEY).orderBy("doc_id").collect()]
+    assert got[0] != right and got[1] == wrong and got[2] != free
+
+
+def test_the_demonstration_key_warns(spark):
+    with pytest.warns(UserWarning, match="demonstration"):
+        pii.pseudonyms(spark.createDataFrame([(1, "x")], "doc_id int, text string"))

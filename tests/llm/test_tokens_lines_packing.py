@@ -130,3 +130,19 @@ def test_merges_alone_are_the_library():
     assert len(direct) > 1000
     for w, tokens in direct:
         assert [t.id for t in tokens] == lib.encode(w, add_special_tokens=False).ids, w
+
+
+def test_long_texts_with_ids_as_strings_beside_other_columns(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"word{rng.integers(500)}" for _ in range(20_000)) + "\n" + "z" * 60_000
+    assert len(long) > 150_000
+    rows = [(str(i), t) for i, t in enumerate([long, "short\nshared line", None, "shared line"])]
+    names = ("n_tokens", "n_bytes", "head", "piece", "start", "length", "part", "rank", "n_dropped", "sequence_id", "offset")
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id string, text string, " + ", ".join(f"{n} int" for n in names))
+    lib = tokenizer(default_path())
+    n = {int(d): len(lib.encode(t or "", add_special_tokens=False).ids) for d, t in rows}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()} == n
+    pieces = packing.pack_documents(docs).collect()
+    assert {d: sum(r.length for r in pieces if r.doc_id == d) for d in n} == {d: k + 1 for d, k in n.items()}
+    digest = {int(r.doc_id): (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.kept_digest(line_dedup.dedup_lines(docs, 2, keep="none")).collect()}
+    assert digest[0] == (2, 0, hashlib.sha256(long.encode()).hexdigest()) and digest[1][:2] == (2, 1) and digest[3][:2] == (1, 1)

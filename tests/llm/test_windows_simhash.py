@@ -262,3 +262,14 @@ def test_one_row_of_a_repeated_id_stays(spark):
     got = simhash.first_of_groups(docs, simhash.similar_groups(docs))
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 0, 1, 3]
+
+
+def test_fingerprints_of_long_texts_and_of_a_very_common_one(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(400)}" for _ in range(30_000))
+    assert len(long) > 120_000
+    texts = {i: "the very same text of many documents here" for i in range(100, 500)} | {1: long, 2: long + " more", 3: "something else altogether in this one"}
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in texts.items()], "doc_id long, text string, salt int, common string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert len(got) == len(texts) and {got[i][1] for i in range(100, 500)} == {100} and got[3][1] == 3
+    assert got[1][1] == got[2][1] == 1 and len({got[i][0] for i in range(100, 500)}) == 1
