@@ -5,6 +5,7 @@ Axes: row, column; all positions here are 0-based. A plane's zero lag is at ``si
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,15 +23,26 @@ def apodization(size: tuple[int, int], kind: str) -> np.ndarray:
     return r[:, None] * c[None, :]
 
 
+#: Correlators by name: functions of (a, b, plan) that give the planes (k x plan.fft, no lag in the middle) of centred, weighted windows a in b.
+CORRELATORS: dict[str, Callable] = {}
+
+
+def register_correlator(name: str, correlator: Callable) -> None:
+    """Makes ``name`` a ``correlation_method``. Parameters take up the function itself, so it goes to the executors with the plan."""
+    if name in ("cross", "phase") or not callable(correlator):
+        raise ValueError("a correlator of one's own is a function and has a name of its own")
+    CORRELATORS[name] = correlator
+
+
 @dataclass(frozen=True)
 class Plan:
-    """What planes depend on besides pixels."""
+    """What planes depend on besides pixels. ``method`` is 'cross', 'phase' or a correlator."""
 
     window: tuple[int, int]
     search: tuple[int, int]
     padding: bool = False
     apodization: str = "none"
-    method: str = "cross"
+    method: str | Callable = "cross"
 
     @staticmethod
     def of(p) -> Plan:
@@ -79,6 +91,11 @@ def planes(a: np.ndarray, b: np.ndarray, plan: Plan, mask_a: np.ndarray | None =
         b = b * weights.astype(dtype)
     else:
         a = np.pad(a, ((0, 0), (mr, mr), (mc, mc)))
+    if callable(plan.method):
+        out = np.array(plan.method(a, b, plan), dtype)
+        if out.shape != (len(a), *plan.fft):
+            raise ValueError(f"a correlator's planes are {plan.fft[0]} x {plan.fft[1]}")
+        return _near(out * gain.astype(dtype) if gain is not None else out, plan)
     # Real windows and a symmetric filter: half the spectrum is enough, and the plane is the size of a real inverse.
     s = np.conj(np.fft.rfft2(a, plan.fft)) * np.fft.rfft2(b, plan.fft)
     if filter_ is not None:
@@ -86,6 +103,12 @@ def planes(a: np.ndarray, b: np.ndarray, plan: Plan, mask_a: np.ndarray | None =
     out = np.fft.fftshift(np.abs(np.fft.irfft2(s, plan.fft)), axes=(-2, -1)).astype(dtype, copy=False)
     if gain is not None:
         out *= gain.astype(dtype)
+    return _near(out, plan)
+
+
+def _near(out: np.ndarray, plan: Plan) -> np.ndarray:
+    """Planes with lags beyond the margin of a search area set to zero."""
+    mr, mc = plan.margin
     if mr or mc:
         keep = np.zeros(plan.fft, bool)
         cr, cc = (n // 2 for n in plan.fft)

@@ -113,7 +113,12 @@ class PIVParameters:
         _need(min(self.window_size) >= 4, "a window has 4 pixels or more a side")
         _need(all(s >= w and (s - w) % 2 == 0 for s, w in zip(self.search_area_size, self.window_size, strict=True)), "a search area is the window or larger by an even number")
         _need(all(0 <= o < w for o, w in zip(self.overlap, self.window_size, strict=True)), "an overlap is below the window's size")
-        for name, among in (("correlation_method", ("cross", "phase")), ("apodization", ("none", "gauss")), ("subpixel_method", ("gauss3", "gauss9", "gauss2d", "none")), ("peak_finder", ("regionalmax", "exclusion"))):
+        if not callable(self.correlation_method) and self.correlation_method not in ("cross", "phase"):
+            from .kernels.correlation import CORRELATORS
+
+            _need(self.correlation_method in CORRELATORS, "correlation_method is 'cross', 'phase', a registered correlator or a function")
+            put("correlation_method", CORRELATORS[self.correlation_method])
+        for name, among in (("apodization", ("none", "gauss")), ("subpixel_method", ("gauss3", "gauss9", "gauss2d", "none")), ("peak_finder", ("regionalmax", "exclusion"))):
             _need(getattr(self, name) in among, f"{name} is one of {', '.join(among)}")
         _need(self.n_peaks >= 1 and self.uod_threshold > 0 and self.uod_neighborhood >= 1 and self.min_peak_ratio >= 0 and self.max_iterations >= 1 and self.convergence_tol >= 0, "a limit is out of range")
 

@@ -88,20 +88,24 @@ def either_mask(mask) -> np.ndarray | None:
 PEAKS = "pair_id long, gi int, gj int, rank int, lag_v int, lag_u int, value double, du double, dv double, peak_ratio double, correlation_moment double"
 
 
-def correlation_peaks(pairs: DataFrame, frames: DataFrame | None = None, p: PIVParameters | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def correlation_peaks(pairs: DataFrame, frames: DataFrame | None = None, p: PIVParameters | None = None, keys: tuple[str, ...] = (), mask_threshold: float = 0.5) -> DataFrame:
     """PEAKS: the ``p.n_peaks`` best peaks of every window's plane of every pair, with their whole lags, the first refined as
-    ``p`` says, others by three points; ratio and moment are the window's. One pass, without a predictor."""
+    ``p`` says, others by three points; ratio and moment are the window's. One pass, without a predictor. A pair's column ``mask``
+    (array<boolean>) leaves its pixels out, and windows with a share ``mask_threshold`` of such pixels have no peaks."""
     p = p or PIVParameters()
-    rows = (pairs if frames is None else with_pixels(pairs, frames, keys=keys)).select(F.col("pair_id").cast("long"), "n_rows", "n_cols", "pixels_a", "pixels_b")
+    rows = pairs if frames is None else with_pixels(pairs, frames, keys=keys)
+    own = ["mask"] if "mask" in rows.columns else []
+    rows = rows.select(F.col("pair_id").cast("long"), "n_rows", "n_cols", "pixels_a", "pixels_b", *own)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for r in range(part.num_rows):
                 pair, nr, nc = (part.column(c)[r].as_py() for c in range(3))
                 a, b = (image(part.column(c)[r].values.to_numpy(zero_copy_only=False), nr, nc) for c in (3, 4))
-                g = piv.grid(a.shape, p)
+                m = part.column(5)[r].values.to_numpy(zero_copy_only=False).reshape(nr, nc).astype(bool) if own and part.column(5)[r].is_valid else None
+                g = piv.grid(a.shape, p, m, mask_threshold)
                 for at in range(0, len(g.rows), BATCH):
-                    yield from _peak_rows(pair, g.gi[at : at + BATCH], g.gj[at : at + BATCH], piv.job_planes(g, a, b, p, None, slice(at, at + BATCH)), p)
+                    yield from _peak_rows(pair, g.gi[at : at + BATCH], g.gj[at : at + BATCH], piv.job_planes(g, a, b, p, m, slice(at, at + BATCH)), p)
 
     return rows.mapInArrow(run, PEAKS)
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import particles, piv
+from ..operators.fields import with_scale
 from ..operators.recordings import with_pixels
-from ..params import PTVParameters, effort_schedule
+from ..params import ROI, PhysicalScale, PTVParameters, effort_schedule
 from ..schema import MATCHES, PARTICLES, TRACKS
 
 
@@ -35,27 +36,80 @@ def detect_particles(frames: DataFrame, params: PTVParameters | None = None, mas
     return rows.mapInArrow(run, kinds + PARTICLES)
 
 
-def run_ptv_sequence(pairs: DataFrame, frames: DataFrame | None = None, params: PTVParameters | None = None, predictor: str | None = "piv", passes=None, mask: np.ndarray | None = None) -> DataFrame:
-    """MATCHES of every pair; ``predictor`` 'piv' takes a window correlation of the same pair, None no prediction."""
+PREDICTOR = "array<struct<gi:int,gj:int,x:double,y:double,u:double,v:double,masked:boolean>>"
+
+
+def with_predictors(pairs: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``pairs`` with predictor: the nodes of the field of the same pair (one grid each, as VECTORS has them); null without one."""
+    masked = F.col("masked") if "masked" in fields.columns else F.lit(False)
+    node = F.struct(*[F.col(c).cast("int" if c in ("gi", "gj") else "double").alias(c) for c in ("gi", "gj", "x", "y", "u", "v")], masked.alias("masked"))
+    own = [*keys, "pair_id"]
+    return pairs.join(fields.groupBy(*own).agg(F.collect_list(node).alias("predictor")), own, "left")
+
+
+def _grid_of(nodes: pa.Array, smoothing: bool) -> tuple[np.ndarray, ...] | None:
+    """(x, y, u, v) of a pair's nodes, masked ones filled and all smoothed as between passes, or as they are."""
+    if not len(nodes):
+        return None
+    gi, gj, x, y, u, v, masked = (nodes.field(k).to_numpy(zero_copy_only=False) for k in range(7))
+    ny, nx = int(gi.max()), int(gj.max())
+    if len(nodes) != nx * ny:
+        raise ValueError("a predictor has every node of its grid once")
+    put = lambda values, kind=float: _placed(values, gi, gj, (ny, nx), kind)
+    gx, gy, fu, fv, bad = put(x)[0], put(y)[:, 0], put(u), put(v), put(masked, bool)
+    none = np.full((ny, nx), np.nan)
+    f = piv.Field(gx, gy, fu, fv, none, none, none, none, np.zeros((ny, nx), bool), bad)
+    return piv.predictor(f, smoothing)
+
+
+def _placed(values: np.ndarray, gi: np.ndarray, gj: np.ndarray, shape: tuple[int, int], kind: type) -> np.ndarray:
+    out = np.zeros(shape, kind)
+    out[gi - 1, gj - 1] = values
+    return out
+
+
+def run_ptv_sequence(pairs: DataFrame, frames: DataFrame | None = None, params: PTVParameters | None = None, predictor: str | DataFrame | tuple | None = "piv", passes=None, mask: np.ndarray | None = None, roi: ROI | None = None, scale: PhysicalScale | None = None, smoothing: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """MATCHES of every pair, with a ``scale`` attached if one is given.
+
+    ``predictor`` 'piv' takes a window correlation of the same pair, None no prediction, a DataFrame the field of the same pair (such as
+    ``run_piv_sequence`` gives; smoothed as between passes unless told not to), and (x, y, u, v) one grid for all. Between nodes it is
+    bilinear, beyond them that of the border. ``roi`` cuts images and mask; positions are of the whole image.
+    """
     p = params or PTVParameters()
-    rows = (pairs if frames is None else with_pixels(pairs, frames)).select(F.col("pair_id").cast("long"), "n_rows", "n_cols", "pixels_a", "pixels_b")
+    if not isinstance(predictor, (DataFrame, tuple)) and predictor not in (None, "piv"):
+        raise ValueError("a predictor is 'piv', None, a DataFrame of fields or (x, y, u, v)")
+    table = isinstance(predictor, DataFrame)
+    rows = pairs if frames is None else with_pixels(pairs, frames, keys=keys)
+    rows = with_predictors(rows, predictor, keys) if table else rows
+    rows = rows.select(F.col("pair_id").cast("long"), "n_rows", "n_cols", "pixels_a", "pixels_b", *([F.col("predictor").cast(PREDICTOR)] if table else []))
     names = [c.split()[0] for c in MATCHES.split(", ")]
+    given = None if not isinstance(predictor, tuple) else tuple(np.asarray(c, float) for c in predictor)
+    by_piv = given is None and not table and predictor == "piv"
+    top, left = (roi.r0 - 1, roi.c0 - 1) if roi else (0, 0)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for r in range(part.num_rows):
                 nr, nc = part.column(1)[r].as_py(), part.column(2)[r].as_py()
                 a, b = (part.column(c)[r].values.to_numpy(zero_copy_only=False).astype(float).reshape(nr, nc) for c in (3, 4))
-                pred = None
-                if predictor == "piv":
-                    f = piv.run(a, b, passes or effort_schedule("medium", image_size=(nr, nc)), mask)
-                    pred = piv.predictor(f)
-                m = particles.track_pair(particles.detect(a, p, mask), particles.detect(b, p, mask), p, pred)
-                k = len(m["x"])
-                cols = [pa.array(np.full(k, part.column(0)[r].as_py(), np.int64))] + [pa.array(m[n].astype(np.int32) if n.startswith("index") else m[n]) for n in names[1:]]
+                m = mask
+                if roi is not None:
+                    cut = slice(roi.r0 - 1, roi.r1), slice(roi.c0 - 1, roi.c1)
+                    a, b, m = a[cut], b[cut], mask if mask is None or mask.shape == a[cut].shape else mask[cut]
+                pred = given
+                if table:
+                    pred = _grid_of(part.column(5)[r].values, smoothing) if part.column(5)[r].is_valid else None
+                elif by_piv:
+                    pred = piv.predictor(piv.run(a, b, passes or effort_schedule("medium", image_size=a.shape), m))
+                if pred is not None and not by_piv:
+                    pred = pred[0] - left, pred[1] - top, *pred[2:]
+                found = particles.track_pair(particles.detect(a, p, m), particles.detect(b, p, m), p, pred)
+                found["x"], found["y"] = found["x"] + left, found["y"] + top
+                k = len(found["x"])
+                cols = [pa.array(np.full(k, part.column(0)[r].as_py(), np.int64))] + [pa.array(found[n].astype(np.int32) if n.startswith("index") else found[n]) for n in names[1:]]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, MATCHES)
+    return with_scale(rows.mapInArrow(run, MATCHES), scale) if scale is not None else rows.mapInArrow(run, MATCHES)
 
 
 def track_particles(found: DataFrame, params: PTVParameters | None = None, min_track_length: int = 3, max_gap: int = 0, initial=None, shape: tuple[int, int] | None = None, recording: str = "recording") -> DataFrame:

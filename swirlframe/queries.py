@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as C
-from .kernels import geometry, synthetic
+from .kernels import correlation, geometry, synthetic
 from .operators import calibration, fields, neighbors, recordings, timing, tracks
 from .params import PhysicalScale, PIVParameters, PTVParameters, multipass_parameters
 from .plans import images as prepared
@@ -155,10 +155,19 @@ def otsu_threshold(spark, sf_dir):
     return rounded(recordings.otsu_threshold(recordings.pixel_rows(tiles(spark, sf_dir), ("frame_idx",)), "p", ("frame_idx",)))
 
 
-@_query("SELECT gi::INT AS gi, gj::INT AS gj, row_start::INT AS row_start, col_start::INT AS col_start, (col_start + 15.5)::DOUBLE AS x, (row_start + 15.5)::DOUBLE AS y FROM (SELECT unnest(generate_series(1, 225, 16)) AS row_start, unnest(generate_series(1, 15)) AS gi) CROSS JOIN (SELECT unnest(generate_series(1, 161, 16)) AS col_start, unnest(generate_series(1, 11)) AS gj)")
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 4 x 4 tiles: frame_idx from 1, 32 x 32 pixels; zero where there is no tile."""
+    t = tiles(spark, sf_dir).select(F.floor((F.col("frame_idx") - 1) / 16).alias("m"), ((F.col("frame_idx") - 1) % 16).cast("int").alias("at"), "pixels")
+    held = t.groupBy("m").agg(F.map_from_entries(F.collect_list(F.struct("at", "pixels"))).alias("tiles"))  # 16 at most
+    div = lambda x, n: F.floor(x / n).cast("int")
+    pixel = lambda k: F.coalesce(F.get(F.try_element_at("tiles", div(k, 256) * 4 + div(k % 32, 8)), div(k, 32) % 8 * 8 + k % 8), F.lit(0.0))
+    return held.select((F.col("m") + 1).alias("frame_idx"), F.lit(32).alias("n_rows"), F.lit(32).alias("n_cols"), F.transform(F.sequence(F.lit(0), F.lit(1023)), pixel).alias("pixels"))
+
+
+@_query("SELECT frame_idx, gi::INT AS gi, gj::INT AS gj, row_start::INT AS row_start, col_start::INT AS col_start, (col_start + 5.5)::DOUBLE AS x, (row_start + 3.5)::DOUBLE AS y FROM (SELECT DISTINCT vec_id // 16 + 1 AS frame_idx FROM embeddings WHERE len(embedding) = 64) CROSS JOIN (SELECT unnest(generate_series(1, 25, 4)) AS row_start, unnest(generate_series(1, 7)) AS gi) CROSS JOIN (SELECT unnest(generate_series(1, 21, 5)) AS col_start, unnest(generate_series(1, 5)) AS gj)")
 def window_grid(spark, sf_dir):
-    one = spark.range(1).select(F.lit(256).alias("n_rows"), F.lit(192).alias("n_cols"))
-    return recordings.windows(one, (32, 32), (16, 16)).select("gi", "gj", "row_start", "col_start", "x", "y")
+    """Windows of every mosaic."""
+    return recordings.windows(mosaics(spark, sf_dir), (8, 12), (4, 7)).select("frame_idx", "gi", "gj", "row_start", "col_start", "x", "y")
 
 
 # --- correlation of tiles ---
@@ -281,6 +290,68 @@ def tile_ensemble(spark, sf_dir):
     return _first(piv.ensemble_peaks(pairs, TILE).withColumn("idx_a", F.col("pair_id").cast("int")), "du", "dv", "peak_ratio", "correlation_moment")
 
 
+# Windows of 4 x 4 pixels, half overlapping; a window's number goes with its pair's.
+_WINDOWS = f"""
+WITH {TILES}, g AS (SELECT unnest(generate_series(0, 2)) AS k), l AS (SELECT unnest(generate_series(0, 3)) AS i),
+dark AS (SELECT a.frame_idx, a.r, a.c, a.p > 0.15 OR b.p > 0.15 AS m FROM px a JOIN px b ON a.r = b.r AND a.c = b.c AND b.frame_idx = a.frame_idx + 1 WHERE a.frame_idx % 2 = 1),
+w AS (SELECT px.frame_idx, x.k AS wi, y.k AS wj, px.r - 1 - 2 * x.k AS r, px.c - 1 - 2 * y.k AS c, p, {{masked}} AS m FROM px JOIN g x ON px.r - 1 - 2 * x.k BETWEEN 0 AND 3 JOIN g y ON px.c - 1 - 2 * y.k BETWEEN 0 AND 3 LEFT JOIN dark ON dark.frame_idx = px.frame_idx - 1 + px.frame_idx % 2 AND dark.r = px.r AND dark.c = px.c),
+d AS (SELECT frame_idx, wi, wj, r, c, CASE WHEN m THEN 0 ELSE p - avg(p) FILTER (NOT m) OVER v END AS p, count(*) FILTER (m) OVER v AS dark FROM w WINDOW v AS (PARTITION BY frame_idx, wi, wj)),
+plane AS (SELECT a.frame_idx * 9 + a.wi * 3 + a.wj AS idx_a, (i.i + 2) % 4 AS pr, (j.i + 2) % 4 AS pc, abs(sum(a.p * b.p)) AS s FROM d a CROSS JOIN l i CROSS JOIN l j JOIN d b ON b.frame_idx = a.frame_idx + 1 AND b.wi = a.wi AND b.wj = a.wj AND b.r = (a.r + i.i) % 4 AND b.c = (a.c + j.i) % 4 WHERE a.frame_idx % 2 = 1 AND a.dark < 8 GROUP BY 1, 2, 3)
+"""
+_OF_WINDOW = "idx_a // 9 AS idx_a, CAST(idx_a % 9 // 3 + 1 AS INT) AS gi, CAST(idx_a % 3 + 1 AS INT) AS gj"
+_SMALL = replace(TILE, window_size=(4, 4), search_area_size=(4, 4), overlap=(2, 2), subpixel_method="none")
+
+
+def window_peaks(spark: SparkSession, sf_dir: str, p: PIVParameters, masked: bool = False) -> DataFrame:
+    t = tiles(spark, sf_dir)
+    pairs = recordings.with_pixels(recordings.image_pairs(t).select(F.col("idx_a").alias("pair_id"), "idx_a", "idx_b"), t)
+    if masked:
+        pairs = pairs.withColumn("mask", F.zip_with("pixels_a", "pixels_b", lambda a, b: (a > 0.15) | (b > 0.15)))
+    return piv.correlation_peaks(pairs, p=p).withColumnRenamed("pair_id", "idx_a")
+
+
+@_query(_WINDOWS.format(masked="false") + TOPS + f" SELECT {_OF_WINDOW}, rank::INT AS rank, CAST(pr - 2 AS INT) AS dv, CAST(pc - 2 AS INT) AS du, round(s, 6) + 0.0 AS s FROM ranked WHERE rank <= 2")
+def tile_windows(spark, sf_dir):
+    """The two best peaks of nine overlapping windows a tile."""
+    got = window_peaks(spark, sf_dir, replace(_SMALL, n_peaks=2)).filter("value > 0")
+    return rounded(got.selectExpr("idx_a", "gi", "gj", "rank", *_LAGS, "value AS s"))
+
+
+@_query(_WINDOWS.format(masked="coalesce(dark.m, false)") + TOPS + f" SELECT {_OF_WINDOW}, CAST(pr - 2 AS INT) AS dv, CAST(pc - 2 AS INT) AS du, round(s, 6) + 0.0 AS s FROM ranked WHERE rank = 1 AND s > 1e-9")
+def tile_windows_masked(spark, sf_dir):
+    """Bright pixels of either image are masked: left out of the mean, zero in the plane; windows with half of them so have no vector."""
+    got = window_peaks(spark, sf_dir, _SMALL, True).filter("rank = 1 AND value > 1e-9")
+    return rounded(got.selectExpr("idx_a", "gi", "gj", *_LAGS, "value AS s"))
+
+
+@_query(_WINDOWS.format(masked="false") + TOPS + MOMENT + f" SELECT {_OF_WINDOW.replace('idx_a', 'sub.idx_a').replace('AS sub.idx_a', 'AS idx_a')}, round(moment, 4) + 0.0 AS correlation_moment, round(sub.s / r2.s, 4) + 0.0 AS peak_ratio FROM sub JOIN mom USING (idx_a) LEFT JOIN ranked r2 ON r2.idx_a = sub.idx_a AND r2.rank = 2 AND r2.s > 0")
+def tile_window_quality(spark, sf_dir):
+    """Peak ratio and moment of overlapping windows."""
+    return _first_of(window_peaks(spark, sf_dir, replace(_SMALL, subpixel_method="gauss3")), "correlation_moment", "peak_ratio")
+
+
+def _first_of(peaks: DataFrame, *columns: str) -> DataFrame:
+    return rounded(peaks.filter("rank = 1").select("idx_a", "gi", "gj", *columns), 4)
+
+
+def _unlike(a: np.ndarray, b: np.ndarray, plan) -> np.ndarray:
+    """A correlator of one's own: how little windows differ at each lag, round the edges."""
+    k, n, m = a.shape
+    out = np.empty((k, n, m))
+    for i in range(n):
+        for j in range(m):
+            moved = np.roll(b, (-i, -j), axis=(1, 2))
+            out[:, (i + n // 2) % n, (j + m // 2) % m] = 1 / (1 + ((a - moved) ** 2).sum(axis=(1, 2)))
+    return out
+
+
+@_query(XCORR.replace("abs(sum(a.p * b.p))", "1 / (1 + sum((a.p - b.p) ** 2))") + TOPS + SUB + " SELECT sub.idx_a, round(sub.pc - 4 + dx, 4) + 0.0 AS du, round(sub.pr - 4 + dy, 4) + 0.0 AS dv, round(sub.s / r2.s, 4) + 0.0 AS peak_ratio FROM sub LEFT JOIN ranked r2 ON r2.idx_a = sub.idx_a AND r2.rank = 2 AND r2.s > 0")
+def tile_own_correlator(spark, sf_dir):
+    """Windows matched by least squares: a registered correlator, which goes along with the plan."""
+    correlation.register_correlator("least_squares", _unlike)
+    return _first(tile_peaks(spark, sf_dir, replace(TILE, correlation_method="least_squares")), "du", "dv", "peak_ratio")
+
+
 _SPOTS = f"""
 WITH {TILES}, g AS (SELECT *, median(p) OVER f AS ground FROM px WINDOW f AS (PARTITION BY frame_idx)), h AS (SELECT *, 1.4826 * median(abs(p - ground)) OVER (PARTITION BY frame_idx) AS spread FROM g),
 j AS (SELECT frame_idx, r, c, p, p - ground AS j, ground + spread AS least FROM h),
@@ -300,6 +371,23 @@ def tile_particles(spark, sf_dir):
     return rounded(ptv.detect_particles(tiles(spark, sf_dir), p).select("frame_idx", "particle_id", "x", "y", "intensity", "diameter"), 5)
 
 
+_MATCHED = ", spots AS (SELECT frame_idx, x, y, row_number() OVER (PARTITION BY frame_idx ORDER BY intensity DESC, c, r)::INT AS id FROM found WHERE diameter IS NULL OR diameter BETWEEN 1 AND 12), near AS (SELECT (a.frame_idx + 1) // 2 AS pair_id, a.id AS index_a, b.id AS index_b, a.x, a.y, b.x - a.x AS u, b.y - a.y AS v, (b.x - a.x - ((a.frame_idx + 1) // 2 % 3 - 1) * 0.5 - 0.3 * (a.x - 1) / 7) ** 2 + (b.y - a.y - (a.frame_idx + 1) // 2 % 2 * 0.2 * (a.y - 1) / 7) ** 2 AS d2 FROM spots a JOIN spots b ON b.frame_idx = a.frame_idx + 1 WHERE a.frame_idx % 2 = 1), best AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY d2, index_a, index_b) AS k FROM near WHERE d2 <= 9)"
+
+
+@_query(_SPOTS + _MATCHED + " SELECT pair_id, index_a, index_b, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(u, 4) + 0.0 AS u, round(v, 4) + 0.0 AS v, round(sqrt(d2), 4) + 0.0 AS match_residual FROM best WHERE k = 1")
+def tile_matches(spark, sf_dir):
+    """The best match of the particles of every pair of tiles, by a field of predictions that comes as a table."""
+    t = tiles(spark, sf_dir)
+    pairs = recordings.image_pairs(t).select(F.col("pair_id").cast("long"), "idx_a", "idx_b")
+    nodes = pairs.select("pair_id", F.explode(F.array(*[F.struct(F.lit(i).alias("gi"), F.lit(j).alias("gj")) for i in (1, 2) for j in (1, 2)])).alias("n")).select("pair_id", "n.gi", "n.gj")
+    at = lambda c: (F.col(c) - 1) * 7.0 + 1
+    fields_ = nodes.select("*", at("gj").alias("x"), at("gi").alias("y"), ((F.col("pair_id") % 3 - 1) * 0.5 + 0.3 * (F.col("gj") - 1)).alias("u"), (F.col("pair_id") % 2 * 0.2 * (F.col("gi") - 1)).alias("v"))
+    p = PTVParameters(threshold_k=1.0, min_separation=0.01, search_radius=3.0, uod_enable=False)
+    got = ptv.run_ptv_sequence(pairs, t, p, fields_, smoothing=False)
+    first = F.min_by(F.struct(*[c for c in got.columns if c not in ("pair_id", "outlier")]), F.struct("match_residual", "index_a", "index_b")).alias("m")
+    return rounded(got.groupBy("pair_id").agg(first).select("pair_id", "m.*"), 4)
+
+
 _BLUR = f"""
 WITH {TILES}, k AS (SELECT o, exp(-(o * o) / 2.0) / sum(exp(-(o * o) / 2.0)) OVER () AS w FROM (SELECT unnest(generate_series(-3, 3)) AS o)),
 rep AS (SELECT a.frame_idx, a.r, a.c, a.p, sum(b.p * x.w * y.w) AS mean, sum(b.p * b.p * x.w * y.w) AS sq FROM px a CROSS JOIN k x CROSS JOIN k y JOIN px b ON b.frame_idx = a.frame_idx AND b.r = least(greatest(a.r + x.o, 1), 8) AND b.c = least(greatest(a.c + y.o, 1), 8) GROUP BY ALL)
@@ -407,7 +495,10 @@ def profile(spark, sf_dir):
     return rounded(fields.extract_profile(gf(spark, sf_dir), [(32.0, 36.0), (44.0, 36.0)], 5).select("frame", "sample", "x", "u"))
 
 
-@_query(None)
+_CONTOUR = "(VALUES (0, 20.0, 20.0, 100.0, 20.0), (1, 100.0, 20.0, 100.0, 100.0), (2, 100.0, 100.0, 20.0, 100.0), (3, 20.0, 100.0, 20.0, 20.0)) v(e, xa, ya, xb, yb)"
+
+
+@_query(f"WITH {GF}, s AS (SELECT e, k, (xa + (xb - xa) * k / 19)::DOUBLE AS x, (ya + (yb - ya) * k / 19)::DOUBLE AS y, (xb - xa)::DOUBLE * CASE WHEN k IN (0, 19) THEN 0.5 ELSE 1 END / 19 AS dx, (yb - ya)::DOUBLE * CASE WHEN k IN (0, 19) THEN 0.5 ELSE 1 END / 19 AS dy FROM {_CONTOUR} CROSS JOIN (SELECT unnest(generate_series(0, 19)) AS k)), c AS (SELECT *, least(floor((x - 16) / 16), 6)::INT AS j, least(floor((y - 16) / 16), 6)::INT AS i FROM s), n AS (SELECT c.e, c.k, c.dx, c.dy, gf.frame, count(gf.u) AS have, sum(gf.u * (CASE WHEN gf.gj = j + 1 THEN 1 - ((c.x - 16) / 16 - j) ELSE (c.x - 16) / 16 - j END) * (CASE WHEN gf.gi = i + 1 THEN 1 - ((c.y - 16) / 16 - i) ELSE (c.y - 16) / 16 - i END)) AS u, sum(gf.v * (CASE WHEN gf.gj = j + 1 THEN 1 - ((c.x - 16) / 16 - j) ELSE (c.x - 16) / 16 - j END) * (CASE WHEN gf.gi = i + 1 THEN 1 - ((c.y - 16) / 16 - i) ELSE (c.y - 16) / 16 - i END)) AS v FROM c JOIN gf ON gf.gj BETWEEN j + 1 AND j + 2 AND gf.gi BETWEEN i + 1 AND i + 2 GROUP BY ALL) SELECT frame, round(CASE WHEN min(have) = 4 THEN sum(u * dx + v * dy) END, 6) + 0.0 AS circulation FROM n GROUP BY frame")
 def circulation_contour(spark, sf_dir):
     return rounded(fields.circulation_contour(gf(spark, sf_dir), [(20.0, 20.0), (100.0, 20.0), (100.0, 100.0), (20.0, 100.0)], include_invalid=True))
 
@@ -549,7 +640,7 @@ def planar_calibration(spark, sf_dir):
     return rounded(_table(spark, sf_dir, "customer").select("c_custkey", x.alias("x"), y.alias("y")))
 
 
-# --- whole analyses on synthetic recordings ---
+# --- whole analyses ---
 
 
 def recording(spark: SparkSession, n: int = 4, size: int = 128, flow=None, density: float = 0.03) -> DataFrame:
@@ -566,30 +657,33 @@ def recording(spark: SparkSession, n: int = 4, size: int = 128, flow=None, densi
 
 
 @_query(None)
-def run_piv_synthetic(spark, sf_dir):
-    f = recording(spark)
-    pairs = recordings.image_pairs(f, "chained", ts="ts").select(F.col("pair_id").cast("long"), "idx_a", "idx_b")
-    return piv.run_piv_sequence(pairs, f, multipass_parameters([64, 32], padding=True, apodization="gauss", final={"uncertainty": True}))
+def run_piv_mosaics(spark, sf_dir):
+    """Two passes over every pair of mosaics, with uncertainties."""
+    f = mosaics(spark, sf_dir)
+    pairs = recordings.image_pairs(f, "chained").select(F.col("pair_id").cast("long"), "idx_a", "idx_b")
+    return piv.run_piv_sequence(pairs, f, multipass_parameters([16, 8], padding=True, apodization="gauss", final={"uncertainty": True}))
 
 
 @_query(None)
-def ensemble_synthetic(spark, sf_dir):
-    f = recording(spark)
-    pairs = recordings.with_pixels(recordings.image_pairs(f, "chained"), f)
-    got = piv.run_piv_ensemble(pairs, [PIVParameters((32, 32), padding=True)])
+def ensemble_mosaics(spark, sf_dir):
+    """One field of all pairs of mosaics."""
+    f = mosaics(spark, sf_dir)
+    got = piv.run_piv_ensemble(recordings.with_pixels(recordings.image_pairs(f, "chained"), f), [PIVParameters((16, 16), overlap=(8, 8), padding=True)])
     rows = [(int(i + 1), int(j + 1), float(got.u[i, j]), float(got.v[i, j])) for i in range(len(got.y)) for j in range(len(got.x))]
     return spark.createDataFrame(rows, "gi int, gj int, u double, v double")
 
 
 @_query(None)
-def ptv_synthetic(spark, sf_dir):
-    f = recording(spark, 2, density=0.01)
-    return ptv.run_ptv_sequence(recordings.image_pairs(f), f, PTVParameters(search_radius=3))
+def ptv_mosaics(spark, sf_dir):
+    f = mosaics(spark, sf_dir)
+    return ptv.run_ptv_sequence(recordings.image_pairs(f, "chained"), f, PTVParameters(threshold_k=1.0, search_radius=3), None)
 
 
 @_query(None)
-def tracking_synthetic(spark, sf_dir):
-    found = ptv.detect_particles(recording(spark, 5, density=0.004), keys=("recording",))
+def tracking_mosaics(spark, sf_dir):
+    """Tracks within every sixteen mosaics."""
+    f = mosaics(spark, sf_dir).withColumn("recording", F.floor((F.col("frame_idx") - 1) / 16))
+    found = ptv.detect_particles(f, PTVParameters(threshold_k=1.0), keys=("recording",))
     return tracks.exploded(ptv.track_particles(found, PTVParameters(search_radius=3), max_gap=1))
 
 
