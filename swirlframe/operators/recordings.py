@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from ..kernels import images
 
 from . import selection, timing
 
@@ -55,12 +63,98 @@ def with_masks(pairs: DataFrame, masks: DataFrame, first: str = "first_frame", l
     return pairs.drop("mask").join(united, own, "left")
 
 
+#: Pixels of a block, the unit in which sums of images are shuffled, and bytes of sums that a task holds.
+BLOCK, HELD_BYTES = 1 << 16, 256 << 20
+
+
 def compute_background(frames: DataFrame, method: str = "min", keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, pixels): pixel-wise minimum or mean over frames; one row a pixel is summed map-side first."""
+    """(keys, pixels): pixel-wise minimum or mean over frames (of one size); NaN counts for the mean only.
+
+    A task adds up its own frames as arrays; sums are shuffled in blocks of pixels, a row a block and task, and put together at the end.
+    """
     if method not in ("min", "mean"):
         raise ValueError("method is 'min' or 'mean'")
-    p = frames.select(*keys, F.posexplode("pixels").alias("pos", "p")).groupBy(*keys, "pos").agg((F.min if method == "min" else F.avg)("p").alias("p"))
-    return p.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda s: s["p"]).alias("pixels"))
+    kinds = dict(frames.dtypes)
+    names = [f"_k{i}" for i in range(len(keys))]
+    key_types = "".join(f"{n} {kinds[k]}, " for n, k in zip(names, keys, strict=True))
+    schema = f"{key_types}_block int, _n bigint, _size bigint, _values array<double>"
+    rows = frames.select(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], F.col("pixels").cast("array<double>").alias("pixels"))
+
+    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if len(a) != len(b):
+            raise ValueError("the frames of a background have one size")
+        return np.fmin(a, b) if method == "min" else a + b
+
+    def put(held: dict) -> Iterator[pa.RecordBatch]:
+        for key, (n, values) in held.items():
+            for at in range(0, len(values), BLOCK):
+                yield pa.RecordBatch.from_arrays([*key_arrays(key), pa.array([at // BLOCK], pa.int32()), pa.array([n], pa.int64()), pa.array([len(values)], pa.int64()), pa.array([values[at : at + BLOCK]], pa.list_(pa.float64()))], names=[*names, "_block", "_n", "_size", "_values"])
+
+    arrow_types = [to_arrow_type(frames.schema[k].dataType) for k in keys]
+
+    def key_arrays(key: tuple) -> list[pa.Array]:
+        return [pa.array([v], t) for v, t in zip(key, arrow_types, strict=True)]
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for part in parts:
+            for r in range(part.num_rows):
+                if not part.column(len(keys))[r].is_valid:
+                    continue
+                key, values = tuple(part.column(i)[r].as_py() for i in range(len(keys))), part.column(len(keys))[r].values.to_numpy(zero_copy_only=False)
+                if key in held:
+                    held[key] = [held[key][0] + 1, merged(held[key][1], values)]
+                else:
+                    held[key] = [1, np.array(values, float)]
+                if len(held) * 8 * len(values) > HELD_BYTES:
+                    yield from put(held)
+                    held = {}
+        yield from put(held)
+
+    def blocks(table: pa.Table) -> pa.Table:
+        sizes = set(table.column("_size").to_pylist())
+        if len(sizes) > 1:
+            raise ValueError("the frames of a background have one size")
+        total = None
+        for v in table.column("_values").to_pylist():  # a row a task
+            total = np.array(v, float) if total is None else merged(total, np.array(v, float))
+        n = sum(table.column("_n").to_pylist())
+        values = total if method == "min" else total / n
+        first = [table.column(c).slice(0, 1) for c in (*names, "_block")]
+        return pa.Table.from_arrays([*first, pa.array([n], pa.int64()), pa.array([len(total)], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=[*names, "_block", "_n", "_size", "_values"])
+
+    blocks.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    done = rows.mapInArrow(add, schema).groupBy(*names, "_block").applyInArrow(blocks, schema)
+    whole = done.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_block", "_values"))).alias("_b")).filter(F.size("_b") > 0)  # an image
+    return whole.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], F.flatten(F.col("_b._values")).alias("pixels"))
+
+
+def _each_image(frames: DataFrame, name: str, kind: str, of: Callable[[np.ndarray], np.ndarray | float], pixels: str) -> DataFrame:
+    """``frames`` with a column that is made of each image alone."""
+    rest = [c for c in frames.columns if c != name]
+    places = [rest.index(c) for c in ("n_rows", "n_cols", pixels)]
+    schema = StructType([*[frames.schema[c] for c in rest], *_parse_datatype_string(f"{name} {kind}").fields])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = []
+            for r in range(part.num_rows):
+                nr, nc, flat = (part.column(p)[r] for p in places)
+                got = of(flat.values.to_numpy(zero_copy_only=False).astype(float).reshape(nr.as_py(), nc.as_py())) if flat.is_valid else None
+                out.append(got.ravel() if isinstance(got, np.ndarray) else got)
+            yield part.append_column(name, pa.array(out, pa.list_(pa.float64()) if kind.startswith("array") else pa.float64()))
+
+    return frames.select(*rest).mapInArrow(run, schema)
+
+
+def local_variance(frames: DataFrame, radius: int, pixels: str = "pixels") -> DataFrame:
+    """``frames`` with variance: array of the variances in the clipped square about each pixel, by summed-area tables."""
+    return _each_image(frames, "variance", "array<double>", lambda image: images.local_variance(image - image.mean(), radius), pixels)
+
+
+def otsu_thresholds(frames: DataFrame, bins: int = 256, pixels: str = "pixels") -> DataFrame:
+    """``frames`` with threshold: the best split of each image's histogram."""
+    return _each_image(frames, "threshold", "double", lambda image: images.otsu_threshold(image, bins), pixels)
 
 
 def windows(images: DataFrame, window: tuple[int, int], overlap: tuple[int, int] = (0, 0), margin: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -79,16 +173,6 @@ def pixel_rows(images: DataFrame, keys: tuple[str, ...], pixels: str = "pixels")
     return e.select(*keys, (F.floor(F.col("_k") / F.col("n_cols")) + 1).cast("int").alias("row"), (F.col("_k") % F.col("n_cols") + 1).cast("int").alias("col"), "p")
 
 
-def local_variance(pixels: DataFrame, radius: int, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, row, col, variance) in a clipped square: two running windows, along columns then rows."""
-    by_row = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(-radius, radius)
-    by_col = Window.partitionBy(*keys, "col").orderBy("row").rowsBetween(-radius, radius)
-    s = pixels.select(*keys, "row", "col", F.sum("p").over(by_row).alias("a"), F.sum(F.col("p") * F.col("p")).over(by_row).alias("b"), F.count("*").over(by_row).alias("n"))
-    s = s.select(*keys, "row", "col", F.sum("a").over(by_col).alias("a"), F.sum("b").over(by_col).alias("b"), F.sum("n").over(by_col).alias("n"))
-    m = F.col("a") / F.col("n")
-    return s.select(*keys, "row", "col", F.greatest(F.col("b") / F.col("n") - m * m, F.lit(0.0)).alias("variance"))
-
-
 def grow_mask(masked: DataFrame, radius: float, n_rows: int, n_cols: int, keys: tuple[str, ...]) -> DataFrame:
     """Masked pixels (keys, row, col) and all within ``radius`` of one."""
     n = int(radius)
@@ -98,7 +182,7 @@ def grow_mask(masked: DataFrame, radius: float, n_rows: int, n_cols: int, keys:
 
 
 def otsu_threshold(values: DataFrame, value: str, keys: tuple[str, ...] = (), bins: int = 256) -> DataFrame:
-    """(keys, threshold) of the histogram's best split."""
+    """(keys, threshold) of the best split of the histogram of each group's values, such as all images of a recording; windows over ``bins`` rows."""
     by = list(keys) or [F.lit(0).alias("_all")]
     names = list(keys) or ["_all"]
     v = values.select(*by, F.col(value).alias("v"))

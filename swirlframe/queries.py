@@ -140,7 +140,8 @@ def background(spark, sf_dir):
 
 @_query(f"WITH {TILES} SELECT frame_idx, r::INT AS row, c::INT AS col, round(greatest(avg(q) - avg(m) * avg(m), 0), 6) + 0.0 AS variance FROM (SELECT a.frame_idx, a.r, a.c, b.p * b.p AS q, b.p AS m FROM px a JOIN px b ON a.frame_idx = b.frame_idx AND abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2) GROUP BY ALL")
 def local_variance(spark, sf_dir):
-    return rounded(recordings.local_variance(recordings.pixel_rows(tiles(spark, sf_dir), ("frame_idx",)), 2, ("frame_idx",)))
+    done = recordings.local_variance(tiles(spark, sf_dir), 2).select("frame_idx", F.posexplode("variance").alias("k", "variance"))
+    return rounded(done.select("frame_idx", (F.floor(F.col("k") / 8) + 1).cast("int").alias("row"), (F.col("k") % 8 + 1).cast("int").alias("col"), "variance"))
 
 
 @_query(f"WITH {TILES}, q AS (SELECT *, quantile_cont(p, 0.95) OVER (PARTITION BY frame_idx) AS t FROM px), m AS (SELECT frame_idx, r, c FROM q WHERE p >= t) SELECT DISTINCT m.frame_idx, CAST(m.r + a AS INT) AS row, CAST(m.c + b AS INT) AS col FROM m CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS a) CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS b) WHERE a * a + b * b <= 4 AND m.r + a BETWEEN 1 AND 8 AND m.c + b BETWEEN 1 AND 8")
@@ -152,7 +153,7 @@ def auto_mask_grown(spark, sf_dir):
 
 @_query(f"WITH {TILES}, s AS (SELECT *, min(p) OVER (PARTITION BY frame_idx) AS lo, max(p) OVER (PARTITION BY frame_idx) AS hi FROM px), h AS (SELECT frame_idx, lo, hi, least(floor((p - lo) / (hi - lo) * 256), 255) AS bin, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 256 AS c FROM h), w AS (SELECT *, sum(n) OVER a AS w, sum(n * c) OVER a AS m, sum(n) OVER b AS wa, sum(n * c) OVER b AS ma FROM k WINDOW a AS (PARTITION BY frame_idx ORDER BY bin), b AS (PARTITION BY frame_idx)), z AS (SELECT *, CASE WHEN wa > w THEN w * (wa - w) * (m / w - (ma - m) / (wa - w)) ** 2 ELSE -1 END AS gap FROM w) SELECT frame_idx, round(arg_max(c, gap), 6) + 0.0 AS threshold FROM z GROUP BY frame_idx")
 def otsu_threshold(spark, sf_dir):
-    return rounded(recordings.otsu_threshold(recordings.pixel_rows(tiles(spark, sf_dir), ("frame_idx",)), "p", ("frame_idx",)))
+    return rounded(recordings.otsu_thresholds(tiles(spark, sf_dir)).select("frame_idx", "threshold"))
 
 
 def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..operators.fields import physical
 from ..params import PhysicalScale
 from ..schema import RESULTS_FORMAT_VERSION, TABLE, TABLE_SCHEMA_VERSION
@@ -23,6 +24,21 @@ def load_results(spark: SparkSession, path: str) -> DataFrame:
     return got.drop("format_version").orderBy("pair_id", *[c for c in ("gj", "gi") if c in got.columns])
 
 
+def save_pairs(results: DataFrame, path: str, labels: tuple[str, ...] = (), key: str = "pair_id") -> DataFrame:
+    """Writes each pair's results to a folder of its own and returns (key, path, n, labels) of what it wrote.
+
+    A pair's rows go out by one task, and Spark's commit puts folders in place only when all tasks are done: a job that fails leaves no half
+    pair. A pair that is there is replaced, others stay. ``labels`` (such as the frames' sources) are columns of the results.
+    """
+    spark = results.sparkSession
+    rows = results.withColumn("format_version", F.lit(RESULTS_FORMAT_VERSION))
+    order = [c for c in ("gj", "gi", "index_a") if c in rows.columns]
+    out = rows.repartition(key).sortWithinPartitions(key, *order)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    got = spark.read.parquet(path).select(F.col(key), F.regexp_extract(F.input_file_name(), f"^(.*/{key}=[^/]*)/", 1).alias("path"), *labels)
+    return got.groupBy(key, "path").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in labels])
+
+
 def export_table(rows: DataFrame, result_type: str = "planar", scale: PhysicalScale | None = None, frame_id: str | None = None, source_a: str | None = None, source_b: str | None = None, key: str = "pair_id") -> DataFrame:
     """All columns of the exported table in order; nodes are numbered down columns. Unscaled units are px and frame."""
     if result_type not in ("planar", "stereo", "ptv"):
@@ -52,7 +68,8 @@ def write_csv(table: DataFrame, path: str) -> None:
 
 
 def vtk_text(rows: DataFrame, title: str = "vectors") -> DataFrame:
-    """Lines (value) of a legacy structured grid for one result: points row by row, vectors, then scalar arrays."""
+    """Lines (value) of a legacy structured grid for one result: points row by row, vectors, then scalar arrays. ``rows`` are evaluated once."""
+    rows = written(rows, "vtk")
     shape = rows.agg(F.max("gj"), F.max("gi"), F.count("*")).first()
     nx, ny, n = shape
     spark = rows.sparkSession
