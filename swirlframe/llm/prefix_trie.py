@@ -5,8 +5,8 @@
    chain of its prefixes' digests. A task joins the ids of equal conversations, ascending, so copies leave it as one row.
 2. Rows of equal conversations meet by the digest of the whole, and SHA-256 runs over their ids in order of the ranges, a
    row at a time: what is left is a row for each different conversation, with its number of members, its smallest and the hash.
-3. These are dealt by the digest of the first turn, and each group builds its trie of pointers (dictionaries of children)
-   in ``applyInPandas``; an iterative postorder sums up leaves and saved bytes. A group of more than ``most`` conversations or ``MOST_TURNS`` turns is
+3. These are hash-partitioned by the digest of the first turn, and each first turn gets its trie of pointers (dictionaries of children)
+   in ``applyInPandas``, several of them in a call; an iterative postorder sums up leaves and saved bytes. A group of more than ``most`` conversations or ``MOST_TURNS`` turns is
    dealt again by its next turn, and so on. Counts fall along a path, so one count of all prefixes of the oversized groups finds how
    deep that goes for all of them at once (otherwise a group that agrees on 400 turns would take 400 rounds).
 4. The nodes above the dealt ones, and the root, are few (their list is held to BROADCAST_BYTES by doubling the two limits): they become a
@@ -33,6 +33,8 @@ from .common import BROADCAST_BYTES, batches, only, written
 
 #: Conversations and turns of a group at most; beyond either it is dealt by its next turn.
 MOST, MOST_TURNS = 20_000, 400_000
+#: Different conversations, on average, of the first turns that are dealt to one task's group together.
+TOGETHER = 4096
 GROUP, HEADS = 5, 9
 EMPTY = hashlib.sha256(b"").hexdigest()
 _D = 16  # bytes of a digest
@@ -214,7 +216,7 @@ def prefix_trie(conversations: DataFrame, most: int = MOST, most_turns: int = MO
     """NODE rows: one for each different prefix of the rebuilt conversations."""
     spark = conversations.sparkSession
     seqs = written(different(rebuilt(turns(conversations, **columns))), "conversations")
-    whole = seqs.agg(F.min("first").alias("first"), F.sum("n").alias("n")).first()
+    whole = seqs.agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("rows")).first()
     if whole.n is None:
         return spark.createDataFrame([], NODE)
     upper = written(upper_nodes(seqs, most, most_turns), "upper")
@@ -237,20 +239,24 @@ def prefix_trie(conversations: DataFrame, most: int = MOST, most_turns: int = MO
     root = whole.first
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        trie, top = Trie(), int(group["top"].iloc[0])
-        chain = bytes(group["chain"].iloc[0])
-        parent_key = chain[(top - 2) * _D : (top - 1) * _D] if top > 1 else b""
-        for first, n, ends, chain, sizes in zip(group["first"], group["n"], group["ends"], group["chain"], group["sizes"], strict=True):
-            steps = [chain[i : i + _D] for i in range(top * _D, len(chain), _D)]
-            lengths = np.frombuffer(sizes, ">i8").tolist()
+        tries: dict[bytes, tuple[Trie, int, bytes]] = {}
+        for first, n, ends, chain, sizes, top, key in zip(*(group[c] for c in ("first", "n", "ends", "chain", "sizes", "top", "key")), strict=True):
+            if key not in tries:
+                tries[key] = Trie(), top, chain[(top - 2) * _D : (top - 1) * _D] if top > 1 else b""
+            trie, lengths = tries[key][0], np.frombuffer(sizes, ">i8").tolist()
             trie.size[0] = lengths[top - 1]
-            trie.add(steps, lengths[top:], n, first, ends)
-        leaves, saved, order = trie.totals()
-        over = shared.value.get(parent_key, root)
-        out = [(trie.first[a], depth + top, trie.first[p] if p >= 0 else over, trie.n[a], len(trie.children[a]), leaves[a], saved[a], trie.ends[a], parent_key if p < 0 else None) for a, p, depth in order]
+            trie.add([chain[i : i + _D] for i in range(top * _D, len(chain), _D)], lengths[top:], n, first, ends)
+        out = []
+        for trie, top, parent_key in tries.values():
+            leaves, saved, order = trie.totals()
+            over = shared.value.get(parent_key, root)
+            out += [(trie.first[a], depth + top, trie.first[p] if p >= 0 else over, trie.n[a], len(trie.children[a]), leaves[a], saved[a], trie.ends[a], parent_key if p < 0 else None) for a, p, depth in order]
         return pd.DataFrame(out, columns=["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256", "above"])
 
-    nodes = written(dealt.groupBy("key").applyInPandas(build, f"{NODE}, above binary"), "nodes")
+    # Several first turns to a group, or the call for each would cost more than its trie.
+    parts = max(whole.rows // TOGETHER, min(256, whole.rows))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    nodes = written(dealt.groupBy("bucket").applyInPandas(build, f"{NODE}, above binary"), "nodes")
     tops = nodes.filter("above IS NOT NULL").groupBy("above").agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
     turnless = seqs.filter(F.length("chain") == 0).select("ends")
     rows = upper.select("node", "parent", "depth", "first", "n", "size", "ends")
