@@ -352,6 +352,16 @@ def with_scale(f: DataFrame, scale: PhysicalScale | None) -> DataFrame:
     return f if scale is None else f.withColumns(dict(zip(SCALE, map(F.lit, (scale.pixel_size, scale.dt, scale.length_unit, scale.time_unit)), strict=True)))
 
 
+def attached_scale(f: DataFrame) -> PhysicalScale | None:
+    """The scale that all rows carry; None without one or without rows. Rows of several have none in common, which is an error."""
+    if not set(SCALE) <= set(f.columns):
+        return None
+    known = f.select(*SCALE).distinct().limit(2).collect()
+    if len(known) > 1:
+        raise ValueError("the rows carry several scales")
+    return PhysicalScale(*known[0]) if known and known[0][0] is not None else None
+
+
 def physical(f: DataFrame, scale: PhysicalScale | None = None) -> DataFrame:
     """Positions and residuals times the pixel size, displacements and deviations also by time; done once, as units tell.
 

@@ -275,18 +275,24 @@ def _stereo_batch(pair: int, s: dict, z: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in STEREO.split(", ")])
 
 
-def run_piv_stereo_sequence(pairs: DataFrame, d1: geometry.Dewarper, d2: geometry.Dewarper, passes=None, effort: str | None = None, preprocess: tuple | None = None, mask_threshold: float = 0.5) -> DataFrame:
-    """STEREO of pairs with pixels_a1, pixels_b1, pixels_a2, pixels_b2 (raw images of the two cameras)."""
+def run_piv_stereo_sequence(pairs: DataFrame, d1: geometry.Dewarper, d2: geometry.Dewarper, passes=None, effort: str | None = None, preprocess: tuple | None = None, mask_threshold: float = 0.5, mask: np.ndarray | tuple | None = None) -> DataFrame:
+    """STEREO of pairs with pixels_a1, pixels_b1, pixels_a2, pixels_b2 (raw images of the two cameras; ``timing.synchronised`` finds who belongs together).
+
+    ``mask``, on the dewarped grid, one or one for each camera, goes to what the dewarpers leave out.
+    """
     p1, p2 = preprocess or (None, None)
+    given = either_mask(mask)
+    if given is not None and given.shape != d1.mask.shape:
+        raise ValueError("the mask is on the dewarped grid")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for r in range(part.num_rows):
                 raw = [part.column(c)[r].values.to_numpy(zero_copy_only=False).astype(float) for c in range(1, 5)]
                 a1, b1, a2, b2 = (d(pre(i.reshape(d.size)) if pre else i.reshape(d.size)) for i, d, pre in zip(raw, (d1, d1, d2, d2), (p1, p1, p2, p2), strict=True))
-                mask = d1.mask | d2.mask
+                left_out = d1.mask | d2.mask if given is None else d1.mask | d2.mask | given
                 steps = schedule(passes, effort, a1.shape)
-                f1, f2 = (piv.run(a, b, steps, mask if mask.any() else None, mask_threshold) for a, b in ((a1, b1), (a2, b2)))
+                f1, f2 = (piv.run(a, b, steps, left_out if left_out.any() else None, mask_threshold) for a, b in ((a1, b1), (a2, b2)))
                 yield _stereo_batch(part.column(0)[r].as_py(), combine_stereo(f1, f2, d1.camera, d2.camera, d1.grid), d1.grid.z)
 
     return pairs.select("pair_id", "pixels_a1", "pixels_b1", "pixels_a2", "pixels_b2").mapInArrow(run, STEREO)

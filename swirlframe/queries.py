@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as C
+from . import streaming
 from .kernels import correlation, geometry, synthetic
 from .operators import calibration, fields, neighbors, recordings, timing, tracks
 from .params import PhysicalScale, PIVParameters, PTVParameters, multipass_parameters
@@ -113,6 +114,15 @@ def nearest_in_time(spark, sf_dir):
     return timing.nearest_in_time(e.filter("event_id % 3 = 0"), e.filter("event_id % 3 <> 0"), 40000.0, keys=("user_id",)).select("event_id", "user_id", "event_id_b")
 
 
+@_query(f"WITH v AS (SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) // 1000000 AS start, CAST(user_id % 8 + 1 AS INT) AS gi, CAST(event_id % 4 + 1 AS INT) AS gj, value / 47.3::DOUBLE AS u, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v, event_type <> 'error' AS ok FROM events) SELECT start::BIGINT AS start, gi, gj, count(*) FILTER (ok AND u IS NOT NULL AND v IS NOT NULL) AS count, " + ", ".join(f"round({f}({c}) FILTER (ok AND u IS NOT NULL AND v IS NOT NULL), 6) + 0.0 AS {n}_{c}" for c in "uv" for n, f in (("mean", "avg"), ("rms", "stddev_pop"))) + " FROM v GROUP BY start, gi, gj")
+def time_windows(spark, sf_dir):
+    """Statistics of valid vectors by node in windows of event time; the same call runs on a stream."""
+    e = _table(spark, sf_dir, "events")
+    v = e.select("ts", (F.col("user_id") % 8 + 1).cast("int").alias("gi"), (F.col("event_id") % 4 + 1).cast("int").alias("gj"), (F.col("value") / 47.3).alias("u"), F.get_json_object("props", "$.k").cast("double").alias("v"), (F.col("event_type") == "error").alias("outlier"))
+    got = streaming.windowed_statistics(v, "6 hours")
+    return rounded(got.select(F.floor(F.unix_micros(F.col("window.start").cast("timestamp")) / 1000000).alias("start"), *[c for c in got.columns if c != "window"]))
+
+
 # --- images ---
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import valid
 from .live_table import LiveTable, grow, live_ensemble_table
 from .tracks import live_tracks
 
@@ -46,10 +47,13 @@ def live_pairs(frames: DataFrame, watermark: str = "10 seconds", recording: str
     return a.join(b, on).select(recording, F.col("idx_a").cast("long").alias("pair_id"), "idx_a", "idx_b", "n_rows", "n_cols", "pixels_a", "pixels_b")
 
 
-def windowed_statistics(vectors: DataFrame, size: str, slide: str | None = None, watermark: str = "0 seconds", ts: str = "ts") -> DataFrame:
-    """Mean, RMS and count of each node in windows of event time, tumbling or sliding."""
+def windowed_statistics(vectors: DataFrame, size: str, slide: str | None = None, watermark: str = "0 seconds", ts: str = "ts", include_invalid: bool = False) -> DataFrame:
+    """Mean, RMS and count of each node's valid vectors in windows of event time, tumbling or sliding."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return vectors.withWatermark(ts, watermark).groupBy(w, "gi", "gj").agg(F.count("*").alias("count"), *[f(c).alias(f"{n}_{c}") for c in ("u", "v") for n, f in (("mean", F.avg), ("rms", F.stddev_pop))])
+    rows = vectors.withColumns({c: F.lit(False) for c in ("masked", "outlier") if c not in vectors.columns})
+    ok = valid(include_invalid=include_invalid)
+    of = lambda f, c: f(F.when(ok, F.col(c)))
+    return rows.withWatermark(ts, watermark).groupBy(w, "gi", "gj").agg(F.count_if(ok).alias("count"), *[of(f, c).alias(f"{n}_{c}") for c in ("u", "v") for n, f in (("mean", F.avg), ("rms", F.stddev_pop))])
 
 
 def live_ensemble(sums: DataFrame) -> DataFrame:

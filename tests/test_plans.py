@@ -74,6 +74,15 @@ def test_stereo(spark):
     df = spark.createDataFrame(row, "pair_id long, pixels_a1 array<double>, pixels_b1 array<double>, pixels_a2 array<double>, pixels_b2 array<double>")
     got = piv.run_piv_stereo_sequence(df, d1, d2, multipass_parameters([64, 32], padding=True, apodization="gauss")).filter("NOT masked AND NOT outlier").agg(*[F.median(c).alias(c) for c in "uvw"]).first()
     assert abs(got.u - 0.8) < 0.05 and abs(got.v + 0.5) < 0.05 and abs(got.w - 0.6) < 0.1
+    half = np.zeros(d1.mask.shape, bool)
+    half[:, : half.shape[1] // 2] = True
+    cut = piv.run_piv_stereo_sequence(df, d1, d2, PIVParameters((64, 64), overlap=(32, 32)), mask=(None, half))
+    whole = piv.run_piv_stereo_sequence(df, d1, d2, PIVParameters((64, 64), overlap=(32, 32)))
+    last = whole.agg(F.max("gj")).first()[0]
+    bad = {r.gj for r in cut.filter("masked").collect()}
+    assert set(range(1, last // 2)) <= bad and last not in bad and whole.filter("masked").count() < cut.filter("masked").count()
+    with pytest.raises(ValueError):
+        piv.run_piv_stereo_sequence(df, d1, d2, mask=np.zeros((3, 3), bool))
     e = piv.run_piv_stereo_ensemble(df, d1, d2, [PIVParameters((64, 64), overlap=(32, 32))])
     assert abs(np.nanmedian(e["d"][..., 2]) - 0.6) < 0.15
 
