@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.selection import numbered
 from ..schema import FRAMES
 
 
@@ -171,7 +172,7 @@ def load_frames(spark: SparkSession, path: str | list[str], recording: str = "re
     """FRAMES of image files in name order: files are read by Spark, decoded where they are read; pages count as frames.
 
     frame_idx numbers files by name; a page's index follows its file's. A missing path is Spark's own error. Files are
-    numbered first, from their pages alone; up to ``broadcast_files`` names are broadcast, else files join them undecoded.
+    numbered first, from their names and numbers of pages, by ranges of names; up to ``broadcast_files`` names are broadcast, else files join them undecoded.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
@@ -180,8 +181,10 @@ def load_frames(spark: SparkSession, path: str | list[str], recording: str = "re
             n = [len(tiff_pages(d)) if d[:2] in (b"II", b"MM") else 1 for d in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["path", "pages"])
 
-    before = F.sum("pages").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))  # names only
-    first = files.mapInArrow(count, "path string, pages long").select("path", F.coalesce(before, F.lit(0)).alias("before"))
+    single = F.lower(F.col("path")).endswith(".png")  # their content isn't read here
+    pages = files.filter(~single).mapInArrow(count, "path string, pages long").unionAll(files.filter(single).select("path", F.lit(1).cast("long").alias("pages")))
+    each = pages.select("path", F.explode(F.sequence(F.lit(1).cast("long"), "pages")).alias("page"))  # names only
+    first = numbered(each, ("path", "page"), "n").filter("page = 1").select("path", (F.col("n") - 1).alias("before"))
     few = len(files.inputFiles()) <= broadcast_files
     rows = files.join(F.broadcast(first) if few else first.hint("merge"), "path").select("path", "before", "content")
 
