@@ -10,7 +10,7 @@ A row's x - S / n is taken as (x - S // n) - (S % n) / n, whose first part is ex
 
 Defined results: vectors that are null, empty, hold null or non-finite entries or one whose x isn't a 64-bit integer are
 left out; so are those of another length than the one of most usable rows (of equally many, the greater); repeated rows, and rows of equal or null ids,
-count each and are returned each; components of no variance (singular value up to 1e-9 of the largest) have no whitened values and are left
+count each and are returned each; components of no variance (singular value up to a millionth of the largest) have no whitened values and are left
 out; without any variance, or in an empty table, there are no rows; ids are integers; other columns are not read. ``deviation`` beyond a 64-bit integer is null.
 
 Memory: a task holds one batch and d x d sums; the driver d x d doubles (MLlib's own limit is 65,535 dimensions).
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import only
 
 COMPONENTS, SCALE, SHIFT = 32, 64.0, 1_000_000
-#: Singular values up to this share of the largest count as none.
-NONE = 1e-9
+#: Singular values up to this share of the largest count as none. They are roots of a sum of outer products' eigenvalues, so smaller ones
+#: are mostly rounding: from here on whitened rows are of unit variance within 1e-4.
+NONE = 1e-6
 _MOST = float(1 << 62)
 
 
