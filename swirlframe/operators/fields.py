@@ -8,6 +8,8 @@ spectra) is one Arrow call for each frame or node.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -190,24 +192,28 @@ def circulation_area(f: DataFrame, include_invalid: bool = False) -> DataFrame:
 def sample(f: DataFrame, points: DataFrame, include_invalid: bool = False) -> DataFrame:
     """``points`` (frame, x, y, ..) with u, v between the four nodes around them; NaN outside or by an invalid node.
 
-    The grid must be regular within a frame; spacing and origin come from the frame's own nodes.
+    The grid must be regular within a frame; spacing and origin come from the frame's own nodes. Points meet the cell that
+    they lie in, whose corners are gathered from the nodes, so no row number has to be the same in two readings of the points.
     """
     good = valid(include_invalid=include_invalid)
     g = f.groupBy(KEY).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"), F.max("gj").alias("_nx"), F.max("gi").alias("_ny"))
-    p = points.withColumn("_id", F.monotonically_increasing_id()).join(g, KEY)
+    p = points.join(g, KEY)
     p = p.withColumn("_sx", (F.col("_x1") - F.col("_x0")) / F.greatest(F.col("_nx") - 1, F.lit(1))).withColumn("_sy", (F.col("_y1") - F.col("_y0")) / F.greatest(F.col("_ny") - 1, F.lit(1)))
     p = p.withColumn("_inside", in_between("x", "_x0", "_x1") & in_between("y", "_y0", "_y1"))
     j = F.least(F.greatest(F.floor(ratio(F.col("x") - F.col("_x0"), F.col("_sx"))), F.lit(0)), F.col("_nx") - 2)
     i = F.least(F.greatest(F.floor(ratio(F.col("y") - F.col("_y0"), F.col("_sy"))), F.lit(0)), F.col("_ny") - 2)
     p = p.withColumn("_j", j.cast("int")).withColumn("_i", i.cast("int"))
     p = p.withColumn("_q", (F.col("x") - F.col("_x0")) / F.col("_sx") - F.col("_j")).withColumn("_p", (F.col("y") - F.col("_y0")) / F.col("_sy") - F.col("_i"))
-    corners = F.explode(F.array(*[F.struct((F.col("_i") + 1 + a).cast("int").alias("gi"), (F.col("_j") + 1 + b).cast("int").alias("gj"), ((F.col("_p") if a else 1 - F.col("_p")) * (F.col("_q") if b else 1 - F.col("_q"))).alias("wt")) for a in (0, 1) for b in (0, 1)]))
-    e = p.select("_id", KEY, "_inside", corners.alias("c")).select("_id", KEY, "_inside", "c.gi", "c.gj", "c.wt")
-    nodes = f.filter(good).select(KEY, *[F.col(n).cast("int").alias(n) for n in NODE], "u", "v")
-    s = e.join(nodes, [KEY, *NODE], "left").groupBy("_id").agg(F.first("_inside").alias("_in"), F.count("u").alias("_n"), F.sum(F.col("u") * F.col("wt")).alias("u"), F.sum(F.col("v") * F.col("wt")).alias("v"))
-    ok = F.col("_in") & (F.col("_n") == 4)
-    s = s.select("_id", *[F.when(ok, F.col(n)).otherwise(F.lit(_NAN)).alias(n) for n in ("u", "v")])
-    return p.select("_id", *points.columns).join(s, "_id").drop("_id")
+    places = [(a, b) for a in (0, 1) for b in (0, 1)]
+    of = F.explode(F.array(*[F.struct((F.col("gi").cast("int") - 1 - a).alias("i"), (F.col("gj").cast("int") - 1 - b).alias("j"), F.lit(2 * a + b).alias("at")) for a, b in places])).alias("_c")
+    node = f.filter(good).select(KEY, "u", "v", of).select(KEY, F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), "_c.at", "u", "v")
+    corner = lambda n, k: F.max(F.when(F.col("at") == k, F.col(n))).alias(f"_{n}{k}")
+    cells = node.groupBy(KEY, "_i", "_j").agg(F.count("*").alias("_n"), *[corner(n, k) for n in ("u", "v") for k in range(4)])
+    ok = F.col("_inside") & (F.col("_n") == 4)
+    weight = [(F.col("_p") if a else 1 - F.col("_p")) * (F.col("_q") if b else 1 - F.col("_q")) for a, b in places]
+    between = {n: reduce(add, [F.col(f"_{n}{k}") * w for k, w in enumerate(weight)]) for n in ("u", "v")}
+    got = p.join(cells, [KEY, "_i", "_j"], "left")
+    return got.select(*points.columns, *[F.when(ok, c).otherwise(F.lit(_NAN)).alias(n) for n, c in between.items()])
 
 
 def in_between(c: str, lo: str, hi: str) -> Column:

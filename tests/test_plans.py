@@ -186,6 +186,23 @@ def test_linear_field(spark):
     assert fields.error_statistics(f, 2 * F.col("x") + 3 * F.col("y") - 0.5, -F.col("x") + 4 * F.col("y") + 0.25).first() == (19, 0.5, 0.5, -0.25, 0.25)
 
 
+def test_samples_whatever_order_points_come_in(spark):
+    """Rows come in another order at each reading, as they do after a shuffle between machines."""
+    rows = [(t, i, j, float(j), float(i), t + 2.0 * j + 3 * i, t - 1.0 * j + 4 * i, False, False) for t in (10, 50) for i in range(1, 6) for j in range(1, 5)]
+    f = spark.createDataFrame(rows, "frame int, gi int, gj int, x double, y double, u double, v double, masked boolean, outlier boolean").coalesce(1)
+
+    def mixed(parts):
+        for p in parts:
+            yield p.take(np.random.default_rng().permutation(p.num_rows))
+
+    ask = spark.range(400).coalesce(1).selectExpr("id", "CAST(id % 2 * 40 + 10 AS INT) AS frame", "1 + id % 37 / 12.5D AS x", "1 + id % 41 / 10.25D AS y")
+    got = fields.sample(f, ask.mapInArrow(mixed, ask.schema)).collect()
+    assert len(got) == 400 and all(r.u == pytest.approx(r.frame + 2 * r.x + 3 * r.y) and r.v == pytest.approx(r.frame - r.x + 4 * r.y) for r in got)
+    one = spark.createDataFrame([(10, 1.0, 1.0), (10, 1.0, 1.0), (10, 4.0, 5.0), (10, 4.1, 2.0), (10, None, 2.0)], "frame int, x double, y double")
+    held = fields.sample(f, one).collect()
+    assert sorted(r.u for r in held if not math.isnan(r.u)) == [15.0, 15.0, 33.0] and len(held) == 5
+
+
 def test_image_files(spark, tmp_path):
     rng = np.random.default_rng(0)
     shots = [np.round(rng.random((12, 17)) * 65535) / 65535 for _ in range(3)]
