@@ -156,9 +156,7 @@ def local_variance(spark, sf_dir):
 
 @_query(f"WITH {TILES}, q AS (SELECT *, quantile_cont(p, 0.95) OVER (PARTITION BY frame_idx) AS t FROM px), m AS (SELECT frame_idx, r, c FROM q WHERE p >= t) SELECT DISTINCT m.frame_idx, CAST(m.r + a AS INT) AS row, CAST(m.c + b AS INT) AS col FROM m CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS a) CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS b) WHERE a * a + b * b <= 4 AND m.r + a BETWEEN 1 AND 8 AND m.c + b BETWEEN 1 AND 8")
 def auto_mask_grown(spark, sf_dir):
-    t = tiles(spark, sf_dir).withColumn("t", C.quantile("pixels", 0.95))
-    m = t.select("frame_idx", "n_cols", F.transform("pixels", lambda p: (p >= F.col("t")).cast("double")).alias("pixels"))
-    return recordings.grow_mask(recordings.pixel_rows(m, ("frame_idx",)).filter("p = 1"), 2, 8, 8, ("frame_idx",))
+    return recordings.bright_masks(tiles(spark, sf_dir), 0.95, 2, ("frame_idx",))
 
 
 @_query(f"WITH {TILES}, s AS (SELECT *, min(p) OVER (PARTITION BY frame_idx) AS lo, max(p) OVER (PARTITION BY frame_idx) AS hi FROM px), h AS (SELECT frame_idx, lo, hi, least(floor((p - lo) / (hi - lo) * 256), 255) AS bin, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, lo + (bin + 0.5) * (hi - lo) / 256 AS c FROM h), w AS (SELECT *, sum(n) OVER a AS w, sum(n * c) OVER a AS m, sum(n) OVER b AS wa, sum(n * c) OVER b AS ma FROM k WINDOW a AS (PARTITION BY frame_idx ORDER BY bin), b AS (PARTITION BY frame_idx)), z AS (SELECT *, CASE WHEN wa > w THEN w * (wa - w) * (m / w - (ma - m) / (wa - w)) ** 2 ELSE -1 END AS gap FROM w) SELECT frame_idx, round(arg_max(c, gap), 6) + 0.0 AS threshold FROM z GROUP BY frame_idx")

@@ -57,3 +57,27 @@ def test_pairs_are_saved_whole(spark, tmp_path):
     assert sinks.load_results(spark, out).filter("u = 9").count() == 0 and sinks.load_results(spark, out).count() == 36
     sinks.save_pairs(results.filter("pair_id = 3").withColumn("u", F.lit(7.0)), out)
     assert {r.pair_id for r in sinks.load_results(spark, out).filter("u = 7").collect()} == {3} and sinks.load_results(spark, out).count() == 36
+
+
+def test_bright_masks_need_no_shuffle(spark):
+    """Against the definition, for images of two sizes, gaps, NaN and none; masks are made where the images lie."""
+    rng = np.random.default_rng(3)
+    shots = [(k, 5, rng.random(15 if k % 2 else 40).tolist()) for k in range(30)]
+    shots[4][2][7], shots[5][2][3], shots[6][2][0] = None, float("nan"), None
+    frames = spark.createDataFrame([*shots, (90, 5, None), (91, 5, []), (92, 5, [None] * 5)], "frame_idx long, n_cols int, pixels array<double>")
+    want = set()
+    for k, w, pixels in shots:
+        p = np.array([v for v in pixels if v is not None])
+        s = np.sort(p)
+        at = (len(s) - 1) * 0.9
+        t = s[int(at)] + (s[min(int(at) + 1, len(s) - 1)] - s[int(at)]) * (at - int(at))
+        seeds = [divmod(i, w) for i, v in enumerate(pixels) if v is not None and (v >= t or np.isnan(v))]
+        want |= {(k, r + 1, c + 1) for r in range(len(pixels) // w) for c in range(w) if any((r - a) ** 2 + (c - b) ** 2 <= 4 for a, b in seeds)}
+    got = recordings.bright_masks(frames, 0.9, 2, ("frame_idx",))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {tuple(r) for r in recordings.bright_masks(frames, 0.9, 2, ("frame_idx",), values=50).collect()} == want
+    import swirlframe.queries as Q
+
+    plan = Q.auto_mask_grown(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
